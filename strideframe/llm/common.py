@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    name = f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}.zip"
+    with zipfile.ZipFile(name, "w") as out:
+        for f in package.rglob("*.py"):
+            out.write(f, f.relative_to(package.parent))
+    sc.addPyFile(name)
+    _shipped.add(sc.applicationId)

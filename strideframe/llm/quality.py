@@ -73,16 +73,15 @@ def thresholds(scored: DataFrame, k: int = SKETCH_K, min_group: int = MIN_GROUP,
     by_source = cut(sketched)
     merged = lambda df: [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, F.lit(k)).alias(c) for c in FLOORS]]
     by_lang = by_source.groupBy("lang").agg(*merged(by_source))
-    overall = by_lang.groupBy(F.lit(1).alias("one")).agg(*merged(by_lang))
 
     def bounds(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
         q = lambda c, r: F.kll_sketch_get_quantile_double(c, F.lit(r))
         return df.select(*keys, F.col("n").alias(f"{tag}_n"), *[F.greatest(F.lit(low), q(c, 0.75) + fence * (q(c, 0.75) - q(c, 0.25))).alias(f"{tag}_{c}") for c, low in FLOORS.items()])
 
-    s, g, o = bounds(by_source, "s", ["lang", "source"]), bounds(by_lang, "g", ["lang"]), bounds(overall, "o", ["one"])
-    g = g.withColumnRenamed("lang", "g_lang")
-    both = s.withColumn("one", F.lit(1)).join(F.broadcast(o), "one").join(g, same(F.col("lang"), F.col("g_lang")), "left")
-    pick = lambda c: F.when(F.col("s_n") >= min_group, F.col(f"s_{c}")).when(F.col("g_n") >= min_group, F.col(f"g_{c}")).otherwise(F.col(f"o_{c}"))
+    s, g = bounds(by_source, "s", ["lang", "source"]), bounds(by_lang, "g", ["lang"]).withColumnRenamed("lang", "g_lang")
+    overall = bounds(by_lang.agg(*merged(by_lang)), "o", []).first()  # three numbers
+    both = s.join(g, same(F.col("lang"), F.col("g_lang")), "left")
+    pick = lambda c: F.when(F.col("s_n") >= min_group, F.col(f"s_{c}")).when(F.col("g_n") >= min_group, F.col(f"g_{c}")).otherwise(F.lit(overall[f"o_{c}"]))
     return both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(c).alias(f"max_{c}") for c in FLOORS])
 
 
