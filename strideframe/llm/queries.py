@@ -5,10 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, near_dup, packing, quality, token_counts
+from . import decontaminate, language_id, licence_scan, line_dedup, lm_score, near_dup, packing, personal_data, quality, token_counts
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -21,6 +33,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -33,4 +49,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_quality_rules, op6_decontaminate, op8_near_dup, op9_lm_score, op10_token_counts)}
+_ALL = (op1_language_id, op2_licence_scan, op3_line_dedup, op4_packing, op5_quality_rules, op6_decontaminate, op7_personal_data, op8_near_dup, op9_lm_score, op10_token_counts)
+QUERIES = {f.__name__: f for f in _ALL}

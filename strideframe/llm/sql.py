@@ -1,3 +1,5 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from .licence_scan import oracle
+
+ORACLES: dict[str, str] = {"op2_licence_scan": oracle()}
