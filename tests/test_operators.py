@@ -20,7 +20,7 @@ def test_largest_box_ties_clamping_and_fallback(spark):
         det(0, "original", 0, 0, 0, 10, 10), det(0, "original", 1, 50, 50, 60, 60),  # tie: the first
         det(1, "original", 0, 5, 5, 5, 50),  # no area
         det(1, "boosted", 0, 1, 1, 9, 9),
-        det(2, "original", 0, 500, 0, 900, 90), det(2, "original", 1, 0, 0, 10, 10),  # the largest lies outside
+        det(2, "original", 0, -900, 0, -500, 90), det(2, "original", 1, 0, 0, 10, 10),  # the largest lies outside
         det(3, "original", 0, 0, 0, 50, 50, cls=2),
         det(4, "original", 0, -5.5, -5, 20.9, 300),
     ]
