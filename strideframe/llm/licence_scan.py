@@ -58,7 +58,7 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-ref"]),
 ]
 
-_END = "([.!?;:])[ \\t\\n\\r]+"
+_END = "([.!?;])[ \\t\\n\\r]+"
 _BLANK = "\\n[ \\t\\r]*\\n"
 _MARK = "\x01"
 
@@ -126,7 +126,7 @@ def oracle(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[st
     return f"""
 WITH known AS (SELECT sid, {norm("raw")} AS said FROM (VALUES {known}) v(sid, raw)),
 d AS (SELECT DISTINCT doc_id, text FROM documents),
-parts AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1)) AS p FROM d),
+parts AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1)) AS p FROM d),
 sents AS (SELECT doc_id, text, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM parts),
 cands AS (SELECT doc_id, text, pos, CASE WHEN contains(sentence, chr(10)) THEN list_concat([sentence], string_split(sentence, chr(10))) ELSE [sentence] END AS c FROM sents),
 lines AS (SELECT doc_id, text, pos, unnest(c) AS raw, generate_subscripts(c, 1) AS line FROM cands),

@@ -79,7 +79,8 @@ def thresholds(scored: DataFrame, k: int = SKETCH_K, min_group: int = MIN_GROUP,
         return df.select(*keys, F.col("n").alias(f"{tag}_n"), *[F.greatest(F.lit(low), q(c, 0.75) + fence * (q(c, 0.75) - q(c, 0.25))).alias(f"{tag}_{c}") for c, low in FLOORS.items()])
 
     s, g = bounds(by_source, "s", ["lang", "source"]), bounds(by_lang, "g", ["lang"]).withColumnRenamed("lang", "g_lang")
-    overall = bounds(by_lang.agg(*merged(by_lang)), "o", []).first()  # three numbers
+    overall = bounds(by_lang.agg(*merged(by_lang)).where("n > 0"), "o", []).first()  # three numbers
+    overall = overall or {f"o_{c}": low for c, low in FLOORS.items()}
     both = s.join(g, same(F.col("lang"), F.col("g_lang")), "left")
     pick = lambda c: F.when(F.col("s_n") >= min_group, F.col(f"s_{c}")).when(F.col("g_n") >= min_group, F.col(f"g_{c}")).otherwise(F.lit(overall[f"o_{c}"]))
     return both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(c).alias(f"max_{c}") for c in FLOORS])
