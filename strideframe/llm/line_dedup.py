@@ -2,75 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, same, text_key
+from .common import DOCUMENT_COLUMNS, cut, same, text_key
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A run of lines with so many words is found wherever it repeats (the guarantee) ...
 RUN_WORDS = 50
 #: ... by grams of consecutive lines with so many (the noise threshold).
 GRAM_WORDS = 25
+#: Positions of deleted lines, 4 bytes each, up to which they are broadcast to the texts.
+BROADCAST_POSITIONS = 4_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, h, nw) of each line that has a word; equal rows count once."""
+    """(doc_id, text_key, pos, h, nw, at) of each line that has a word; equal rows count once.
+
+    ``at`` is how many words of the text come before the line.
+    """
     # white space at a line's ends doesn't tell lines apart
     line = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     each = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", line).where("line <> ''")
     each = each.select("doc_id", "text_key", "pos", F.xxhash64("line").alias("h"), F.size(F.split("line", SPACE)).alias("nw"))
-    return each.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "pos"])
+    once = each.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "pos"])
+    before = _doc().orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    return once.withColumn("at", F.coalesce(F.sum("nw").over(before), F.lit(0)).cast("int"))
 
 
-def _take(lines: Column, words: int) -> Column:
-    """How many of the first lines reach ``words`` words; null if all of them don't."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-    more = lambda a, x: F.when(a["w"] >= words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + x["nw"]).alias("w")))
-    return F.aggregate(lines, zero, more, lambda a: F.when(a["w"] >= words, a["n"]))
+def _doc() -> WindowSpec:
+    return W.partitionBy("doc_id", "text_key")
 
 
 def fingerprints(lines: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """The window that begins at each line, with its fingerprint and the lines around it.
+    """The window that begins at each line: its fingerprint, place, lines and last line.
 
-    A window is the fewest lines from there that have ``run_words`` words; a gram within it
-    the fewest lines that have ``gram_words``. The window's fingerprint is its least gram
-    hash, and goes with the hash of the whole window, so that equal pairs are equal windows.
-    Lines that can't be part of a window's reach are never looked at: each has a word, so
-    frames of twice and once ``run_words`` lines hold all that matter.
+    A window is the fewest lines from there that have ``run_words`` words: those that begin
+    less than that many words further on. A gram within it is likewise the fewest lines with
+    ``gram_words``. The window's fingerprint is its least gram hash, and goes with the hash of
+    the whole window, so that equal pairs are equal windows.
     """
-    order = W.partitionBy("doc_id", "text_key").orderBy("pos")
-    one = F.struct("pos", "h", "nw")
-    around = lines.select(
-        "doc_id",
-        "text_key",
-        "pos",
-        F.row_number().over(order).alias("k"),
-        F.collect_list(one).over(order.rowsBetween(0, 2 * run_words - 1)).alias("ahead"),
-        F.collect_list(one).over(order.rowsBetween(-run_words, -1)).alias("behind"),
-    )
-    sized = around.withColumn("m", _take(F.col("ahead"), run_words)).where("m is not null").withColumn("window", F.slice("ahead", 1, F.col("m")))
-
-    def gram(s: Column) -> Column:
-        rest = F.slice("window", s, F.col("m"))
-        n = _take(rest, gram_words)
-        return F.when(n.isNotNull(), F.xxhash64(F.transform(F.slice(rest, 1, F.coalesce(n, F.lit(0))), lambda x: x["h"])))
-
-    grams = F.transform(F.sequence(F.lit(1), F.col("m")), gram)
-    return sized.select(
-        F.array_min(grams).alias("fp"),
-        F.xxhash64(F.transform("window", lambda x: x["h"])).alias("whole"),
-        "doc_id",
-        "text_key",
-        "pos",
-        "k",
-        "m",
-        F.element_at("window", -1)["pos"].alias("to"),
-        F.transform("window", lambda x: x["pos"]).alias("own"),
-        F.slice("ahead", F.col("m") + 1, F.lit(run_words)).alias("after"),
-        F.reverse("behind").alias("before"),
-    )
+    order = _doc().orderBy("at")
+    window = F.collect_list(F.struct("pos", "h", "nw", "at")).over(order.rangeBetween(0, run_words - 1))
+    framed = lines.select("doc_id", "text_key", "pos", "at", F.row_number().over(order).alias("k"), window.alias("window"))
+    last = F.element_at("window", -1)
+    end = last["at"] + last["nw"]
+
+    def gram(x: Column) -> Column:
+        within = F.filter("window", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + gram_words))
+        return F.when(end >= x["at"] + gram_words, F.xxhash64(F.transform(within, lambda y: y["h"])))
+
+    whole = F.xxhash64(F.transform("window", lambda x: x["h"]))
+    one = F.size("window") == 1
+    least = F.when(one, whole).otherwise(F.array_min(F.transform("window", gram)))
+    return framed.where(end >= F.col("at") + run_words).select(least.alias("fp"), whole.alias("whole"), "doc_id", "text_key", "pos", "k", F.size("window").alias("m"), last["pos"].alias("to"))
 
 
 def _common(a: Column, b: Column, most: Column) -> Column:
@@ -81,22 +67,33 @@ def _common(a: Column, b: Column, most: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """(doc_id, text_key, gone): sorted positions of the lines to delete, for documents with any."""
-    prints = fingerprints(lines_of(docs), run_words, gram_words)
+    """(doc_id, text_key, gone): sorted positions of the lines to delete, for documents with any.
+
+    Only hashes and places are dealt out to find equal windows; the lines around them, to
+    which matches grow, are fetched for matched windows and their first ones alone.
+    """
+    lines = cut(lines_of(docs))
+    prints = cut(fingerprints(lines, run_words, gram_words))
     key = ["fp", "whole"]
-    place = F.struct("doc_id", "text_key", "pos", "k", "to")
-    first = prints.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("src")).where("n > 1").drop("n")
-    met = prints.join(first, key)
+    first = prints.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "pos", "k", "to")).alias("src")).where("n > 1").drop("n")
     here = lambda c: same(F.col(c), F.col(f"src.{c}"))
-    is_source = here("doc_id") & here("text_key") & here("pos")
-    sources = met.where(is_source).select(*key, F.col("after").alias("src_after"), F.col("before").alias("src_before"))
     own_doc = here("doc_id") & here("text_key")
-    later = met.where(~is_source & (~own_doc | (F.col("pos") > F.col("src.to"))))
+    is_source = own_doc & here("pos")
     # within one document a copy must not grow into what it copies
-    room = F.when(own_doc, F.greatest(F.lit(0), F.col("k") - F.col("src.k") - F.col("m"))).otherwise(run_words)
-    runs = later.join(sources, key).select("doc_id", "text_key", "own", "after", "before", _common(F.col("after"), F.col("src_after"), room).alias("right"), _common(F.col("before"), F.col("src_before"), room).alias("left"))
+    room = F.when(own_doc & ~is_source, F.greatest(F.lit(0), F.col("k") - F.col("src.k") - F.col("m"))).otherwise(2 * run_words)
+    met = prints.join(first, key).where(is_source | ~own_doc | (F.col("pos") > F.col("src.to")))
+    marks = cut(met.select(*key, F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.col("pos").alias("m_pos"), "m", is_source.alias("source"), room.alias("room")))
+    involved = marks.select("m_id", "m_key").distinct()
+    near = lines.join(involved, same(F.col("doc_id"), F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left_semi")
+    near = near.join(marks, same(F.col("doc_id"), F.col("m_id")) & (F.col("text_key") == F.col("m_key")) & (F.col("pos") == F.col("m_pos")), "left")
+    order = _doc().orderBy("at")
+    around = lambda a, b: F.collect_list(F.struct("pos", "h")).over(order.rangeBetween(a, b))
+    held = near.select("doc_id", "text_key", *key, "m", "source", "room", around(0, 2 * run_words - 1).alias("ahead"), around(-run_words, -1).alias("behind")).where("fp is not null")
+    held = held.select("doc_id", "text_key", *key, "source", "room", F.transform(F.slice("ahead", F.lit(1), F.col("m")), lambda x: x["pos"]).alias("own"), F.slice("ahead", F.col("m") + 1, F.lit(2 * run_words)).alias("after"), F.reverse("behind").alias("before"))
+    sources = held.where("source").select(*key, F.col("after").alias("src_after"), F.col("before").alias("src_before"))
+    grown = held.where("not source").join(sources, key).select("doc_id", "text_key", "own", "after", "before", _common(F.col("after"), F.col("src_after"), F.col("room")).alias("right"), _common(F.col("before"), F.col("src_before"), F.col("room")).alias("left"))
     at = lambda side, n: F.transform(F.slice(side, F.lit(1), F.col(n)), lambda x: x["pos"])
-    gone = runs.select("doc_id", "text_key", F.explode(F.concat("own", at("after", "right"), at("before", "left"))).alias("pos"))
+    gone = grown.select("doc_id", "text_key", F.explode(F.concat("own", at("after", "right"), at("before", "left"))).alias("pos"))
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
@@ -113,7 +110,9 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = G
     Rows equal in doc_id and text are one document and change alike. Other columns are
     dropped. An empty table gives none.
     """
-    gone = repeated_lines(docs, run_words, gram_words).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), "gone")
+    gone = cut(repeated_lines(docs, run_words, gram_words).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), "gone"))
+    if (gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0) <= BROADCAST_POSITIONS:
+        gone = F.broadcast(gone)
     joined = docs.select(*DOCUMENT_COLUMNS, text_key().alias("text_key")).join(gone, same(F.col("doc_id"), F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
     split = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))

@@ -102,7 +102,13 @@ def unigram(docs):
 
 def repeated_lines(docs, least=50):
     """The texts left: windows of the fewest lines with ``least`` words, first seen elsewhere, grown both ways."""
-    held = {i: [(p, x.strip(SPACE)) for p, x in enumerate((docs[i] or "").split("\n")) if x.strip(SPACE)] for i in docs}
+    held = {}
+    for i in docs:
+        at, held[i] = 0, []
+        for p, x in enumerate((docs[i] or "").split("\n")):
+            if x.strip(SPACE):
+                held[i].append((p, x.strip(SPACE), at))
+                at += len(words(x))
     first, windows = {}, []
     for i in sorted(held):
         x = held[i]
@@ -111,7 +117,7 @@ def repeated_lines(docs, least=50):
             while m < len(x) and n < least:
                 n, m = n + len(words(x[m][1])), m + 1
             if n >= least:
-                key = tuple(t for _, t in x[k:m])
+                key = tuple(t for _, t, _ in x[k:m])
                 windows.append((i, k, m, key))
                 first.setdefault(key, (i, k, m))
     gone = defaultdict(set)
@@ -119,16 +125,15 @@ def repeated_lines(docs, least=50):
         j, k0, m0 = first[key]
         if (i, k) == (j, k0) or (i == j and k < m0):
             continue
-        x, y, room = held[i], held[j], k - k0 - (m - k) if i == j else least
-        gone[i] |= {p for p, _ in x[k:m]}
-        r = 0
-        while r < room and m + r < len(x) and m0 + r < len(y) and x[m + r][1] == y[m0 + r][1]:
-            gone[i].add(x[m + r][0])
-            r += 1
-        r = 0
-        while r < room and k - 1 - r >= 0 and k0 - 1 - r >= 0 and x[k - 1 - r][1] == y[k0 - 1 - r][1]:
-            gone[i].add(x[k - 1 - r][0])
-            r += 1
+        x, y, room = held[i], held[j], k - k0 - (m - k) if i == j else 2 * least
+        ahead = lambda z, a, b: [v for v in z[b:] if v[2] < z[a][2] + 2 * least]
+        behind = lambda z, a: [v for v in reversed(z[:a]) if v[2] >= z[a][2] - least]
+        gone[i] |= {v[0] for v in x[k:m]}
+        for mine, other in ((ahead(x, k, m), ahead(y, k0, m0)), (behind(x, k), behind(y, k0))):
+            for u, v in list(zip(mine, other))[:room]:
+                if u[1] != v[1]:
+                    break
+                gone[i].add(u[0])
     return {i: None if docs[i] is None else "\n".join(t for p, t in enumerate(docs[i].split("\n")) if p not in gone[i]) for i in docs}
 
 
