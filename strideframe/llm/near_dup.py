@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, cut, same, ship, text_key
+from .common import DOCUMENT_COLUMNS, cut, same, ship, small, text_key
 from .ragged import U, chunks, mix, shingles, words
 
 BINS, BANDS = 128, 32
@@ -18,7 +18,11 @@ ROWS = BINS // BANDS
 #: a pair falls below it once in about 10**10 times.
 MIN_AGREE = 64
 #: Buckets of up to so many classes compare every pair; larger ones go by stars.
-PAIRS_UP_TO = 6
+PAIRS_UP_TO = 32
+#: By how much chance moves the second hub of a bucket.
+SPREAD = 0.3
+#: Links that a task of the component steps reads, so that few links make few tasks.
+LINKS_A_TASK = 20_000
 _EMPTY = U(2**64 - 1)
 
 _SKETCH = "doc_id long, text_key long, n_shingles long, class_id long, sketch binary, bands array<long>"
@@ -107,6 +111,7 @@ def _components(links: DataFrame) -> DataFrame:
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = edges.coalesce(max(1, now[0] // LINKS_A_TASK))
         if now == before:
             break
         before = now
@@ -117,9 +122,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Component of every document under Jaccard similarity of 0.75 on 5-word shingles.
 
     Texts of equal shingle sets form one class and are compared once. Candidates are star
-    edges: in each bucket the members meet one centre, in the next rounds another one, while
-    members of different components remain; small buckets meet in full. Pairs are confirmed
-    on full sets. Rounds end when one finds no link.
+    edges: in each bucket the members meet two centres, those that share most buckets with
+    others, in later rounds one by chance while members of different components remain; small
+    buckets meet in full. Pairs are confirmed on full sets. Rounds end when one finds no
+    link.
 
     Null and wordless texts have n_shingles 0 and are their own component. Repeated rows get
     equal results. component_id is the smallest doc_id of the component (null ids come last).
@@ -134,6 +140,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = nodes.select("class_id", F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = cut(rows.join(crowded, ["band", "key"]))
+    popular = buckets.groupBy("class_id").agg(F.sum("m").alias("popular"))
     sketches = nodes.select("class_id", "sketch")
     hot = buckets.select("class_id").distinct()
     texts = cut(keyed.join(nodes.join(hot, "class_id").select("class_id", F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")), same(F.col("doc_id"), F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).groupBy("class_id").agg(F.first("text").alias("text")))
@@ -146,38 +153,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             likely = likely.join(texts.select(F.col("class_id").alias(side), F.col("text").alias(f"text_{side}")), side)
         return cut(likely.mapInArrow(_links, "a long, b long"))
 
-    links, labels, tried, turn = None, None, None, 0
+    labels, tried, turn = None, None, 0
     while True:
-        own = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
         label = F.col("class_id") if labels is None else F.coalesce("label", "class_id")
-        own = own.select("band", "key", "m", "class_id", label.alias("label"))
-        order = F.col("class_id") if turn == 0 else F.xxhash64("class_id", F.lit(turn), "band")
-        centre = own.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "class_id", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        star = own.join(centre, ["band", "key"]).where(F.col("label") != F.col("c.label")).select(F.col("class_id").alias("a"), F.col("c.class_id").alias("b"))
-        pairs = star
-        if turn == 1:
-            few = own.where(F.col("m") <= PAIRS_UP_TO)
-            met = few.groupBy("band", "key").agg(F.collect_list(F.struct("class_id", "label")).alias("all"))
-            crossed = few.join(met, ["band", "key"]).select(F.col("class_id").alias("a"), "label", F.explode("all").alias("x")).where("x.label <> label").select("a", F.col("x.class_id").alias("b"))
-            pairs = pairs.union(crossed)
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        own = buckets.join(popular, "class_id") if labels is None else buckets.where(F.col("m") > PAIRS_UP_TO).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+        own = own.select("band", "key", "m", "class_id", label.alias("label"), *["popular"] * (not turn))
+        if turn == 0:
+            # hubs: who shares most buckets with others is likest to most of them
+            share = F.pmod(F.xxhash64("class_id"), F.lit(1000)) / 1000.0
+            orders = [-F.col("popular").cast("double"), -F.col("popular") * (1 + SPREAD * share)]
+        else:
+            orders = [F.xxhash64("class_id", F.lit(turn), "band")]
+        one = F.struct("class_id", "label")
+        member = lambda o: F.min(F.struct(o.alias("o"), one.alias("c")))["c"]  # noqa: E731, B023
+        few = F.max("m") <= PAIRS_UP_TO
+        centres = own.groupBy("band", "key").agg(F.array(*map(member, orders)).alias("centres"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.when(few, F.collect_set(F.when(F.col("m") <= PAIRS_UP_TO, one))).alias("all"))
+        met = own.join(centres.where("lo <> hi"), ["band", "key"])
+        pairs = met.select("class_id", "label", F.explode(F.coalesce("all", "centres")).alias("c")).where("c.label <> label").select(F.greatest("class_id", "c.class_id").alias("a"), F.least("class_id", "c.class_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         found = confirmed(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        new = found.count()
-        if turn and not new:
+        if turn and found.isEmpty():
             break
-        links = found if links is None else links.union(found)
-        labels = cut(_components(links))
+        if labels is None:
+            labels = cut(_components(found))
+        else:
+            of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))  # noqa: E731, B023
+            between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+            moved = cut(_components(between)).withColumnsRenamed({"node": "old", "label": "new"})
+            known = labels.select("node", "label").union(moved.select(F.col("old").alias("node"), F.col("old").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+            labels = cut(known.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
         turn += 1
     labelled = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "doc_id", F.coalesce("label", "class_id").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = labelled.join(least, "label").select(F.col("class_id").alias("of"), "component_id")
     out = base.join(of_class, F.col("class_id") == F.col("of"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), same(F.col("doc_id"), component).alias("kept"))
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +204,4 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents whose doc_id is their component's smallest, columns unchanged."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(gone, same(F.col("doc_id"), F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
+    return docs.select(*DOCUMENT_COLUMNS).join(small(gone), same(F.col("doc_id"), F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
