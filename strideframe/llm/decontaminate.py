@@ -9,6 +9,8 @@ from .common import DOCUMENT_COLUMNS, cut, same, small, text_key
 
 #: Characters that part words: ASCII other than digits and lower-case letters.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+_PARTS_OR_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Java's lower() changes these too, which only A-Z should be.
 _OTHER_CAPITALS = r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]"
@@ -18,10 +20,16 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def words_of(text: Column) -> Column:
     """Lower-cased words (A-Z only) of a text; null and wordless texts have none."""
     text = F.coalesce(text, F.lit(""))
-    lowered = F.when(text.rlike(_OTHER_CAPITALS), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))
+    ascii_only = F.octet_length(text) == F.length(text)
+    lowered = F.when(ascii_only, F.lower(text)).when(text.rlike(_OTHER_CAPITALS), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))
     return F.array_remove(F.split(lowered, PARTS), "")
 
 
+def count_words(text: Column) -> Column:
+    """How many words ``words_of`` gives, without changing their case."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _PARTS_OR_CASE), "")).cast("long")
+
+
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """Distinct windows of the benchmark: (window, items), items sorted ids that hold it.
 
@@ -68,7 +76,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     reach = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     counted = F.aggregate("spans", reach, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["begin"], a["to"]))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")), lambda a: a["n"])
     hits = spans.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), counted.cast("long").alias("n_hit"), "item_ids", "spans")
-    sizes = base.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"))
+    sizes = docs.select("doc_id", text_key().alias("text_key"), count_words(F.col("text")).alias("n_words"))
     out = sizes.join(hits, same(F.col("doc_id"), F.col("h_id")) & (F.col("text_key") == F.col("h_key")), "left")
     return out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"))
 
