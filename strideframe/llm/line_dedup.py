@@ -23,7 +23,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     ``at`` is how many words of the text come before the line.
     """
     # white space at a line's ends doesn't tell lines apart
-    line = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    line = F.trim("line", F.lit(" \t\n\v\f\r"))
     each = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", line).where("line <> ''")
     each = each.select("doc_id", "text_key", "pos", F.xxhash64("line").alias("h"), F.size(F.split("line", SPACE)).alias("nw"))
     once = each.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "pos"])
