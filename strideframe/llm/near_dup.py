@@ -1,4 +1,4 @@
-"""Near-duplicate documents by one-permutation MinHash, banded buckets and star edges."""
+"""Near-duplicate documents by one-permutation MinHash, banded buckets, star edges and full blocks."""
 
 from __future__ import annotations
 
@@ -17,8 +17,12 @@ ROWS = BINS // BANDS
 #: Sketches that agree in fewer bins than this are not compared in full: at similarity 0.75
 #: a pair falls below it once in about 10**10 times.
 MIN_AGREE = 64
-#: Buckets of up to so many classes compare every pair; larger ones go by stars.
+#: Buckets of up to so many classes compare every pair at once; larger ones begin with stars.
 PAIRS_UP_TO = 32
+#: Members of a block, and their shingles, about: larger buckets then compare block with block.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
+#: Shingles that fewer than one in so many pairs of a block share are counted pair by pair.
+RARE = 256
 #: By how much chance moves the second hub of a bucket.
 SPREAD = 0.3
 #: Links that a task of the component steps reads, so that few links make few tasks.
@@ -95,6 +99,73 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``; exact."""
+    shape = len(left), len(right)
+    i, j = (np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right))
+    names, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    n_a, n_b = np.bincount(a, minlength=len(names)), np.bincount(b, minlength=len(names))
+    common = n_a * n_b * RARE >= shape[0] * shape[1]
+    out = np.zeros(shape, np.float32)
+    place = np.where(common, np.cumsum(common) - 1, -1)
+    step = 2048
+    for k in range(0, int(common.sum()), step):
+        tables = []
+        for n, row, column in ((shape[0], i, place[a]), (shape[1], j, place[b])):
+            own = (column >= k) & (column < k + step)
+            table = np.zeros((n, step), np.float32)
+            table[row[own], column[own] - k] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    j, first = j[np.argsort(b, kind="stable")], np.cumsum(n_b) - n_b
+    rare = (~common & (n_b > 0))[a]
+    i, a = i[rare], a[rare]
+    upto = np.cumsum(n_b[a])
+    k = 0
+    while k < len(a):
+        done = upto[k - 1] if k else 0
+        last = max(k + 1, int(np.searchsorted(upto, done + (1 << 21), "right")))
+        n = n_b[a[k:last]]
+        spot = np.repeat(first[a[k:last]] - (upto[k:last] - n - done), n) + np.arange(n.sum())
+        out += np.bincount(np.repeat(i[k:last], n) * shape[1] + j[spot], minlength=out.size).reshape(shape)
+        k = last
+    return out
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Of two blocks of a bucket (or one with itself): pairs of labels that links join, as a forest."""
+    label, block = (table.column(c).combine_chunks().to_numpy() for c in ("label", "block"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    sets: list[np.ndarray] = []
+    rows = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    merged: dict[str, list[int]] = {"a": [], "b": []}
+    if len(rows[0]) and len(rows[1]) and len(np.unique(label)) > 1:
+        for m, n, raw, off in chunks(table.column("text").combine_chunks()):
+            found, row = shingles(words(raw, off))
+            sets += [np.unique(found[row[k] : row[k + 1]]) for k in range(n - m)]
+        left, right = ([sets[k] for k in side] for side in rows)
+        both = _overlaps(left, right).astype(np.int64)
+        total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+        link = (100 * both >= 75 * (total - both)) & (label[rows[0]][:, None] != label[rows[1]][None, :])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for k in np.flatnonzero(link.any(axis=1)):
+            own = int(label[rows[0][k]])
+            for other in np.unique(label[rows[1]][link[k]]).tolist():
+                x, y = root(own), root(other)
+                if x != y:
+                    parent[x] = y
+                    merged["a"].append(max(own, other))
+                    merged["b"].append(min(own, other))
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in merged.items()})
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes in ``links`` (a, b): label is the smallest node reachable.
 
@@ -121,11 +192,11 @@ def _components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Component of every document under Jaccard similarity of 0.75 on 5-word shingles.
 
-    Texts of equal shingle sets form one class and are compared once. Candidates are star
-    edges: in each bucket the members meet two centres, those that share most buckets with
-    others, in later rounds one by chance while members of different components remain; small
-    buckets meet in full. Pairs are confirmed on full sets. Rounds end when one finds no
-    link.
+    Texts of equal shingle sets form one class and are compared once. Candidates are first
+    star edges: in each bucket the members meet two centres, those that share most buckets
+    with others; small buckets meet in full. Then each larger bucket that still holds several
+    components is dealt into blocks, and all its pairs of different components meet, block
+    by block, on full sets. So every pair that shares a bucket is tested or joined already.
 
     Null and wordless texts have n_shingles 0 and are their own component. Repeated rows get
     equal results. component_id is the smallest doc_id of the component (null ids come last).
@@ -136,8 +207,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = cut(keyed.mapInArrow(_sketches, _SKETCH))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
     classes = cut(base.where("class_id is not null").groupBy("class_id").agg(one.alias("one")).select("class_id", "one.doc_id", "one.text_key"))
-    nodes = cut(base.join(classes.withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"}), "class_id").where(same(F.col("doc_id"), F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).groupBy("class_id").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    rows = nodes.select("class_id", F.posexplode("bands").alias("band", "key"))
+    nodes = cut(base.join(classes.withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"}), "class_id").where(same(F.col("doc_id"), F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).groupBy("class_id").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    rows = nodes.select("class_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = cut(rows.join(crowded, ["band", "key"]))
     popular = buckets.groupBy("class_id").agg(F.sum("m").alias("popular"))
@@ -153,39 +224,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             likely = likely.join(texts.select(F.col("class_id").alias(side), F.col("text").alias(f"text_{side}")), side)
         return cut(likely.mapInArrow(_links, "a long, b long"))
 
-    labels, tried, turn = None, None, 0
-    while True:
-        label = F.col("class_id") if labels is None else F.coalesce("label", "class_id")
-        own = buckets.join(popular, "class_id") if labels is None else buckets.where(F.col("m") > PAIRS_UP_TO).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-        own = own.select("band", "key", "m", "class_id", label.alias("label"), *["popular"] * (not turn))
-        if turn == 0:
-            # hubs: who shares most buckets with others is likest to most of them
-            share = F.pmod(F.xxhash64("class_id"), F.lit(1000)) / 1000.0
-            orders = [-F.col("popular").cast("double"), -F.col("popular") * (1 + SPREAD * share)]
-        else:
-            orders = [F.xxhash64("class_id", F.lit(turn), "band")]
-        one = F.struct("class_id", "label")
-        member = lambda o: F.min(F.struct(o.alias("o"), one.alias("c")))["c"]  # noqa: E731, B023
-        few = F.max("m") <= PAIRS_UP_TO
-        centres = own.groupBy("band", "key").agg(F.array(*map(member, orders)).alias("centres"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.when(few, F.collect_set(F.when(F.col("m") <= PAIRS_UP_TO, one))).alias("all"))
-        met = own.join(centres.where("lo <> hi"), ["band", "key"])
-        pairs = met.select("class_id", "label", F.explode(F.coalesce("all", "centres")).alias("c")).where("c.label <> label").select(F.greatest("class_id", "c.class_id").alias("a"), F.least("class_id", "c.class_id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = confirmed(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        if turn and found.isEmpty():
-            break
-        if labels is None:
-            labels = cut(_components(found))
-        else:
-            of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))  # noqa: E731, B023
-            between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-            moved = cut(_components(between)).withColumnsRenamed({"node": "old", "label": "new"})
-            known = labels.select("node", "label").union(moved.select(F.col("old").alias("node"), F.col("old").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-            labels = cut(known.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
-        turn += 1
+    # hubs: who shares most buckets with others is likest to most of them
+    share = F.pmod(F.xxhash64("class_id"), F.lit(1000)) / 1000.0
+    orders = [-F.col("popular").cast("double"), -F.col("popular") * (1 + SPREAD * share)]
+    own = buckets.join(popular, "class_id").select("band", "key", "m", "class_id", "popular")
+    member = lambda o: F.min(F.struct(o.alias("o"), F.col("class_id")))["class_id"]
+    few = F.col("m") <= PAIRS_UP_TO
+    centres = own.groupBy("band", "key").agg(F.array(*map(member, orders)).alias("centres"), F.when(F.max("m") <= PAIRS_UP_TO, F.collect_set(F.when(few, F.col("class_id")))).alias("all"))
+    met = own.select("band", "key", "class_id").join(centres, ["band", "key"]).select("class_id", F.explode(F.coalesce("all", "centres")).alias("c"))
+    pairs = cut(met.where("c <> class_id").select(F.greatest("class_id", "c").alias("a"), F.least("class_id", "c").alias("b")).distinct())
+    labels = cut(_components(confirmed(pairs)))
+
+    # then every pair of different labels in a larger bucket, on full sets, block by block
+    large = buckets.where(F.col("m") > PAIRS_UP_TO).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("band", "key", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label"))
+    large = cut(large)
+    each = large.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    main = F.max(F.struct("n", "s", "label"))
+    sizes = each.groupBy("band", "key").agg(F.count("*").alias("labels"), main.alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("labels > 1")
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    # members of the commonest label needn't meet each other
+    sizes = sizes.select("band", "key", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("of_main"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("of_rest"))
+    dealt = large.join(sizes, ["band", "key"])
+    is_main, salt = F.col("label") == F.col("main"), F.xxhash64("class_id")
+    dealt = dealt.withColumn("block", F.when(is_main, F.pmod(salt, F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(salt, F.col("of_rest"))).cast("int"))
+    partners = F.sequence(F.when(is_main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)
+    dealt = dealt.join(texts, "class_id").select("band", "key", "label", "block", "text", F.explode(partners).alias("partner"))
+    dealt = dealt.select("band", "key", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "label", "block", "text")
+    between = cut(dealt.groupBy("band", "key", "i", "j").applyInArrow(_met, "a long, b long"))
+    if not between.isEmpty():
+        moved = cut(_components(between)).withColumnsRenamed({"node": "old", "label": "new"})
+        known = labels.select("node", "label").union(moved.select(F.col("old").alias("node"), F.col("old").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+        labels = cut(known.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
     labelled = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "doc_id", F.coalesce("label", "class_id").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = labelled.join(least, "label").select(F.col("class_id").alias("of"), "component_id")

@@ -97,6 +97,31 @@ def test_near_duplicate_chains(spark):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (n, least)
 
 
+@pytest.mark.parametrize("block", [1024, 100])
+def test_near_duplicate_family(spark, monkeypatch, block):
+    """A large family at the threshold, where most links are between members that no hub is like."""
+    monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+    rnd = random.Random(11)
+    base, rows = [f"w{rnd.randrange(5000)}" for _ in range(404)], []
+    for i in range(900):
+        w = list(base)
+        for k in rnd.sample(range(404), rnd.randrange(5, 16)):
+            w[k] = f"n{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [brute.shingles(t) for _, t in rows]
+    names = {g: k for k, g in enumerate(set().union(*sets))}
+    table = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [names[g] for g in s]] = 1
+    both, size = table @ table.T, table.sum(axis=1)
+    link = 7 * both >= 3 * (size[:, None] + size[None, :])
+    least = np.arange(len(rows))
+    while (new := np.where(link, least[None, :], len(rows)).min(axis=1)).tolist() != least.tolist():
+        least = new
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["component_id"] for i in range(len(rows))] == least.tolist()
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_passages(request, spark, which, texts, odd_texts):
     items = {r["item_id"]: r["text"] for r in common.table(spark, DATA, "benchmark").collect()} | {900: "three", 901: None, 902: "  ", 903: " ".join(f"q{i}" for i in range(20)), 904: "one two"}
