@@ -14,9 +14,6 @@ from .ragged import CHUNK_BYTES, LOWER, buffers, words
 
 #: Longest context in bytes.
 ORDER = 5
-#: A context of two bytes or more is a node of the trie if it has this share of all symbols,
-#: so that an order has 2**16 nodes at most, whatever the corpus.
-NODE_SHARE = 2.0**-16
 #: Bytes that no UTF-8 text holds: before a text, and after it.
 BEFORE, AFTER = 0xFE, 0xFF
 #: Text bytes of a group of documents; a group is counted and scored in one task.
@@ -53,8 +50,8 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
-def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
 
 
 def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +60,7 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _count(order: int):
-    """Of a group: each distinct word's count in training texts (0 if only others have it), each gram's."""
+    """Of a group: counts of distinct words and grams in training texts, 0 if only others have them."""
 
     def run(table: pa.Table) -> pa.Table:
         texts, train = table.column("text").combine_chunks(), table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
@@ -74,11 +71,11 @@ def _count(order: int):
             known = np.repeat(train[i:j], np.diff(w.row))
             keys, at = np.unique(w.hash.view(np.int64), return_inverse=True)
             sums["w"] = _merged(sums["w"], (keys, np.bincount(at, known, len(keys)).astype(np.int64)))
-            rows = np.flatnonzero(train[i:j])
-            if len(rows):
-                size = np.diff(off)[rows]
-                own = raw[np.repeat(train[i:j], np.diff(off))]
-                sums["g"] = _merged(sums["g"], _distinct([_grams(own, np.concatenate(([0], np.cumsum(size))), order)]))
+            for own, times in ((train[i:j], 1), (~train[i:j], 0)):
+                if own.any():
+                    size = np.diff(off)[own]
+                    keys, n = _distinct(_grams(raw[np.repeat(own, np.diff(off))], np.concatenate(([0], np.cumsum(size))), order))
+                    sums["g"] = _merged(sums["g"], (keys, n * times))
         return pa.table(
             {
                 "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(sums["w"][0]), len(sums["g"][0])])),
@@ -91,100 +88,62 @@ def _count(order: int):
     return run
 
 
-class Trie:
-    """Context trie as dense tables: child by the next older byte, bits of each symbol by node.
+def _masked(order: int) -> Column:
+    """The gram of a lower order within a key: its symbol and so many bytes before it."""
+    return F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
 
-    Node 0 is a sink for missing contexts, node 1 the empty context. Bits follow method C with
-    full exclusion: an escape has as many chances as the context has symbols, and the shorter
-    context then leaves out the symbols of the longer one.
-    """
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """counts: by order, contexts (sorted, distinct), and of each symbol context index, ..."""
-        self.child = np.zeros((2, 256), np.int32)
-        self.bits = np.zeros((2, 256), np.float32)
-        below, below_count, below_log = None, None, np.full((1, 256), -8.0)
-        names, base = np.zeros(1, np.int64), 1
-        ids = {0: (names, base)}
-        for k, (context, symbol, n) in enumerate(counts):
-            own, at = np.unique(context, return_inverse=True)
-            count = np.zeros((len(own), 256))
-            count[at, symbol] = n
-            if k:
-                parent_names, parent_base = ids[k - 1]
-                parent = np.searchsorted(parent_names, own & ((1 << 8 * (k - 1)) - 1))
-                base = len(self.child)
-                self.child = np.concatenate((self.child, np.zeros((len(own), 256), np.int32)))
-                self.child[parent_base + parent, own >> (8 * (k - 1))] = base + np.arange(len(own))
-                lower_count, lower_rest = below_count[parent], below_log[parent]
-            else:
-                lower_count, lower_rest = None, below_log
-            ids[k] = (own, base)
-            seen, total = count > 0, count.sum(axis=1, keepdims=True)
-            kinds = seen.sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore"):
-                if lower_count is None:
-                    free = 256 - kinds
-                    rest = np.where(seen, -np.inf, -np.log2(np.maximum(free, 1)))
-                else:
-                    left = np.where(seen, 0, lower_count)
-                    mass, fresh = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-                    escape = np.where(mass > 0, np.log2(np.maximum(fresh, 1) / np.maximum(mass + fresh, 1)), 0.0)
-                    rest = np.where(left > 0, np.log2(left) - np.log2(np.maximum(mass + fresh, 1)), escape + lower_rest)
-                    rest[seen] = -np.inf
-                log = np.where(seen, np.log2(count) - np.log2(total + kinds), np.log2(kinds) - np.log2(total + kinds) + rest)
-            bits = (-log).astype(np.float32)
-            if k:
-                self.bits = np.concatenate((self.bits, bits))
-            else:
-                self.bits[1] = bits[0]
-            below_count, below_log = count, rest
-
-    def cost(self, raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
-        """Bits of each text, its end included."""
-        lone = _framed(raw, off, order)
-        n = len(off) - 1
-        out = np.zeros(n)
-        step = 1 << 20
-        ends = off[1:] + np.arange(1, n + 1) * (order + 1)
-        total = np.zeros(len(lone) + 1)
-        for i in range(order, len(lone), step):
-            j = min(len(lone), i + step)
-            node = np.ones(j - i, np.int32)
-            best = node
-            for k in range(1, order + 1):
-                node = self.child[node, lone[i - k : j - k]]
-                best = np.where(node, node, best)
-            symbol = lone[i:j]
-            total[i + 1 : j + 1] = np.where(symbol == BEFORE, 0, self.bits[best, symbol])
-        total = np.cumsum(total)
-        starts = np.concatenate(([0], ends[:-1]))
-        out[:] = total[ends] - total[starts]
-        return out
-
-
-def train_trie(grams: DataFrame, order: int = ORDER, share: float = NODE_SHARE) -> Trie:
-    """The trie of (key, n): every symbol counts in its contexts of all orders.
-
-    Contexts come to the driver only with the given share of all symbols: at most 1 / share
-    of them an order, with 256 symbols each; the empty one and single bytes always.
+def gram_bits(grams: DataFrame, order: int = ORDER, share: float = 0.0) -> DataFrame:
+    """(key, bits) of each gram of (key, n), where n counts training texts.
+
+    Every symbol counts in its contexts of all orders. Bits follow method C with full
+    exclusion: an escape has as many chances as the context has symbols, and the shorter
+    context then leaves out the symbols of the longer one. Contexts are tables, so that the
+    model grows with the corpus; a positive ``share`` leaves out those of two bytes or more
+    that have less of all symbols.
     """
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = []
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    log = lambda c: F.log2(c.cast("double"))
+    symbols = {order: grams.where("n > 0")}
+    for k in reversed(range(order)):
+        symbols[k] = cut(symbols[k + 1].groupBy(_masked(k).alias("key")).agg(F.sum("n").alias("n")))
+    least = share * (symbols[0].agg(F.sum("n")).first()[0] or 0) if share else 0
+    contexts = {}
     for k in range(order + 1):
-        cut_to = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        symbols = grams.groupBy(cut_to.alias("key")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("key", 8)
-        if k > 1:
-            frequent = symbols.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).where(F.col("t") >= max(1, share * total)).select("c")
-            symbols = symbols.join(frequent, context == F.col("c"), "left_semi")
-        got = symbols.toArrow()
-        key, n = (got.column(c).combine_chunks().to_numpy() if len(got) else np.zeros(0, np.int64) for c in ("key", "n"))
-        counts.append((key >> 8, key & 0xFF, n) if len(got) else empty)
-    if not total:
-        counts = [(np.zeros(1, np.int64), np.array([AFTER]), np.ones(1, np.int64))]
-    return Trie(counts)
+        own, sums = symbols[k], [F.sum("n").alias("total"), F.count("*").alias("kinds")]
+        if k:
+            own = own.join(symbols[k - 1].select(F.col("key").alias("p_key"), F.col("n").alias("p_n")), _masked(k - 1) == F.col("p_key"))
+            sums.append(F.sum("p_n").alias("taken"))
+        own = own.groupBy(F.shiftright("key", 8).alias("key")).agg(*sums)
+        if k:
+            # what an escape leaves in the shorter context: symbols not seen here, and their mass
+            above = contexts[k - 1].select(F.col("key").alias("p_key"), F.col("total").alias("p_total"), F.col("kinds").alias("p_kinds"))
+            parent = _masked(k - 2) if k > 1 else F.lit(0).cast("long")
+            own = own.join(above, parent == F.col("p_key")).select("key", "total", "kinds", (F.col("p_total") - F.col("taken")).alias("mass"), (F.col("p_kinds") - F.col("kinds")).alias("fresh"))
+        else:
+            own = own.select("key", "total", "kinds", F.lit(0).cast("long").alias("mass"), (256 - F.col("kinds")).alias("fresh"))
+        contexts[k] = cut(own.where(F.col("total") >= least) if k > 1 else own)
+
+    def met(rows: DataFrame, k: int) -> DataFrame:
+        context = F.shiftright(_masked(k), 8)
+        return rows.join(contexts[k].withColumnRenamed("key", "c_key"), context == F.col("c_key"), "left")
+
+    whole = cut(met(grams, order))
+    seen = (F.col("n") > 0) & F.col("kinds").isNotNull()
+    done = whole.where(seen).select("key", (log(F.col("total") + F.col("kinds")) - log(F.col("n"))).alias("bits"))
+    # the others go down: bits of escapes so far, and what the last context left (null before any)
+    escape = F.when(F.col("kinds").isNotNull(), log(F.col("total") + F.col("kinds")) - log(F.col("kinds"))).otherwise(F.lit(0.0))
+    left = whole.where(~seen).select("key", escape.alias("bits"), F.col("mass").alias("l_mass"), F.col("fresh").alias("l_fresh"), F.lit(False).alias("found"))
+    for k in reversed(range(order)):
+        own = symbols[k].select(F.col("key").alias("s_key"), "n")
+        left = met(left, k).join(own, _masked(k) == F.col("s_key"), "left")
+        known, entered = F.col("kinds").isNotNull(), F.col("l_fresh").isNotNull()
+        chances = F.when(entered, F.col("l_mass") + F.col("l_fresh")).otherwise(F.col("total") + F.col("kinds"))
+        out = F.when(entered, F.col("l_fresh")).otherwise(F.col("kinds"))
+        hit = known & F.col("n").isNotNull()
+        step = F.when(F.col("found") | ~known, F.lit(0.0)).when(hit, log(chances) - log(F.col("n"))).when(entered & (F.col("l_mass") == 0), F.lit(0.0)).otherwise(log(chances) - log(out))
+        left = left.select("key", (F.col("bits") + step).alias("bits"), F.when(known, F.col("mass")).otherwise(F.col("l_mass")).alias("l_mass"), F.when(known, F.col("fresh")).otherwise(F.col("l_fresh")).alias("l_fresh"), (F.col("found") | hit).alias("found"))
+    last = F.when(F.col("found"), F.lit(0.0)).otherwise(log(F.coalesce("l_fresh", F.lit(256))))
+    return done.union(left.select("key", (F.col("bits") + last).alias("bits")))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -192,13 +151,13 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 1, F.lit(True))
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, share: float = NODE_SHARE) -> DataFrame:
-    """log10 probability of every whole text under a pretrained byte trie, and of its words.
+def score_documents(docs: DataFrame, order: int = ORDER, share: float = 0.0) -> DataFrame:
+    """log10 probability of every whole text under partial matching over bytes, and of its words.
 
     Documents are dealt by a hash of id and text into groups of about GROUP_BYTES, one
     shuffle. Each group sends a row for each distinct word and byte gram, which are summed
-    over the corpus; the words' counts return to the groups that have them, so that a very
-    common word is as many rows as there are groups. Words are told apart by 64-bit hashes.
+    over the corpus; the words' counts and the grams' bits return to the groups that have
+    them, so that a very common one is as many rows as there are groups. Words are told apart by 64-bit hashes.
 
     Null text counts as empty: it has the end token alone. A table without training documents
     gives the uniform byte model and N = 0, where base_score falls back to -0 per token.
@@ -210,17 +169,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, share: float = NODE_SHA
     groups = max(1, -(-(size or 0) // GROUP_BYTES))
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
     counted = stored(dealt.groupBy("grp").applyInArrow(_count(order), "kind int, key long, n long, grp long"))
-    trie = train_trie(cut(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))), order, share)
+    bits_of = gram_bits(stored(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))), order, share)
     vocabulary = cut(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"))
     kinds, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     V, N = kinds + (trained > 0), tokens + trained
-    known = counted.where("kind = 0").select("grp", "key").join(vocabulary, "key").select("grp", "key", "c")
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+    values = vocabulary.select(F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("v")).union(bits_of.select(F.lit(1), "key", "bits"))
+    known = counted.select("grp", "kind", "key").join(stored(values), ["kind", "key"]).select("grp", "kind", "key", "v")
 
     def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        key, c = (counts.column(x).combine_chunks().to_numpy() if len(counts) else np.zeros(0, np.int64) for x in ("key", "c"))
-        at = np.argsort(key)
-        key, c = key[at], c[at]
+        kind, every, value = (counts.column(x).combine_chunks().to_numpy() if len(counts) else np.zeros(0, np.int64) for x in ("kind", "key", "v"))
+        (key, c), (gram, cost) = ((every[at], value[at]) for at in (np.flatnonzero(kind == k)[np.argsort(every[kind == k])] for k in (0, 1)))
         low = np.log10(N + 0.5 * (V + 1)) if N else 0.0
         end = np.log10(trained + 0.5) - low if N else 0.0
         all_texts = texts.column("text").combine_chunks()
@@ -236,7 +194,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, share: float = NODE_SHA
             n_tokens.append(np.diff(w.row) + 1)
             n_known.append(hits[w.row[1:]] - hits[w.row[:-1]] + (trained > 0))
             base.append(sums[w.row[1:]] - sums[w.row[:-1]] + end)
-            bits.append(shared.value.cost(raw, off, order))
+            spent = np.concatenate(([0.0], np.cumsum(cost[np.searchsorted(gram, _grams(raw, off, order))])))
+            at = off + np.arange(len(off))  # a symbol for each byte, and one for each end
+            bits.append(spent[at[1:]] - spent[at[:-1]])
         flat = lambda x: np.concatenate(x) if x else np.zeros(0)
         n = len(texts)
         return pa.table(

@@ -241,6 +241,15 @@ def test_lm_score_is_partial_matching(spark):
         assert got[i]["score"] == pytest.approx(-brute.trie_bits(train, t, 3) * np.log10(2), rel=1e-5)
 
 
+def test_lm_score_keeps_every_context(spark):
+    """A context that is rare among all symbols counts as well, at the default settings."""
+    rows = [(i, "a" * 4000) for i in range(100)] + [(200 + i, f"qxzjkv{i % 2}") for i in range(4)] + [(300, "qxzjkw")]
+    got = by_id(lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")))
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    for i in (0, 200, 203, 300):
+        assert got[i]["score"] == pytest.approx(-brute.trie_bits(train, dict(rows)[i], 5) * np.log10(2), rel=1e-5)
+
+
 def test_language_id(docs, odd):
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.count() > 20 and got.where("lang_pred <> lang").count() <= 0.02 * got.count()
