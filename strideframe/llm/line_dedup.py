@@ -87,9 +87,14 @@ def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int
     near = lines.join(involved, same(F.col("doc_id"), F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left_semi")
     near = near.join(marks, same(F.col("doc_id"), F.col("m_id")) & (F.col("text_key") == F.col("m_key")) & (F.col("pos") == F.col("m_pos")), "left")
     order = _doc().orderBy("at")
-    around = lambda a, b: F.collect_list(F.struct("pos", "h")).over(order.rangeBetween(a, b))
-    held = near.select("doc_id", "text_key", *key, "m", "source", "room", around(0, 2 * run_words - 1).alias("ahead"), around(-run_words, -1).alias("behind")).where("fp is not null")
-    held = held.select("doc_id", "text_key", *key, "source", "room", F.transform(F.slice("ahead", F.lit(1), F.col("m")), lambda x: x["pos"]).alias("own"), F.slice("ahead", F.col("m") + 1, F.lit(2 * run_words)).alias("after"), F.reverse("behind").alias("before"))
+    around = lambda frame, *more: F.collect_list(F.struct("pos", "h", *more)).over(frame)
+    # a line has a word at least, so that a window and what may follow it are so many lines at most
+    ahead, behind = around(order.rowsBetween(0, 2 * run_words - 1), "at", "nw"), around(order.rangeBetween(-run_words, -1))
+    held = near.select("doc_id", "text_key", *key, "m", "source", "room", ahead.alias("ahead"), behind.alias("behind")).where("fp is not null")
+    last = F.element_at("ahead", F.col("m"))
+    # equal lines of run_words or more after the window have windows of their own
+    after = F.filter(F.slice("ahead", F.col("m") + 1, F.lit(run_words)), lambda x: x["at"] < last["at"] + last["nw"] + run_words)
+    held = held.select("doc_id", "text_key", *key, "source", "room", F.transform(F.slice("ahead", F.lit(1), F.col("m")), lambda x: x["pos"]).alias("own"), F.transform(after, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"))).alias("after"), F.reverse("behind").alias("before"))
     sources = held.where("source").select(*key, F.col("after").alias("src_after"), F.col("before").alias("src_before"))
     grown = held.where("not source").join(sources, key).select("doc_id", "text_key", "own", "after", "before", _common(F.col("after"), F.col("src_after"), F.col("room")).alias("right"), _common(F.col("before"), F.col("src_before"), F.col("room")).alias("left"))
     at = lambda side, n: F.transform(F.slice(side, F.lit(1), F.col(n)), lambda x: x["pos"])

@@ -167,6 +167,49 @@ def test_line_dedup_mixed_runs(spark):
     assert {i: r["text"] for i, r in by_id(line_dedup.dedup_lines(df)).items()} == brute.repeated_lines(rows)
 
 
+def runs_without_reach(docs, least=50):
+    """As ``brute.repeated_lines``, but matches grow as far as lines are equal."""
+    held = {i: [(p, x.strip(brute.SPACE)) for p, x in enumerate((docs[i] or "").split("\n")) if x.strip(brute.SPACE)] for i in docs}
+    first, windows, gone = {}, [], {i: set() for i in docs}
+    for i in sorted(held):
+        for k in range(len(held[i])):
+            n, m = 0, k
+            while m < len(held[i]) and n < least:
+                n, m = n + len(brute.words(held[i][m][1])), m + 1
+            if n >= least:
+                windows.append((i, k, m, tuple(t for _, t in held[i][k:m])))
+                first.setdefault(windows[-1][3], (i, k, m))
+    for i, k, m, key in windows:
+        j, k0, m0 = first[key]
+        if (i, k) == (j, k0) or (i == j and k < m0):
+            continue
+        x, y = held[i], held[j]
+        room = k - k0 - (m - k) if i == j else len(x)
+        gone[i] |= {p for p, _ in x[k:m]}
+        for mine, other in ((x[m:], y[m0:]), (x[:k][::-1], y[:k0][::-1])):
+            same = itertools.takewhile(lambda uv: uv[0][1] == uv[1][1], list(zip(mine, other))[:room])
+            gone[i] |= {u[0] for u, _ in same}
+    return {i: None if docs[i] is None else "\n".join(t for p, t in enumerate(docs[i].split("\n")) if p not in gone[i]) for i in docs}
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_line_dedup_without_reach(request, which, texts, odd_texts):
+    df = request.getfixturevalue(which).where("doc_id is not null")
+    got = {i: r["text"] for i, r in by_id(line_dedup.dedup_lines(df)).items()}
+    assert got == runs_without_reach(texts if which == "docs" else odd_texts)
+
+
+def test_line_dedup_grows_past_long_lines(spark):
+    """Short equal lines after a long one go too; the first that differs stays."""
+    long_line = " ".join(f"v{i}" for i in range(150))
+    tail = [" ".join(f"t{i}x{j}" for j in range(7)) for i in range(6)]
+    run = "\n".join([long_line, *tail])
+    rows = [(1, f"first\n{run}\none end", None, None, None), (2, f"second\n{run}\nother end", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {i: r["text"] for i, r in by_id(line_dedup.dedup_lines(df)).items()}
+    assert got == {1: rows[0][1], 2: "second\nother end"}
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_token_counts(request, which, texts, odd_texts):
     from tokenizers import Tokenizer
