@@ -50,10 +50,16 @@ def hip_series(landmarks: DataFrame, frames: DataFrame) -> DataFrame:
     return frames.select("clip_id", "frame").join(series, ["clip_id", "frame"], "left")
 
 
-def foot_series(landmarks: DataFrame) -> DataFrame:
-    """(clip_id, foot, frame, x, y) of both feet from gated landmarks."""
+def foot_series(landmarks: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """(clip_id, foot, frame, x, y) of both feet from gated landmarks.
+
+    Every frame of ``frames`` has both feet, null where there is no pose; without it, the
+    frames are those that have a foot's landmark.
+    """
     needed = landmarks.where(F.col("lm_id").isin(L_FOOT, R_FOOT))
     wide = needed.groupBy("clip_id", "frame").agg(*[_of(lm, c).alias(f"{foot}_{c}") for foot, lm in (("left", L_FOOT), ("right", R_FOOT)) for c in "xy"])
+    if frames is not None:
+        wide = frames.select("clip_id", "frame").join(wide, ["clip_id", "frame"], "left")
     feet = [F.struct(F.lit(f).alias("foot"), F.col(f"{f}_x").alias("x"), F.col(f"{f}_y").alias("y")) for f in ("left", "right")]
     return wide.select("clip_id", "frame", F.explode(F.array(*feet)).alias("f")).select("clip_id", "f.foot", "frame", "f.x", "f.y")
 

@@ -19,13 +19,16 @@ def co_partitioned(spark: SparkSession) -> None:
 def ground_contacts(detections: DataFrame, points: DataFrame, ranges: DataFrame, width: int, height: int, fps: float) -> tuple[DataFrame, DataFrame]:
     """(frames, summary): contacts by frame and foot, and per clip and foot.
 
-    Landmarks are relative to the raw box, the last known one where a frame has none.
+    Landmarks are relative to the raw box, the last known one where a frame has none. Every
+    frame of a range counts, whether it has detections, landmarks or neither; ranges lie
+    within their clips.
     """
     found = boxes.detect_with_fallback(detections.repartition("clip_id"), width, height)
-    carried = boxes.carry_forward_box(contacts.within_range(found, ranges))
+    every = ranges.select("clip_id", F.explode(F.sequence(F.col("start_frame").cast("int"), F.col("end_frame").cast("int"))).alias("frame"))
+    carried = boxes.carry_forward_box(every.repartition("clip_id").join(found, ["clip_id", "frame"], "left"))
     needed = points.where(F.col("lm_id").isin(landmarks.L_FOOT, landmarks.R_FOOT)).repartition("clip_id")
     placed = landmarks.gate_visibility(landmarks.roi_to_frame(needed, carried, width, height))
-    frames = contacts.find_contacts(landmarks.foot_series(placed), fps)
+    frames = contacts.find_contacts(landmarks.foot_series(placed, carried), fps)
     return frames, contacts.contact_summary(frames)
 
 

@@ -182,3 +182,18 @@ def test_landmark_pixels(spark):
     got = landmarks.norm_to_px(df, 1000, 100).orderBy("lm_id").collect()
     assert (got[0]["px"], got[0]["py"]) == (0, 100) and got[1]["px"] is None
     assert landmarks.gate_visibility(df).orderBy("lm_id").first()["x"] is None
+
+
+def test_contacts_count_frames_without_landmarks(spark):
+    from strideframe.plans import jobs
+
+    dets = spark.createDataFrame([det(i, "original", 0, 0, 0, 100, 100) for i in range(12) if i != 6], DETS)
+    points = [(1, i, lm, 0.5, 0.1 * i, 0.9) for i in range(12) if i not in (4, 5, 6, 11) for lm in (landmarks.L_FOOT, landmarks.R_FOOT)]
+    points = spark.createDataFrame(points, "clip_id long, frame int, lm_id int, x double, y double, visibility double")
+    ranges = spark.createDataFrame([(1, 1, 11, 11)], "clip_id long, start_frame int, end_frame int, n_frames int")
+    frames, summary = jobs.ground_contacts(dets, points, ranges, 100, 100, 10.0)
+    left = frames.where("foot = 'left'").orderBy("frame").collect()
+    assert [r["frame"] for r in left] == list(range(1, 12)) and [r["y_raw"] is None for r in left] == [i in (4, 5, 6, 11) for i in range(1, 12)]
+    np.testing.assert_allclose([r["v"] for r in left[3:7]], 1.0)
+    got = {r["foot"]: r for r in summary.collect()}
+    assert [(got[f]["n_frames"], round(got[f]["total_s"], 9)) for f in ("left", "right")] == [(11, 1.0)] * 2
