@@ -286,7 +286,7 @@ def test_lm_score_is_partial_matching(spark):
 
 def test_lm_score_keeps_every_context(spark):
     """A context that is rare among all symbols counts as well, at the default settings."""
-    rows = [(i, "a" * 4000) for i in range(100)] + [(200 + i, f"qxzjkv{i % 2}") for i in range(4)] + [(300, "qxzjkw")]
+    rows = [(i, "a" * 4000) for i in range(100)] + [(200 + i, f"qxqzxqkzqxk{i % 2}") for i in range(4)] + [(300, "qxqzxqkzqxw")]
     got = by_id(lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")))
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     for i in (0, 200, 203, 300):
