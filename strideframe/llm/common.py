@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,8 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Rows up to which a side is broadcast; a row here is a few numbers or one short string.
 BROADCAST_ROWS = 200_000
+#: Rows of one key from which it is looked up apart from the others.
+HOT_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +31,15 @@ def text_key(text: str = "text") -> Column:
 def _shared_dir(df: DataFrame) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set (local tests) a temporary folder is taken.
+    Only where none is set and there is a single process (local tests) a temporary folder is
+    taken; on a cluster a missing setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -49,13 +56,33 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """``df``, materialised, with a broadcast hint only if its counted rows allow that.
 
-    Beyond the bound the hint is left out and the join shuffles both sides.
+    ``weight`` counts rows that hold lists: as how many short ones each goes. Beyond
+    BROADCAST_ROWS the hint is left out and the join shuffles both sides.
     """
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    size = kept.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(kept) if size <= BROADCAST_ROWS else kept
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values``, which has a row for each ``key`` and in ``n`` how many rows have it.
+
+    Beyond BROADCAST_ROWS values the join shuffles, but not for keys of very many rows: these
+    go by broadcast, so that none of them meets in one task. However large the table, at most
+    BROADCAST_ROWS keys can have more than one in BROADCAST_ROWS of the rows each. ``rows`` is
+    read more than once, so it should be materialised. ``n`` is dropped. ``how`` may be left.
+    """
+    kept = cut(values)
+    keys, total = kept.agg(F.count("*"), F.sum(n)).first()
+    if keys <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(kept.drop(n)), key, how)
+    least = max(HOT_ROWS, total // BROADCAST_ROWS)
+    hot = kept.where(F.col(n) > least).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(kept.where(F.col(n) <= least).drop(n), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def same(a: Column, b: Column) -> Column:

@@ -101,39 +101,32 @@ def unigram(docs):
 
 
 def repeated_lines(docs, least=50):
-    """The texts left: windows of the fewest lines with ``least`` words, first seen elsewhere, grown both ways."""
-    held = {}
-    for i in docs:
-        at, held[i] = 0, []
-        for p, x in enumerate((docs[i] or "").split("\n")):
-            if x.strip(SPACE):
-                held[i].append((p, x.strip(SPACE), at))
-                at += len(words(x))
-    first, windows = {}, []
-    for i in sorted(held):
-        x = held[i]
-        for k in range(len(x)):
-            n, m = 0, k
-            while m < len(x) and n < least:
-                n, m = n + len(words(x[m][1])), m + 1
-            if n >= least:
-                key = tuple(t for _, t, _ in x[k:m])
-                windows.append((i, k, m, key))
-                first.setdefault(key, (i, k, m))
+    """The texts left when lines of runs of ``least`` words or more that stand earlier too are gone.
+
+    Stated from the contract: places of equal lines are compared along every shift, and each
+    run of neighbouring equal ones counts as it is. In one text a run must not overlap the
+    earlier one, so that a run longer than its shift is looked at piece by piece.
+    """
+    held = {i: [(p, x.strip(SPACE)) for p, x in enumerate((docs[i] or "").split("\n")) if x.strip(SPACE)] for i in docs}
+    size = {i: [len(words(x)) for _, x in held[i]] for i in docs}
+    places = defaultdict(list)
     gone = defaultdict(set)
-    for i, k, m, key in windows:
-        j, k0, m0 = first[key]
-        if (i, k) == (j, k0) or (i == j and k < m0):
-            continue
-        x, y, room = held[i], held[j], k - k0 - (m - k) if i == j else 2 * least
-        ahead = lambda z, a, b: [v for v in z[b:] if v[2] < z[a][2] + 2 * least]
-        behind = lambda z, a: [v for v in reversed(z[:a]) if v[2] >= z[a][2] - least]
-        gone[i] |= {v[0] for v in x[k:m]}
-        for mine, other in ((ahead(x, k, m), ahead(y, k0, m0)), (behind(x, k), behind(y, k0))):
-            for u, v in list(zip(mine, other))[:room]:
-                if u[1] != v[1]:
-                    break
-                gone[i].add(u[0])
+    for i in sorted(held):
+        for k, (_, x) in enumerate(held[i]):
+            places[x].append((i, k))
+        shifts = defaultdict(list)
+        for k, (_, x) in enumerate(held[i]):
+            for j, k0 in places[x]:
+                if j != i or k0 < k:
+                    shifts[j, k - k0].append(k)
+        for (j, d), ks in shifts.items():
+            while ks:
+                n = next((n for n in range(1, len(ks)) if ks[n] != ks[0] + n), len(ks))
+                run, ks = ks[:n], ks[n:]
+                for s in run if j == i else run[:1]:
+                    piece = [k for k in run if s <= k < s + d] if j == i else run
+                    if sum(size[i][k] for k in piece) >= least:
+                        gone[i] |= {held[i][k][0] for k in piece}
     return {i: None if docs[i] is None else "\n".join(t for p, t in enumerate(docs[i].split("\n")) if p not in gone[i]) for i in docs}
 
 

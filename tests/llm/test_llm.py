@@ -167,36 +167,26 @@ def test_line_dedup_mixed_runs(spark):
     assert {i: r["text"] for i, r in by_id(line_dedup.dedup_lines(df)).items()} == brute.repeated_lines(rows)
 
 
-def runs_without_reach(docs, least=50):
-    """As ``brute.repeated_lines``, but matches grow as far as lines are equal."""
-    held = {i: [(p, x.strip(brute.SPACE)) for p, x in enumerate((docs[i] or "").split("\n")) if x.strip(brute.SPACE)] for i in docs}
-    first, windows, gone = {}, [], {i: set() for i in docs}
-    for i in sorted(held):
-        for k in range(len(held[i])):
-            n, m = 0, k
-            while m < len(held[i]) and n < least:
-                n, m = n + len(brute.words(held[i][m][1])), m + 1
-            if n >= least:
-                windows.append((i, k, m, tuple(t for _, t in held[i][k:m])))
-                first.setdefault(windows[-1][3], (i, k, m))
-    for i, k, m, key in windows:
-        j, k0, m0 = first[key]
-        if (i, k) == (j, k0) or (i == j and k < m0):
-            continue
-        x, y = held[i], held[j]
-        room = k - k0 - (m - k) if i == j else len(x)
-        gone[i] |= {p for p, _ in x[k:m]}
-        for mine, other in ((x[m:], y[m0:]), (x[:k][::-1], y[:k0][::-1])):
-            same = itertools.takewhile(lambda uv: uv[0][1] == uv[1][1], list(zip(mine, other))[:room])
-            gone[i] |= {u[0] for u, _ in same}
-    return {i: None if docs[i] is None else "\n".join(t for p, t in enumerate(docs[i].split("\n")) if p not in gone[i]) for i in docs}
-
-
-@pytest.mark.parametrize("which", ["docs", "odd"])
-def test_line_dedup_without_reach(request, which, texts, odd_texts):
-    df = request.getfixturevalue(which).where("doc_id is not null")
+def test_line_dedup_finds_a_later_source(spark):
+    """A run that equals another copy's rather than the first one's goes, to its last line."""
+    line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    common, tail = line("c", 55), line("t", 9)
+    texts = {1: f"{line('a', 9)}\n{common}\nend", 2: f"{common}\n{tail}", 3: f"x\n{common}\n{tail}\ny", 4: f"{line('b', 30)}\n{line('m', 26)}", 5: f"{line('m', 26)}\n{line('n', 26)}", 6: f"{line('m', 26)}\n{line('n', 26)}\nz"}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     got = {i: r["text"] for i, r in by_id(line_dedup.dedup_lines(df)).items()}
-    assert got == runs_without_reach(texts if which == "docs" else odd_texts)
+    assert got == {1: texts[1], 2: tail, 3: "x\ny", 4: texts[4], 5: texts[5], 6: "z"} == brute.repeated_lines(texts)
+
+
+def test_fingerprints_are_few_and_shared(spark):
+    """Equal runs share a selected gram, and grams are selected at a part of the lines only."""
+    rnd = random.Random(3)
+    some = lambda n: [f"l{rnd.randrange(10**9)} b c" for _ in range(n)]
+    run = some(17)
+    rows = [(i, "\n".join([*some(rnd.randrange(40)), *run, *some(rnd.randrange(40))])) for i in range(40)]
+    lines = line_dedup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    prints = line_dedup.fingerprints(lines)
+    assert prints.count() < lines.count() / 3
+    assert prints.groupBy("fp").count().agg(F.max("count")).first()[0] == 40
 
 
 def test_line_dedup_grows_past_long_lines(spark):
