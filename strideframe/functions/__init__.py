@@ -15,6 +15,16 @@ def _lit(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def given(x: Column | str | float) -> Column:
+    """A number that holds for all clips, or the name of the column that has each clip's own."""
+    return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
+
+
+def named(*values: Column | str | float) -> list[str]:
+    """Those of ``values`` that are column names."""
+    return sorted({v for v in values if isinstance(v, str)})
+
+
 def nan_to_null(x: Column) -> Column:
     """Missing values are null everywhere; NaN would compare as the greatest number."""
     return F.when(F.isnan(x), None).otherwise(x)
@@ -37,8 +47,22 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
 
 
+def processed_name(path: Column) -> Column:
+    """File name of an approach's overlay."""
+    return F.concat(stem(path), F.lit("_pv_processed.mp4"))
+
+
+def contact_overlay_path(path: Column) -> Column:
+    """Path of a ground contact overlay: beside the clip, its last suffix replaced."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit("_foot_contact_overlay.mp4"))
+
+
+#: Fixed value: the characters that stay in file names.
+_SAFE = r"[^A-Za-z0-9_.-]+"
+
+
 def safe_name(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "_")
+    return F.regexp_replace(text, _SAFE, "_")
 
 
 def suffix(path: Column) -> Column:

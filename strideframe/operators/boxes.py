@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import clip
+from ..functions import clip, given, named
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 
@@ -25,32 +25,43 @@ def _largest(chosen: Column) -> Column:
     return F.max_by(F.struct("x1", "y1", "x2", "y2"), rank)
 
 
-def largest_person_box(detections: DataFrame, width: int, height: int, conf_min: float | None = None, keys: tuple[str, ...] = ("clip_id", "frame", "pass")) -> DataFrame:
+def _sizes(width: int | str, height: int | str) -> tuple[list[Column], Column, Column]:
+    """What an aggregation needs to know a frame's size afterwards, and the size then."""
+    sides = [F.max(w).alias(w) for w in named(width, height)]
+    return sides, given(width), given(height)
+
+
+def largest_person_box(detections: DataFrame, width: int | str, height: int | str, conf_min: float | None = None, keys: tuple[str, ...] = ("clip_id", "frame", "pass")) -> DataFrame:
     """``box`` of every (clip, frame, pass): chosen by raw area first, clamped afterwards.
 
     A chosen box that clamps to nothing gives null, even where a smaller one would be left.
+    ``width`` and ``height`` are numbers, or columns of the detections with each clip's own.
     One aggregation with map-side combine.
     """
     kept = F.lit(True) if conf_min is None else F.col("conf") >= conf_min
-    best = detections.groupBy(*keys).agg(_largest(kept).alias("raw"))
-    return best.select(*keys, clamp_box(F.col("raw"), F.lit(width), F.lit(height)).alias("box"))
+    sides, w, h = _sizes(width, height)
+    best = detections.groupBy(*keys).agg(_largest(kept).alias("raw"), *sides)
+    return best.select(*keys, clamp_box(F.col("raw"), w, h).alias("box"))
 
 
-def detect_with_fallback(detections: DataFrame, width: int, height: int, conf_min: float | None = None) -> DataFrame:
-    """``box`` of every (clip, frame): of the original pass, else of the boosted one, else null."""
+def detect_with_fallback(detections: DataFrame, width: int | str, height: int | str, conf_min: float | None = None) -> DataFrame:
+    """``box`` of every (clip, frame): of the original pass, else of the boosted one, else null.
+
+    Sizes are numbers or columns of the detections; columns stay in the result.
+    """
     kept = F.lit(True) if conf_min is None else F.col("conf") >= conf_min
-    best = detections.groupBy("clip_id", "frame").agg(_largest(kept & (F.col("pass") == "original")).alias("a"), _largest(kept & (F.col("pass") == "boosted")).alias("b"))
-    w, h = F.lit(width), F.lit(height)
-    return best.select("clip_id", "frame", F.coalesce(clamp_box(F.col("a"), w, h), clamp_box(F.col("b"), w, h)).alias("box"))
+    sides, w, h = _sizes(width, height)
+    best = detections.groupBy("clip_id", "frame").agg(_largest(kept & (F.col("pass") == "original")).alias("a"), _largest(kept & (F.col("pass") == "boosted")).alias("b"), *sides)
+    return best.select("clip_id", "frame", *named(width, height), F.coalesce(clamp_box(F.col("a"), w, h), clamp_box(F.col("b"), w, h)).alias("box"))
 
 
-def expand_roi(boxes: DataFrame, width: int, height: int, margin: float = 0.3) -> DataFrame:
+def expand_roi(boxes: DataFrame, width: int | str, height: int | str, margin: float = 0.3) -> DataFrame:
     """Adds ``roi``: the box grown about its centre, cut to the frame; null if empty."""
     b, grow = F.col("box"), F.lit(1.0 + margin)
     half_w, half_h = ((b["x2"] - b["x1"]) * grow).cast("int") / 2, ((b["y2"] - b["y1"]) * grow).cast("int") / 2
     cx, cy = b["x1"] + (b["x2"] - b["x1"]) / 2, b["y1"] + (b["y2"] - b["y1"]) / 2
-    x1, x2 = F.greatest(F.lit(0), (cx - half_w).cast("int")), F.least(F.lit(width), (cx + half_w).cast("int"))
-    y1, y2 = F.greatest(F.lit(0), (cy - half_h).cast("int")), F.least(F.lit(height), (cy + half_h).cast("int"))
+    x1, x2 = F.greatest(F.lit(0), (cx - half_w).cast("int")), F.least(given(width), (cx + half_w).cast("int"))
+    y1, y2 = F.greatest(F.lit(0), (cy - half_h).cast("int")), F.least(given(height), (cy + half_h).cast("int"))
     grown = F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
     return boxes.withColumn("roi", F.when(b.isNotNull() & (x2 > x1) & (y2 > y1), grown))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import to_px
+from ..functions import given, to_px
 from .signals import iqr_outlier_flag
 
 
@@ -19,7 +19,8 @@ def _frames() -> WindowSpec:
 
 
 def analysis_window(series: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
-    """Adds start_idx and end_idx (exclusive): from the first step to just after the last one.
+    """Adds start_idx and end_idx (exclusive), from the first step to just after the last one, and
+    ended: whether a last step is known.
 
     ``bounds`` (clip_id, first_step, last_step) is one row a clip; without it, or where it is
     null, the whole clip is meant.
@@ -31,7 +32,7 @@ def analysis_window(series: DataFrame, bounds: DataFrame | None = None) -> DataF
     n = F.count("*").over(_clip()).cast("int")
     start = F.greatest(F.lit(0), F.least(F.coalesce("first_step", F.lit(0)), n - 1))
     end = F.least(F.coalesce(F.col("last_step") + 1, n), n)
-    return series.withColumns({"start_idx": start, "end_idx": end}).drop("first_step", "last_step")
+    return series.withColumns({"start_idx": start, "end_idx": end, "ended": F.col("last_step").isNotNull()}).drop("first_step", "last_step")
 
 
 def valid_pose_frames(series: DataFrame) -> DataFrame:
@@ -76,11 +77,12 @@ def worst_frames(drooped: DataFrame, share: float = 0.05) -> DataFrame:
     return late.withColumn("place", order).where(F.col("place") <= k)
 
 
-def hip_droop(series: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
-    """One row for every clip of ``series``: droop, its trend, valid frames, worst frames, bounds.
+def hip_droop(series: DataFrame, bounds: DataFrame | None = None, clips: DataFrame | None = None) -> DataFrame:
+    """One row for every clip of ``series``, and of ``clips`` if given: droop, its trend, valid frames, worst frames, bounds.
 
     The droop is the mean of the worst frames, the trend the later half's mean less that of
-    the first k frames. Fewer than 3 valid frames leave both null.
+    the first k frames. Fewer than 3 valid frames leave both null. A clip without frames has
+    n_valid, start_idx and end_idx 0.
     """
     windowed = analysis_window(series, bounds)
     drooped = droop_series(hip_baseline(valid_pose_frames(in_window(windowed))))
@@ -95,14 +97,19 @@ def hip_droop(series: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
         F.count("*").cast("int").alias("n_valid"),
         F.sort_array(F.collect_list(F.when(F.col("worst"), F.col("frame")))).alias("worst_frames"),
     )
-    clips = windowed.groupBy("clip_id").agg(F.max("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"))
-    out = clips.join(metrics, "clip_id", "left")
+    sides = windowed.groupBy("clip_id").agg(F.max("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"))
+    if clips is not None:
+        sides = clips.select("clip_id").distinct().join(sides, "clip_id", "left").fillna(0, ["start_idx", "end_idx"])
+    out = sides.join(metrics, "clip_id", "left")
     return out.select("clip_id", "hip_droop_pct", "hip_droop_trend_pct", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("worst_frames", F.array().cast("array<int>")).alias("worst_frames"), "start_idx", "end_idx")
 
 
-def hip_trail(points: DataFrame, worst: DataFrame, width: int, height: int) -> DataFrame:
-    """Hip points (x, y) in the analysis window as pixels, whether worst, and how many are drawn so far."""
+def hip_trail(points: DataFrame, worst: DataFrame, width: int | str, height: int | str) -> DataFrame:
+    """Hip points (x, y) in the analysis window as pixels, whether worst, and how many are drawn so far.
+
+    Only clips whose last step is known have a trail.
+    """
     upto = _frames().rowsBetween(W.unboundedPreceding, 0)
-    shown = in_window(points).where("x IS NOT NULL AND y IS NOT NULL")
+    shown = in_window(points).where("ended AND x IS NOT NULL AND y IS NOT NULL")
     flagged = shown.join(worst.select("clip_id", "frame", F.lit(True).alias("w")), ["clip_id", "frame"], "left")
-    return flagged.select("clip_id", "frame", to_px(F.col("x"), F.lit(width)).alias("px"), to_px(F.col("y"), F.lit(height)).alias("py"), F.coalesce("w", F.lit(False)).alias("worst"), F.sum(F.lit(1)).over(upto).alias("seen"))
+    return flagged.select("clip_id", "frame", to_px(F.col("x"), given(width)).alias("px"), to_px(F.col("y"), given(height)).alias("py"), F.coalesce("w", F.lit(False)).alias("worst"), F.sum(F.lit(1)).over(upto).alias("seen"))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 def step_marks_reduce(marks: DataFrame) -> DataFrame:
     """(clip_id, steps, first_step, last_step) of every session that wasn't aborted.
 
-    steps are distinct and sorted; last_step is the one pressed last, not the greatest. What
-    follows the first 'e' doesn't count. Without steps, last_step is the frame of 'e'.
+    What follows the first 'e', an abort too, doesn't count. steps are distinct and sorted;
+    last_step is the one pressed last, not the greatest. Without steps it is the frame of 'e'.
     """
-    end = marks.groupBy("clip_id").agg(F.min(F.when(F.col("action") == "e", F.col("seq"))).alias("_end"), F.max((F.col("action") == "abort").cast("int")).alias("_aborted"))
-    kept = marks.join(end, "clip_id").where("_aborted = 0 AND (_end IS NULL OR seq <= _end)")
+    end = marks.groupBy("clip_id").agg(F.min(F.when(F.col("action") == "e", F.col("seq"))).alias("_end"), F.min(F.when(F.col("action") == "abort", F.col("seq"))).alias("_abort"))
+    kept = marks.join(end, "clip_id").where("(_abort IS NULL OR _abort > _end) AND (_end IS NULL OR seq <= _end)")
     pressed = F.when(F.col("action") == "s", F.col("frame"))
     out = kept.groupBy("clip_id").agg(F.sort_array(F.collect_set(pressed)).alias("steps"), F.min(pressed).alias("first_step"), F.max_by("frame", F.when(F.col("action") == "s", F.col("seq"))).alias("_last"), F.max(F.when(F.col("action") == "e", F.col("frame"))).alias("_e"))
     return out.select("clip_id", "steps", "first_step", F.coalesce("_last", "_e").alias("last_step"))
@@ -74,10 +74,13 @@ def mark_frames(frames: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
 
 
 def approach_summary(clips: DataFrame, hip: DataFrame, stride: DataFrame, steps: DataFrame) -> DataFrame:
-    """One row a clip: analysis window in frames and seconds, stride and hip metrics."""
+    """One row a clip: analysis window in frames and seconds, stride and hip metrics.
+
+    A clip without frames has n_valid 0.
+    """
     joined = clips.join(steps.select("clip_id", "first_step", "last_step"), "clip_id", "left").join(stride, "clip_id", "left").join(hip.drop("worst_frames"), "clip_id", "left")
     some = F.col("last_step").isNotNull()
     start = F.when(some, F.coalesce("first_step", F.lit(0))).otherwise(F.lit(0))
     end = F.when(some, F.col("last_step")).otherwise(F.col("total_frames") - 1)
     seconds = lambda c: F.when(F.col("fps") > 0, F.try_divide(c.cast("double"), F.col("fps")))
-    return joined.select("clip_id", start.alias("start_frame"), end.alias("end_frame"), seconds(start).alias("t_start"), seconds(end).alias("t_end"), "n_steps", "stride_rate", "cadence", "hip_droop_pct", "hip_droop_trend_pct", "n_valid")
+    return joined.select("clip_id", start.alias("start_frame"), end.alias("end_frame"), seconds(start).alias("t_start"), seconds(end).alias("t_end"), "n_steps", "stride_rate", "cadence", "hip_droop_pct", "hip_droop_trend_pct", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import to_px
+from ..functions import given, named, to_px
 
 #: Landmark ids of the public 33-point pose model (fixed values).
 NOSE, L_HIP, R_HIP, L_KNEE, R_KNEE, L_ANKLE, R_ANKLE, L_FOOT, R_FOOT = 0, 23, 24, 25, 26, 27, 28, 31, 32
@@ -13,12 +13,15 @@ JOINTS = {"l_hip": L_HIP, "r_hip": R_HIP, "l_knee": L_KNEE, "r_knee": R_KNEE, "l
 LEG_EDGES = [("l_hip", "r_hip"), ("l_hip", "l_knee"), ("l_knee", "l_ankle"), ("r_hip", "r_knee"), ("r_knee", "r_ankle")]
 
 
-def roi_to_frame(landmarks: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """x and y from shares of the box to shares of the frame; only landmarks that have a box."""
+def roi_to_frame(landmarks: DataFrame, boxes: DataFrame, width: int | str, height: int | str) -> DataFrame:
+    """x and y from shares of the box to shares of the frame; only landmarks that have a box.
+
+    ``width`` and ``height`` are numbers, or columns of ``boxes`` with each clip's own, which stay.
+    """
     b = F.col("box")
-    joined = landmarks.join(boxes.where("box IS NOT NULL").select("clip_id", "frame", "box"), ["clip_id", "frame"])
-    x = (b["x1"] + F.col("x") * (b["x2"] - b["x1"])) / F.lit(float(width))
-    y = (b["y1"] + F.col("y") * (b["y2"] - b["y1"])) / F.lit(float(height))
+    joined = landmarks.join(boxes.where("box IS NOT NULL").select("clip_id", "frame", "box", *named(width, height)), ["clip_id", "frame"])
+    x = (b["x1"] + F.col("x") * (b["x2"] - b["x1"])) / given(width).cast("double")
+    y = (b["y1"] + F.col("y") * (b["y2"] - b["y1"])) / given(height).cast("double")
     return joined.withColumns({"x": x, "y": y}).drop("box")
 
 
@@ -28,10 +31,10 @@ def gate_visibility(landmarks: DataFrame, threshold: float = 0.5) -> DataFrame:
     return landmarks.withColumns({"x": F.when(seen, F.col("x")), "y": F.when(seen, F.col("y"))})
 
 
-def norm_to_px(df: DataFrame, width: int, height: int, clamp: bool = False) -> DataFrame:
+def norm_to_px(df: DataFrame, width: int | str, height: int | str, clamp: bool = False) -> DataFrame:
     """Adds px, py; both null if either coordinate is missing."""
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    return df.withColumns({"px": F.when(both, to_px(F.col("x"), F.lit(width), clamp)), "py": F.when(both, to_px(F.col("y"), F.lit(height), clamp))})
+    return df.withColumns({"px": F.when(both, to_px(F.col("x"), given(width), clamp)), "py": F.when(both, to_px(F.col("y"), given(height), clamp))})
 
 
 def _of(lm: int, value: str) -> Column:
@@ -54,14 +57,16 @@ def foot_series(landmarks: DataFrame, frames: DataFrame | None = None) -> DataFr
     """(clip_id, foot, frame, x, y) of both feet from gated landmarks.
 
     Every frame of ``frames`` has both feet, null where there is no pose; without it, the
-    frames are those that have a foot's landmark.
+    frames are those that have a foot's landmark. Other columns of ``frames`` stay.
     """
     needed = landmarks.where(F.col("lm_id").isin(L_FOOT, R_FOOT))
     wide = needed.groupBy("clip_id", "frame").agg(*[_of(lm, c).alias(f"{foot}_{c}") for foot, lm in (("left", L_FOOT), ("right", R_FOOT)) for c in "xy"])
+    more: list[str] = []
     if frames is not None:
-        wide = frames.select("clip_id", "frame").join(wide, ["clip_id", "frame"], "left")
+        more = [c for c in frames.columns if c not in wide.columns and c != "box"]
+        wide = frames.select("clip_id", "frame", *more).join(wide, ["clip_id", "frame"], "left")
     feet = [F.struct(F.lit(f).alias("foot"), F.col(f"{f}_x").alias("x"), F.col(f"{f}_y").alias("y")) for f in ("left", "right")]
-    return wide.select("clip_id", "frame", F.explode(F.array(*feet)).alias("f")).select("clip_id", "f.foot", "frame", "f.x", "f.y")
+    return wide.select("clip_id", "frame", *more, F.explode(F.array(*feet)).alias("f")).select("clip_id", "f.foot", "frame", "f.x", "f.y", *more)
 
 
 def joint_points(landmarks: DataFrame) -> DataFrame:
@@ -70,9 +75,9 @@ def joint_points(landmarks: DataFrame) -> DataFrame:
     return needed.groupBy("clip_id", "frame").agg(*[_of(lm, c).alias(f"{name}_{c}") for name, lm in JOINTS.items() for c in ("px", "py")])
 
 
-def skeleton_qc(landmarks: DataFrame, rois: DataFrame, width: int, height: int, tolerance: float = 2.0) -> DataFrame:
+def skeleton_qc(landmarks: DataFrame, rois: DataFrame, width: int | str, height: int | str, tolerance: float = 2.0) -> DataFrame:
     """Whether a frame's skeleton fits its region: size, centre, and joints outside it."""
-    px, py = F.col("x") * F.lit(float(width)), F.col("y") * F.lit(float(height))
+    px, py = F.col("x") * given(width).cast("double"), F.col("y") * given(height).cast("double")
     r = F.col("roi")
     outside = (px < r["x1"] - tolerance) | (px > r["x2"] + tolerance) | (py < r["y1"] - tolerance) | (py > r["y2"] + tolerance)
     joined = landmarks.join(rois.where("roi IS NOT NULL").select("clip_id", "frame", "roi"), ["clip_id", "frame"])
@@ -89,15 +94,15 @@ def skeleton_qc(landmarks: DataFrame, rois: DataFrame, width: int, height: int,
     return flagged.select("clip_id", "frame", *flags, "outside", (~bad).alias("accept"))
 
 
-def _inside(px: Column, py: Column, width: int, height: int) -> Column:
-    return (px >= 0) & (px < width) & (py >= 0) & (py < height)
+def _inside(px: Column, py: Column, width: int | str, height: int | str) -> Column:
+    return (px >= 0) & (px < given(width)) & (py >= 0) & (py < given(height))
 
 
-def drawable_segments(landmarks_px: DataFrame, edges: DataFrame, width: int, height: int, visible: float = 0.1) -> DataFrame:
+def drawable_segments(landmarks_px: DataFrame, edges: list[tuple[int, int]], width: int | str, height: int | str, visible: float = 0.1) -> DataFrame:
     """Skeleton edges whose ends both exist, are visible and lie inside the frame.
 
     Landmarks of a frame meet in one map, so that there is one aggregation and no self-join;
-    ``edges`` is the pose model's fixed list, of some dozens of rows.
+    ``edges`` is the pose model's fixed list of (start_id, end_id), some dozens.
     """
     usable = landmarks_px.where((F.col("visibility") >= visible) & _inside(F.col("px"), F.col("py"), width, height))
     frames = usable.groupBy("clip_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("lm_id", F.struct("px", "py")))).alias("at"))
@@ -106,9 +111,8 @@ def drawable_segments(landmarks_px: DataFrame, edges: DataFrame, width: int, hei
     return ends.where(a.isNotNull() & b.isNotNull()).select("clip_id", "frame", "edge.start_id", "edge.end_id", a["px"].alias("x1"), a["py"].alias("y1"), b["px"].alias("x2"), b["py"].alias("y2"))
 
 
-def _edge_array(edges: DataFrame) -> Column:
-    pairs = edges.select("start_id", "end_id").collect()
-    return F.array(*[F.struct(F.lit(p["start_id"]).alias("start_id"), F.lit(p["end_id"]).alias("end_id")) for p in pairs])
+def _edge_array(edges: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("start_id"), F.lit(b).alias("end_id")) for a, b in edges])
 
 
 def leg_segments(points: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def leg_segments(points: DataFrame) -> DataFrame:
     return rows.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
 
 
-def visible_joints(landmarks_px: DataFrame, width: int, height: int) -> DataFrame:
+def visible_joints(landmarks_px: DataFrame, width: int | str, height: int | str) -> DataFrame:
     """Joints inside the frame, whatever their visibility."""
     return landmarks_px.where(_inside(F.col("px"), F.col("py"), width, height))
 

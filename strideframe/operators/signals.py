@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import given
+
 KEYS = ("clip_id", "foot")
 
 
@@ -59,11 +61,14 @@ def moving_average(df: DataFrame, cols: list[str], window: int = 5, keys: tuple[
     return df.withColumns({c: mean(c) for c in cols}).drop(*[f"_{end}_{c}" for c in cols for end in ("lo", "hi")])
 
 
-def velocity(df: DataFrame, col: str, dt: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Adds v: change a second; the first frame has the second's. A single frame has none."""
+def velocity(df: DataFrame, col: str, dt: float | str | Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Adds v: change a second; the first frame has the second's. A single frame has none.
+
+    ``dt`` is a number of seconds, or a column with each clip's own.
+    """
     up, _ = _orders(keys)
     step = F.coalesce(F.col(col) - F.lag(col).over(up), F.lead(col).over(up) - F.col(col))
-    return df.withColumn("v", step / F.lit(dt))
+    return df.withColumn("v", step / given(dt))
 
 
 def contact_thresholds(df: DataFrame, col: str = "y", height: float = 0.8, speed: float = 0.3, keys: tuple[str, ...] = KEYS) -> DataFrame:

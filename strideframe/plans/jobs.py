@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import named
 from ..operators import boxes, contacts, hip, labels, landmarks
 
 
@@ -16,28 +17,47 @@ def co_partitioned(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
-def ground_contacts(detections: DataFrame, points: DataFrame, ranges: DataFrame, width: int, height: int, fps: float) -> tuple[DataFrame, DataFrame]:
+def _of_clips(clips: DataFrame | None, *values: float | str) -> list[str]:
+    names = named(*values)
+    if names and clips is None:
+        raise ValueError(f"clips must have {', '.join(names)}")
+    return names
+
+
+def ground_contacts(detections: DataFrame, points: DataFrame, ranges: DataFrame, width: int | str, height: int | str, fps: float | str, clips: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(frames, summary): contacts by frame and foot, and per clip and foot.
 
     Landmarks are relative to the raw box, the last known one where a frame has none. Every
     frame of a range counts, whether it has detections, landmarks or neither; ranges lie
-    within their clips.
+    within their clips. Sizes and rate are numbers for all clips, or columns of ``clips``.
     """
-    found = boxes.detect_with_fallback(detections.repartition("clip_id"), width, height)
+    sizes, all_of = _of_clips(clips, width, height), _of_clips(clips, width, height, fps)
     every = ranges.select("clip_id", F.explode(F.sequence(F.col("start_frame").cast("int"), F.col("end_frame").cast("int"))).alias("frame"))
+    dealt = detections.repartition("clip_id")
+    if all_of:
+        every = every.join(clips.select("clip_id", *all_of), "clip_id")
+    if sizes:
+        dealt = dealt.join(clips.select("clip_id", *sizes), "clip_id")
+    found = boxes.detect_with_fallback(dealt, width, height).select("clip_id", "frame", "box")
     carried = boxes.carry_forward_box(every.repartition("clip_id").join(found, ["clip_id", "frame"], "left"))
     needed = points.where(F.col("lm_id").isin(landmarks.L_FOOT, landmarks.R_FOOT)).repartition("clip_id")
     placed = landmarks.gate_visibility(landmarks.roi_to_frame(needed, carried, width, height))
     frames = contacts.find_contacts(landmarks.foot_series(placed, carried), fps)
-    return frames, contacts.contact_summary(frames)
+    return frames, contacts.contact_summary(frames, ranges)
 
 
-def approach(detections: DataFrame, points: DataFrame, marks: DataFrame, clips: DataFrame, width: int, height: int) -> DataFrame:
-    """One row a clip: hip droop over the run-up, and stride. Boxes grow by a margin and aren't carried."""
+def approach(detections: DataFrame, points: DataFrame, marks: DataFrame, clips: DataFrame, width: int | str, height: int | str) -> DataFrame:
+    """One row a clip: hip droop over the run-up, and stride. Boxes grow by a margin and aren't carried.
+
+    Sizes are numbers for all clips, or columns of ``clips``; frame rates are those of ``clips``.
+    """
     steps = labels.step_marks_reduce(marks)
-    found = boxes.detect_with_fallback(detections.repartition("clip_id"), width, height)
+    dealt, sizes = detections.repartition("clip_id"), _of_clips(clips, width, height)
+    if sizes:
+        dealt = dealt.join(clips.select("clip_id", *sizes), "clip_id")
+    found = boxes.detect_with_fallback(dealt, width, height)
     rois = boxes.expand_roi(found, width, height)
     needed = points.where(F.col("lm_id").isin(landmarks.NOSE, landmarks.L_HIP, landmarks.R_HIP, landmarks.L_ANKLE, landmarks.R_ANKLE)).repartition("clip_id")
-    placed = landmarks.roi_to_frame(needed, rois.select("clip_id", "frame", F.col("roi").alias("box")), width, height)
+    placed = landmarks.roi_to_frame(needed, rois.select("clip_id", "frame", *sizes, F.col("roi").alias("box")), width, height)
     series = landmarks.hip_series(placed, found)
-    return labels.approach_summary(clips, hip.hip_droop(series, steps), labels.stride_metrics(steps, clips), steps)
+    return labels.approach_summary(clips, hip.hip_droop(series, steps, clips), labels.stride_metrics(steps, clips), steps)

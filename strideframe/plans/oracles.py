@@ -74,18 +74,26 @@ def _mean(c: str) -> str:
     return f"(coalesce(lag({c}, 2) OVER w, {lo}) + coalesce(lag({c}, 1) OVER w, {lo}) + {c} + coalesce(lead({c}, 1) OVER w, {hi}) + coalesce(lead({c}, 2) OVER w, {hi})) / 5.0::DOUBLE AS {c}"
 
 
-_GAIT = [
-    f"gait_p AS (SELECT *, row_number() OVER ({_O}) AS p FROM gait)",
-    "sides AS (SELECT *, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER a AS {c}0, last_value(CASE WHEN {c} IS NOT NULL THEN p END IGNORE NULLS) OVER a AS p{c}, first_value({c} IGNORE NULLS) OVER b AS {c}1, first_value(CASE WHEN {c} IS NOT NULL THEN p END IGNORE NULLS) OVER b AS q{c}" for c in "xy") + f" FROM gait_p WINDOW a AS ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({_O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))",
-    f"filled AS (SELECT clip_id, foot, frame, {_fill('x')}, {_fill('y')} FROM sides)",
-    f"smooth AS (SELECT clip_id, foot, frame, {_mean('x')}, {_mean('y')} FROM filled WINDOW w AS ({_O}), f AS ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
-    f"moving AS (SELECT *, coalesce(y - lag(y) OVER w, lead(y) OVER w - y) / (1.0::DOUBLE / 30.0::DOUBLE) AS v FROM smooth WINDOW w AS ({_O}))",
-    "thr AS (SELECT clip_id, foot, quantile_cont(y, 0.8) AS y_thr, quantile_cont(abs(v), 0.3) AS v_thr FROM moving GROUP BY clip_id, foot)",
-    "flagged AS (SELECT clip_id, foot, frame, x, y, coalesce(y >= y_thr AND abs(v) <= v_thr, false) AS c FROM moving JOIN thr USING (clip_id, foot))",
-    f"islands AS (SELECT *, row_number() OVER ({_O}) - row_number() OVER (PARTITION BY clip_id, foot, c ORDER BY frame) AS g FROM flagged)",
-    "clean AS (SELECT clip_id, foot, frame, x, y, c AND count(*) OVER (PARTITION BY clip_id, foot, c, g) >= 3 AS contact FROM islands)",
-    f"stepped AS (SELECT *, coalesce(contact AND NOT lag(contact) OVER ({_O}), false) AS step, frame / 30.0::DOUBLE AS t_s FROM clean)",
-]
+_RATE = "(SELECT fps FROM mixed_clips m WHERE m.clip_id = {}.clip_id)"
+
+
+def _gait(fps: str = "30.0::DOUBLE", smooth_fps: str = "30.0::DOUBLE") -> list[str]:
+    """From ``gait`` to steps; a rate that isn't positive gives no speed and no time."""
+    return [
+        f"gait_p AS (SELECT *, row_number() OVER ({_O}) AS p FROM gait)",
+        "sides AS (SELECT *, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER a AS {c}0, last_value(CASE WHEN {c} IS NOT NULL THEN p END IGNORE NULLS) OVER a AS p{c}, first_value({c} IGNORE NULLS) OVER b AS {c}1, first_value(CASE WHEN {c} IS NOT NULL THEN p END IGNORE NULLS) OVER b AS q{c}" for c in "xy") + f" FROM gait_p WINDOW a AS ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({_O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))",
+        f"filled AS (SELECT clip_id, foot, frame, {_fill('x')}, {_fill('y')} FROM sides)",
+        f"smooth AS (SELECT clip_id, foot, frame, {_mean('x')}, {_mean('y')} FROM filled WINDOW w AS ({_O}), f AS ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+        f"moving AS (SELECT *, coalesce(y - lag(y) OVER w, lead(y) OVER w - y) / (1.0::DOUBLE / {smooth_fps}) AS v FROM smooth WINDOW w AS ({_O}))",
+        "thr AS (SELECT clip_id, foot, quantile_cont(y, 0.8) AS y_thr, quantile_cont(abs(v), 0.3) AS v_thr FROM moving GROUP BY clip_id, foot)",
+        "flagged AS (SELECT clip_id, foot, frame, x, y, coalesce(y >= y_thr AND abs(v) <= v_thr, false) AS c FROM moving JOIN thr USING (clip_id, foot))",
+        f"islands AS (SELECT *, row_number() OVER ({_O}) - row_number() OVER (PARTITION BY clip_id, foot, c ORDER BY frame) AS g FROM flagged)",
+        "clean AS (SELECT clip_id, foot, frame, x, y, c AND count(*) OVER (PARTITION BY clip_id, foot, c, g) >= 3 AS contact FROM islands)",
+        f"stepped AS (SELECT *, coalesce(contact AND NOT lag(contact) OVER ({_O}), false) AS step, frame / {fps} AS t_s FROM clean)",
+    ]
+
+
+_GAIT = _gait()
 
 # hip -----------------------------------------------------------------------------------------
 
@@ -126,8 +134,8 @@ def _made_up(source: str) -> str:
 
 # labels --------------------------------------------------------------------------------------
 _STEPS = [
-    "ends AS (SELECT clip_id, min(seq) FILTER (action = 'e') AS fin, max((action = 'abort')::INT) AS aborted FROM step_marks GROUP BY clip_id)",
-    "kept AS (SELECT m.* FROM step_marks m JOIN ends e USING (clip_id) WHERE aborted = 0 AND (fin IS NULL OR seq <= fin))",
+    "ends AS (SELECT clip_id, min(seq) FILTER (action = 'e') AS fin, min(seq) FILTER (action = 'abort') AS aborted FROM step_marks GROUP BY clip_id)",
+    "kept AS (SELECT m.* FROM step_marks m JOIN ends e USING (clip_id) WHERE (aborted IS NULL OR coalesce(aborted > fin, false)) AND (fin IS NULL OR seq <= fin))",
     """steps AS (SELECT clip_id, coalesce(list_sort(list(DISTINCT frame) FILTER (action = 's')), []) AS steps, min(frame) FILTER (action = 's') AS first_step,
 coalesce(arg_max(frame, seq) FILTER (action = 's'), max(frame) FILTER (action = 'e')) AS last_step FROM kept GROUP BY clip_id)""",
 ]
@@ -156,6 +164,43 @@ _BEND = [
     f"bent AS (SELECT *, {_DIST('tip_x', 'tip_y', 'x30', 'y30')} AS l_bent FROM tip)",
 ]
 
+# whole jobs, over clips of different sizes and rates --------------------------------------------
+_MIXED = ("mixed_clips", "mixed_ranges", "mixed_detections", "landmarks")
+_CLAMP_MIXED = ", ".join(f"trunc(least(greatest({c}, 0), {top}))::INT AS {c}" for c, top in (("x1", "width - 1"), ("y1", "height - 1"), ("x2", "width"), ("y2", "height")))
+_MIXED_FOUND = [
+    f"ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame, pass ORDER BY {_AREA} DESC, det_idx) AS rk FROM mixed_detections WHERE cls = 0 AND {_AREA} > 0)",
+    f"cut_boxes AS (SELECT clip_id, frame, pass, width, height, {_CLAMP_MIXED} FROM ranked JOIN mixed_clips USING (clip_id) WHERE rk = 1)",
+    "whole_boxes AS (SELECT * FROM cut_boxes WHERE x2 > x1 AND y2 > y1)",
+    "seen AS (SELECT DISTINCT clip_id, frame FROM mixed_detections)",
+    "found AS (SELECT s.clip_id, s.frame, " + ", ".join(f"CASE WHEN a.x1 IS NOT NULL THEN a.{c} ELSE b.{c} END AS {c}" for c in ("x1", "y1", "x2", "y2")) + " FROM seen s LEFT JOIN whole_boxes a ON a.clip_id = s.clip_id AND a.frame = s.frame AND a.pass = 'original' LEFT JOIN whole_boxes b ON b.clip_id = s.clip_id AND b.frame = s.frame AND b.pass = 'boosted')",
+]
+_GROWN_SIDE = lambda a, b, sign: f"trunc({a} + ({b} - {a}) / 2 {sign} trunc(({b} - {a}) * 1.3::DOUBLE) / 2)::INT"
+_MIXED_ROI = [
+    *_MIXED_FOUND,
+    f"sides AS (SELECT clip_id, frame, greatest(0, {_GROWN_SIDE('x1', 'x2', '-')}) AS x1, greatest(0, {_GROWN_SIDE('y1', 'y2', '-')}) AS y1, least(width, {_GROWN_SIDE('x1', 'x2', '+')}) AS x2, least(height, {_GROWN_SIDE('y1', 'y2', '+')}) AS y2, width, height FROM found JOIN mixed_clips USING (clip_id) WHERE x1 IS NOT NULL)",
+    "mixed_roi AS (SELECT * FROM sides WHERE x2 > x1 AND y2 > y1)",
+]
+_MIXED_GAIT = [
+    *_MIXED_FOUND,
+    "asked AS (SELECT clip_id, least(a, b) AS a, greatest(a, b) AS b, abs(b - a) + 1 AS n_asked FROM (SELECT clip_id, greatest(0, start_frame) AS a, least(total_frames - 1, end_frame) AS b FROM mixed_ranges JOIN mixed_clips USING (clip_id)) r)",
+    "every AS (SELECT clip_id, unnest(range(a, b + 1))::INT AS frame FROM asked)",
+    "carried AS (SELECT e.clip_id, e.frame, " + ", ".join(f"last_value(f.{c} IGNORE NULLS) OVER w AS {c}" for c in ("x1", "y1", "x2", "y2")) + " FROM every e LEFT JOIN found f USING (clip_id, frame) WINDOW w AS (PARTITION BY e.clip_id ORDER BY e.frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+    "feet AS (SELECT clip_id, frame, lm_id, (c.x1 + l.x * (c.x2 - c.x1)) / width::DOUBLE AS x, (c.y1 + l.y * (c.y2 - c.y1)) / height::DOUBLE AS y FROM landmarks l JOIN carried c USING (clip_id, frame) JOIN mixed_clips USING (clip_id) WHERE lm_id IN (31, 32) AND visibility > 0.5 AND c.x1 IS NOT NULL)",
+    "both_feet AS (SELECT clip_id, frame, unnest(['left', 'right']) AS foot, unnest([31, 32]) AS lm_id FROM every)",
+    "all_feet AS (SELECT b.clip_id, b.foot, b.frame, f.x, f.y FROM both_feet b LEFT JOIN feet f USING (clip_id, frame, lm_id))",
+    "gait AS (SELECT * FROM all_feet WHERE clip_id IN (SELECT clip_id FROM all_feet WHERE y IS NOT NULL))",
+    *_gait(_RATE.format("clean"), _RATE.format("smooth")),
+]
+_MIXED_HIP = [
+    *_MIXED_ROI,
+    "placed AS (SELECT clip_id, frame, lm_id, (r.y1 + l.y * (r.y2 - r.y1)) / height::DOUBLE AS y FROM landmarks l JOIN mixed_roi r USING (clip_id, frame))",
+    "hip_of AS (SELECT s.clip_id, s.frame, 0.5::DOUBLE * (max(y) FILTER (lm_id = 23) + max(y) FILTER (lm_id = 24)) AS hip_y, greatest(max(y) FILTER (lm_id = 27), max(y) FILTER (lm_id = 28)) - max(y) FILTER (lm_id = 0) AS body_h FROM seen s LEFT JOIN placed p USING (clip_id, frame) GROUP BY s.clip_id, s.frame)",
+    "user_clips AS (SELECT * FROM mixed_clips)",
+]
+_SUMMARY_OF_CLIPS = f"""SELECT clip_id, start_frame, end_frame, round(CASE WHEN fps > 0 THEN start_frame / fps END, 6) AS t_start, round(CASE WHEN fps > 0 THEN end_frame / fps END, 6) AS t_end, n_steps, {_r('stride_rate', 'cadence', 'hip_droop_pct', 'hip_droop_trend_pct')}, n_valid
+FROM (SELECT c.clip_id, c.fps, CASE WHEN s.last_step IS NOT NULL THEN coalesce(s.first_step, 0) ELSE 0 END AS start_frame, CASE WHEN s.last_step IS NOT NULL THEN s.last_step ELSE c.total_frames - 1 END AS end_frame, t.n_steps, stride_rate, cadence, hip_droop_pct, hip_droop_trend_pct, coalesce(n_valid, 0) AS n_valid
+FROM user_clips c LEFT JOIN steps s USING (clip_id) LEFT JOIN stride t USING (clip_id) LEFT JOIN hip_out h USING (clip_id)) z"""
+
 _FOOT = "clip_id, foot, frame"
 
 ORACLES: dict[str, str] = {
@@ -170,7 +215,7 @@ ORACLES: dict[str, str] = {
     "carry_forward_box": _with("SELECT clip_id, frame, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("x1", "y1", "x2", "y2")) + " FROM found", *_FOUND, base=("detections",)),
     "roi_to_frame": _with(f"SELECT clip_id, frame, lm_id, {_r('x', 'y')} FROM placed", _PLACED, base=_LMS),
     "gate_visibility": _with("SELECT clip_id, frame, lm_id, CASE WHEN visibility > 0.5 THEN round(x, 6) END AS x, CASE WHEN visibility > 0.5 THEN round(y, 6) END AS y FROM landmarks", base=("landmarks",)),
-    "norm_to_px": _with("SELECT clip_id, frame, lm_id, px, py, cx, cy FROM px JOIN clamped USING (clip_id, frame, lm_id)", _PX, _CLAMPED, base=("landmarks",)),
+    "norm_to_px": _with(f"SELECT clip_id, frame, lm_id, trunc(x * {W})::INT AS px, trunc(y * {H})::INT AS py, CASE WHEN visibility > 0.5 THEN trunc(least(greatest(x, 0), 1) * {W})::INT END AS cx, CASE WHEN visibility > 0.5 THEN trunc(least(greatest(y, 0), 1) * {H})::INT END AS cy FROM landmarks", base=("landmarks",)),
     "hip_series": _with("SELECT r.clip_id, r.frame, round(0.5::DOUBLE * (max(y) FILTER (lm_id = 23) + max(y) FILTER (lm_id = 24)), 6) AS hip_y, round(greatest(max(y) FILTER (lm_id = 27), max(y) FILTER (lm_id = 28)) - max(y) FILTER (lm_id = 0), 6) AS body_h FROM rois r LEFT JOIN placed p USING (clip_id, frame) GROUP BY r.clip_id, r.frame", _PLACED, base=_LMS),
     "foot_series": _with("SELECT clip_id, CASE lm_id WHEN 31 THEN 'left' ELSE 'right' END AS foot, frame, CASE WHEN visibility > 0.5 THEN round(x, 6) END AS x, CASE WHEN visibility > 0.5 THEN round(y, 6) END AS y FROM placed WHERE lm_id IN (31, 32)", _PLACED, base=_LMS),
     "skeleton_qc": _with(
@@ -182,7 +227,12 @@ FROM (SELECT p.clip_id, p.frame, p.x * 1920.0::DOUBLE AS px, p.y * 1080.0::DOUBL
         _PLACED,
         base=_LMS,
     ),
-    "drawable_segments": _with(f"SELECT a.clip_id, a.frame, a.lm_id AS start_id, b.lm_id AS end_id, a.px AS x1, a.py AS y1, b.px AS x2, b.py AS y2 FROM usable a JOIN usable b ON a.clip_id = b.clip_id AND a.frame = b.frame AND b.lm_id = a.lm_id + 1", _PX, f"usable AS (SELECT * FROM px WHERE visibility >= 0.1 AND {_IN})", base=("landmarks",)),
+    "drawable_segments": _with(
+        "SELECT clip_id, frame, lm_id AS start_id, next_id AS end_id, px AS x1, py AS y1, next_px AS x2, next_py AS y2 FROM paired WHERE next_id = lm_id + 1",
+        _PX,
+        f"paired AS (SELECT *, lead(lm_id) OVER w AS next_id, lead(px) OVER w AS next_px, lead(py) OVER w AS next_py FROM px WHERE visibility >= 0.1 AND {_IN} WINDOW w AS (PARTITION BY clip_id, frame ORDER BY lm_id))",
+        base=("landmarks",),
+    ),
     "leg_segments": _with(_LEGS, _CLAMPED, base=("landmarks",)),
     "visible_joints": _with(f"SELECT clip_id, frame, lm_id, px, py FROM px WHERE {_IN}", _PX, base=("landmarks",)),
     "interpolate_gaps": _with(f"SELECT {_FOOT}, {_r('x', 'y')} FROM filled", *_GAIT[:3], base=("gait",)),
@@ -210,7 +260,7 @@ round(CASE WHEN count(*) FILTER (step) >= 2 THEN (max(t_s) FILTER (step) - min(t
     "hip_droop": _with(f"SELECT clip_id, {_r('hip_droop_pct', 'hip_droop_trend_pct')}, n_valid, worst_frames, start_idx, end_idx FROM hip_out", *_hip("hip_short", _made_up("hip_short")), _METRICS, base=("hip_short",)),
     "hip_trail": _with(
         f"""SELECT i.clip_id, i.frame, trunc(i.body_h * 1.5::DOUBLE * {W})::INT AS px, trunc(i.hip_y * {H})::INT AS py, w.frame IS NOT NULL AS worst, row_number() OVER (PARTITION BY i.clip_id ORDER BY i.frame) AS seen
-FROM (SELECT h.* FROM (SELECT h.*, count(*) OVER (PARTITION BY clip_id)::INT AS n FROM hip h) h JOIN ({_made_up('hip')}) b USING (clip_id) WHERE frame >= greatest(0, least(first_step, n - 1)) AND frame < least(coalesce(last_step + 1, n), n) AND hip_y IS NOT NULL AND body_h IS NOT NULL) i LEFT JOIN worst w ON w.clip_id = i.clip_id AND w.frame = i.frame""",
+FROM (SELECT h.* FROM (SELECT h.*, count(*) OVER (PARTITION BY clip_id)::INT AS n FROM hip h) h JOIN ({_made_up('hip')}) b USING (clip_id) WHERE frame >= greatest(0, least(first_step, n - 1)) AND frame < least(last_step + 1, n) AND last_step IS NOT NULL AND hip_y IS NOT NULL AND body_h IS NOT NULL) i LEFT JOIN worst w ON w.clip_id = i.clip_id AND w.frame = i.frame""",
         *_hip("hip"),
         base=("hip",),
     ),
@@ -220,16 +270,28 @@ FROM (SELECT h.* FROM (SELECT h.*, count(*) OVER (PARTITION BY clip_id)::INT AS
     "step_highlight": _with("SELECT clip_id, frame FROM near", *_STEPS, _EACH, _NEAR, base=("step_marks", "user_clips")),
     "phase_flags": _with("SELECT h.clip_id, h.frame, coalesce(frame < first_step, false) AS before_first, coalesce(frame >= coalesce(first_step, 0) AND frame <= last_step, false) AS in_approach, coalesce(frame > last_step, false) AS jump FROM hip_short h LEFT JOIN steps USING (clip_id)", *_STEPS, base=("step_marks", "hip_short")),
     "mark_frames": _with("SELECT h.clip_id, h.frame, n.frame IS NOT NULL AS near_step FROM hip_short h LEFT JOIN near n ON n.clip_id = h.clip_id AND n.frame = h.frame", *_STEPS, _EACH, _NEAR, base=("step_marks", "user_clips", "hip_short")),
-    "approach_summary": _with(
-        f"""SELECT clip_id, start_frame, end_frame, round(CASE WHEN fps > 0 THEN start_frame / fps END, 6) AS t_start, round(CASE WHEN fps > 0 THEN end_frame / fps END, 6) AS t_end, n_steps, {_r('stride_rate', 'cadence', 'hip_droop_pct', 'hip_droop_trend_pct')}, n_valid
-FROM (SELECT c.clip_id, c.fps, CASE WHEN s.last_step IS NOT NULL THEN coalesce(s.first_step, 0) ELSE 0 END AS start_frame, CASE WHEN s.last_step IS NOT NULL THEN s.last_step ELSE c.total_frames - 1 END AS end_frame, t.n_steps, stride_rate, cadence, hip_droop_pct, hip_droop_trend_pct, n_valid
-FROM user_clips c LEFT JOIN steps s USING (clip_id) LEFT JOIN stride t USING (clip_id) LEFT JOIN hip_out h USING (clip_id)) z""",
-        *_STEPS,
-        *_STRIDE,
-        *_hip("hip_short", "SELECT clip_id, first_step, last_step FROM steps"),
-        _METRICS,
-        base=("step_marks", "user_clips", "hip_short"),
-    ),
+    "approach_summary": _with(_SUMMARY_OF_CLIPS, *_STEPS, *_STRIDE, *_hip("hip_short", "SELECT clip_id, first_step, last_step FROM steps"), _METRICS, base=("step_marks", "user_clips", "hip_short")),
     "project_tip": _with(f"SELECT clip_id, {_r('tip_x', 'tip_y', 'l_full')} FROM tip", *_BEND, base=("bend_marks",)),
     "pole_bend": _with(f"SELECT clip_id, {_r('l_hand_tip', 'l_top_hand', 'l_full', 'l_bent')}, round(1 - l_bent / l_full, 6) AS bend_fraction, round((1 - l_bent / l_full) * 100.0::DOUBLE, 6) AS bend_pct FROM bent", *_BEND, base=("bend_marks",)),
+    "frame_aligned": _with(
+        "SELECT r.clip_id, r.frame, x1, y1, x2, y2, round(hip_y, 6) AS hip_y FROM (SELECT clip_id, frame FROM rois) r LEFT JOIN fixed_found USING (clip_id, frame) LEFT JOIN (SELECT clip_id, frame, 0.5::DOUBLE * (max(y) FILTER (lm_id = 23 AND visibility > 0.5) + max(y) FILTER (lm_id = 24 AND visibility > 0.5)) AS hip_y FROM landmarks WHERE frame % 3 = 0 GROUP BY clip_id, frame) h USING (clip_id, frame)",
+        f"sized AS (SELECT clip_id, fps, {W} AS width, {H} AS height FROM mixed_clips)",
+        *[x.replace("mixed_clips", "sized") for x in _MIXED_FOUND],
+        "fixed_found AS (SELECT * FROM found)",
+        base=(*_MIXED, "rois"),
+    ),
+    "boxes_of_mixed_sizes": _with("SELECT f.clip_id, f.frame, " + ", ".join(f"f.{c} AS box_{c}" for c in ("x1", "y1", "x2", "y2")) + ", " + ", ".join(f"r.{c} AS roi_{c}" for c in ("x1", "y1", "x2", "y2")) + " FROM found f LEFT JOIN mixed_roi r USING (clip_id, frame)", *_MIXED_ROI, base=_MIXED),
+    "ground_contacts": _with(f"SELECT {_FOOT}, {_r('s.x', 's.y', 'v', 't_s')}, contact, step FROM stepped s JOIN (SELECT clip_id, foot, frame, v FROM moving) m USING (clip_id, foot, frame)", *_MIXED_GAIT, base=_MIXED),
+    "ground_contacts_summary": _with(
+        """SELECT clip_id, foot, count(*) FILTER (step) AS steps, max(n_asked)::BIGINT AS n_frames, count(*) FILTER (contact) AS contact_frames, round(max(t_s) - min(t_s), 6) AS total_s,
+round(CASE WHEN max(t_s) > min(t_s) THEN count(*) FILTER (step) / (max(t_s) - min(t_s)) ELSE 0 END, 6) AS frequency,
+round(CASE WHEN count(*) FILTER (step) >= 2 THEN (max(t_s) FILTER (step) - min(t_s) FILTER (step)) / (count(*) FILTER (step) - 1) END, 6) AS mean_interval_s FROM stepped JOIN asked USING (clip_id) GROUP BY clip_id, foot""",
+        *_MIXED_GAIT,
+        base=_MIXED,
+    ),
+    "approach": _with(_SUMMARY_OF_CLIPS, *_STEPS, *_MIXED_HIP, *_STRIDE, *_hip("hip_of", "SELECT clip_id, first_step, last_step FROM steps"), _METRICS, base=("step_marks", *_MIXED)),
+    "any_foot_guard": _with("SELECT clip_id, foot, count(*) AS frames FROM gait WHERE clip_id IN (SELECT clip_id FROM gait WHERE y IS NOT NULL AND clip_id % 5 <> 0) GROUP BY clip_id, foot", base=("gait",)),
+    "display_to_original": _with("SELECT clip_id, step, click, trunc(x / 0.75::DOUBLE)::INT AS x, trunc(y / 0.75::DOUBLE)::INT AS y FROM bend_marks", base=("bend_marks",)),
+    "output_names": _with("SELECT clip_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') || '_pv_processed.mp4' AS processed, regexp_replace(path, '\\.[^./]+$', '') || '_foot_contact_overlay.mp4' AS overlay FROM clips", base=("clips",)),
+    "write_by_clip": _with(f"SELECT {_FOOT}, {_r('x', 'y')} FROM gait", base=("gait",)),
 }

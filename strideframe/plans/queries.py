@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions, sources
 from ..operators import bend, boxes, contacts, hip, labels, landmarks, sampling, signals
 from ..sources import clip_catalog as keep_videos
 from ..sources import normalize_clips as with_defaults
 from ..sources.fixtures import FPS, HEIGHT, WIDTH, derived
+from . import jobs
 
 FOOT = ["clip_id", "foot", "frame"]
 
@@ -123,8 +128,7 @@ def skeleton_qc(s: SparkSession, d: str) -> DataFrame:
 
 
 def drawable_segments(s: SparkSession, d: str) -> DataFrame:
-    edges = s.createDataFrame([(i, i + 1) for i in range(32)], "start_id int, end_id int")
-    return landmarks.drawable_segments(_px(s, d), edges, WIDTH, HEIGHT)
+    return landmarks.drawable_segments(_px(s, d), [(i, i + 1) for i in range(32)], WIDTH, HEIGHT)
 
 
 def leg_segments(s: SparkSession, d: str) -> DataFrame:
@@ -255,7 +259,7 @@ def hip_droop(s: SparkSession, d: str) -> DataFrame:
 
 
 def hip_trail(s: SparkSession, d: str) -> DataFrame:
-    points = _windowed(s, d).where(F.col("end_idx").isNotNull()).withColumns({"x": F.col("body_h") * F.lit(1.5), "y": F.col("hip_y")})
+    points = _windowed(s, d).withColumns({"x": F.col("body_h") * F.lit(1.5), "y": F.col("hip_y")})
     return hip.hip_trail(points, hip.worst_frames(_drooped(s, d)), WIDTH, HEIGHT)
 
 
@@ -298,10 +302,71 @@ def pole_bend(s: SparkSession, d: str) -> DataFrame:
     return bend.pole_bend(derived(s, d, "bend_marks")).select("clip_id", *_r("l_hand_tip", "l_top_hand", "l_full", "l_bent", "bend_fraction", "bend_pct"))
 
 
+def _mixed(s: SparkSession, d: str, name: str) -> DataFrame:
+    return derived(s, d, f"mixed_{name}")
+
+
+def frame_aligned(s: SparkSession, d: str) -> DataFrame:
+    """Every frame of the clips, with its box and its hip where there are any."""
+    frames = derived(s, d, "rois").select("clip_id", "frame")
+    found = _box(boxes.detect_with_fallback(_mixed(s, d, "detections"), WIDTH, HEIGHT))
+    hips = landmarks.hip_series(landmarks.gate_visibility(_lms(s, d)), frames.where("frame % 3 = 0"))
+    return landmarks.frame_aligned(frames, found, hips.select("clip_id", "frame", *_r("hip_y")))
+
+
+def boxes_of_mixed_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes and grown boxes where each clip has a frame size of its own."""
+    dets = _mixed(s, d, "detections").join(_mixed(s, d, "clips").select("clip_id", "width", "height"), "clip_id")
+    grown = boxes.expand_roi(boxes.detect_with_fallback(dets, "width", "height"), "width", "height")
+    return grown.select("clip_id", "frame", *[F.col(f"{b}.{c}").alias(f"{b}_{c}") for b in ("box", "roi") for c in ("x1", "y1", "x2", "y2")])
+
+
+def _ground(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    clips = _mixed(s, d, "clips")
+    return jobs.ground_contacts(_mixed(s, d, "detections"), _lms(s, d), contacts.normalize_range(_mixed(s, d, "ranges"), clips), "width", "height", "fps", clips)
+
+
+def ground_contacts(s: SparkSession, d: str) -> DataFrame:
+    return _ground(s, d)[0].select(*FOOT, *_r("x", "y", "v", "t_s"), "contact", "step")
+
+
+def ground_contacts_summary(s: SparkSession, d: str) -> DataFrame:
+    return _ground(s, d)[1].select("clip_id", "foot", "steps", "n_frames", "contact_frames", *_r("total_s", "frequency", "mean_interval_s"))
+
+
+def approach(s: SparkSession, d: str) -> DataFrame:
+    out = jobs.approach(_mixed(s, d, "detections"), _lms(s, d), derived(s, d, "step_marks"), _mixed(s, d, "clips"), "width", "height")
+    return out.select("clip_id", "start_frame", "end_frame", *_r("t_start", "t_end"), "n_steps", *_r("stride_rate", "cadence", "hip_droop_pct", "hip_droop_trend_pct"), "n_valid")
+
+
+def any_foot_guard(s: SparkSession, d: str) -> DataFrame:
+    """Clips without any foot height give nothing."""
+    lost = F.when(F.col("clip_id") % 5 != 0, F.col("y"))
+    return contacts.with_any_foot(_gait(s, d).withColumn("y", lost)).groupBy("clip_id", "foot").agg(F.count("*").alias("frames"))
+
+
+def display_to_original(s: SparkSession, d: str) -> DataFrame:
+    at = lambda c: functions.display_to_original(F.col(c), F.lit(0.75)).alias(c)
+    return derived(s, d, "bend_marks").select("clip_id", "step", "click", at("x"), at("y"))
+
+
+def output_names(s: SparkSession, d: str) -> DataFrame:
+    return _clips(s, d).select("clip_id", functions.processed_name(F.col("path")).alias("processed"), functions.contact_overlay_path(F.col("path")).alias("overlay"))
+
+
+def write_by_clip(s: SparkSession, d: str) -> DataFrame:
+    """Signals written in files by clip, and read back with their schema."""
+    frames = _gait(s, d)
+    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/signals-{uuid.uuid4().hex}"
+    sources.write_by_clip(frames, path, 4)
+    return s.read.schema(frames.schema).parquet(path).select(*FOOT, *_r("x", "y"))
+
+
 _ALL = [
     clip_catalog, normalize_clips, frame_sample_plan, sample_output_path, normalize_range, largest_person_box, detect_with_fallback, expand_roi, carry_forward_box, roi_to_frame, gate_visibility,
     norm_to_px, hip_series, foot_series, skeleton_qc, drawable_segments, leg_segments, visible_joints, interpolate_gaps, moving_average, velocity, contact_thresholds, contact_flag, drop_short_runs,
     rising_edges, contact_state, contact_summary, foot_trail, analysis_window, valid_pose_frames, iqr_outlier_flag, hip_baseline, droop_series, worst_frames, hip_droop, hip_trail, step_marks_reduce,
     range_marks_reduce, stride_metrics, step_highlight, phase_flags, mark_frames, approach_summary, project_tip, pole_bend,
+    frame_aligned, boxes_of_mixed_sizes, ground_contacts, ground_contacts_summary, approach, any_foot_guard, display_to_original, output_names, write_by_clip,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import suffix
 
+#: Fixed value: suffixes of video files.
 VIDEO_SUFFIXES = [".mp4", ".mov", ".mkv", ".avi", ".m4v"]
 
 

@@ -22,8 +22,8 @@ _FRAMES = "CAST(row_number() OVER (PARTITION BY {clip} ORDER BY ts, event_id) -
 
 
 def _foot(foot: str, phase: str) -> str:
-    y = f"{_d('0.9')} - {_d('0.02')} * greatest(0, least({phase} - 7, 20 - {phase})) + ((event_id * 7919) % 10007) * {_d('1e-7')}"
-    x = f"{_d('0.1')} + (frame % 700) * {_d('0.001')} + ((event_id * 31) % 101) * {_d('1e-6')}"
+    y = f"{_d('0.9')} - {_d('0.02')} * greatest(0, least({phase} - 7, 20 - {phase})) + ((event_id * 7919) % 10007) * {_d('1.0371e-7')}"
+    x = f"{_d('0.1')} + (frame % 700) * {_d('0.001')} + ((event_id * 31) % 101) * {_d('1.0173e-6')}"
     return f"SELECT clip_id, '{foot}' AS foot, frame, CASE WHEN event_id % 11 = 0 THEN NULL ELSE {x} END AS x, CASE WHEN event_id % 11 = 0 THEN NULL ELSE {y} END AS y FROM (SELECT user_id AS clip_id, {_FRAMES.format(clip='user_id')} AS frame, event_id FROM {{events}}) g"
 
 
@@ -57,6 +57,13 @@ def texts(duck: bool) -> dict[str, str]:
     FROM (SELECT label, vec_id, embedding, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame FROM {{embeddings}}) v {e['lms']}""",
         "rois": """SELECT CAST(label AS BIGINT) AS clip_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame, vec_id % 13 <> 0 AS has,
     CAST(vec_id % 400 AS INT) AS x1, CAST(vec_id % 200 AS INT) AS y1, CAST(vec_id % 400 + 300 + vec_id % 97 AS INT) AS x2, CAST(vec_id % 200 + 500 + vec_id % 89 AS INT) AS y2 FROM {embeddings}""",
+        "mixed_clips": f"""SELECT CAST(label AS BIGINT) AS clip_id, concat('set B/take ', CAST(label AS STRING), '.mp4') AS path, {_d("CASE label % 4 WHEN 0 THEN 25 WHEN 1 THEN 30 WHEN 2 THEN 50 ELSE 59.94 END")} AS fps,
+    CAST(CASE label % 3 WHEN 0 THEN 1920 WHEN 1 THEN 1280 ELSE 3840 END AS INT) AS width, CAST(CASE label % 3 WHEN 0 THEN 1080 WHEN 1 THEN 720 ELSE 2160 END AS INT) AS height, CAST(count(*) AS INT) AS total_frames FROM {{embeddings}} GROUP BY label
+    UNION ALL SELECT CAST(max(label) + 1 AS BIGINT), 'set B/no frames.avi', {_d("0")}, 1920, 1080, 0 FROM {{embeddings}}""",
+        "mixed_ranges": """SELECT CAST(label AS BIGINT) AS clip_id, CAST(count(*) - 2 AS INT) AS start_frame, CAST(3 + label % 4 AS INT) AS end_frame FROM {embeddings} GROUP BY label""",
+        "mixed_detections": f"""SELECT CAST(label AS BIGINT) AS clip_id, frame, CASE WHEN vec_id % 7 = 0 THEN 'boosted' ELSE 'original' END AS pass, CAST(j AS INT) AS det_idx, CASE WHEN vec_id % 13 = 0 THEN 2 ELSE 0 END AS cls, {_d("1")} AS conf,
+    (vec_id % 400) - {_d("50.5")} AS x1, (vec_id % 200) - {_d("20.25")} AS y1, (vec_id % 400) + 300 + (vec_id % 97) * (j + 1) + {_d("0.5")} AS x2, (vec_id % 200) + 500 + (vec_id % 89) * (j + 1) + {_d("0.75")} AS y2
+    FROM (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame FROM {{embeddings}}) v {e['clicks']} WHERE j < 2 AND vec_id % 11 <> 0""",
         "step_marks": f"""SELECT clip_id, seq, action, {at} AS frame FROM (SELECT *, CASE WHEN event_id % 1009 = 0 THEN 'abort' WHEN event_type = 'click' THEN 's' WHEN event_type = 'purchase' AND event_id % 13 = 0 THEN 'e' END AS action FROM ({marks}) a) m WHERE action IS NOT NULL""",
         "range_marks": f"""SELECT clip_id, seq, action, {at} AS frame FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'start' WHEN event_id % 7 = 1 THEN 'end' WHEN event_id % 11 = 2 THEN 'confirm' WHEN event_id % 97 = 3 THEN 'cancel' END AS action FROM ({marks}) a) m WHERE action IS NOT NULL""",
         "bend_marks": f"""SELECT vec_id AS clip_id, CASE WHEN j < 2 THEN 1 WHEN j < 4 THEN 2 ELSE 3 END AS step, CAST(CASE WHEN j < 4 THEN j % 2 ELSE 0 END AS INT) AS click,
@@ -79,4 +86,4 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck_cte(*names: str) -> str:
     """The derived tables as DuckDB CTEs, without WITH."""
     found = texts(True)
-    return ",\n".join(f"{n} AS ({found[n].format(**{b: b for b in _BASES})})" for n in names)
+    return ",\n".join(f"{n} AS MATERIALIZED ({found[n].format(**{b: b for b in _BASES})})" for n in names)

@@ -23,7 +23,8 @@ def duck():
 def plain(x):
     if isinstance(x, bool) or x is None or isinstance(x, str):
         return x
-    return None if isinstance(x, float) and math.isnan(x) else round(float(x), 5) + 0.0
+    # queries round to six places themselves; what is left are the last bits
+    return None if isinstance(x, float) and math.isnan(x) else float(f"{float(x):.9g}") + 0.0
 
 
 def rows(columns, values):
