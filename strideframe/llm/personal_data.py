@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same, small, text_key
+from .common import cut, looked_up, same, small, text_key
 
 #: Patterns of the base kinds, in their order. Possessive groups match the same text as greedy
 #: ones here, and Java runs them without a stack frame for each repeat.
@@ -50,12 +50,20 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= LETTERS)
 
 
-def _company(before: Column, after: Column) -> Column:
-    """Terms among the nearest words on both sides, addresses aside."""
-    clean = lambda t: F.split(F.regexp_replace(t, KINDS["email"], " "), r"[\x20\x09-\x0D]+")
-    left, right = clean(F.right(before, F.lit(40 * REACH))), clean(F.left(after, F.lit(40 * REACH)))
-    near = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - REACH), F.lit(REACH + 1)), F.slice(right, F.lit(1), F.lit(REACH + 1)))
-    return F.array_distinct(_words(F.array_join(near, " ")))
+def _nearby(parts: Column) -> Column:
+    """The first and last REACH words of each part of a text, which addresses of one kind divide."""
+    plain = lambda p: F.filter(F.split(F.regexp_replace(p, KINDS["email"], " "), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.transform(F.transform(parts, plain), lambda w: F.struct(F.slice(w, 1, REACH).alias("head"), F.slice(w, F.greatest(F.lit(1), F.size(w) - REACH + 1), F.lit(REACH)).alias("tail")))
+
+
+def _company(near: Column, i: Column) -> Column:
+    """Terms among the REACH words on each side of match ``i``; another address is a word without terms."""
+    gap = F.array(F.lit(""))
+    before = F.flatten(F.transform(F.slice(near, F.greatest(F.lit(1), i + 1 - REACH), F.least(i + 1, F.lit(REACH + 1))), lambda x: F.concat(x["tail"], gap)))
+    after = F.flatten(F.transform(F.slice(near, i + 2, F.lit(REACH + 1)), lambda x: F.concat(gap, x["head"])))
+    n = F.size(before)
+    close = F.concat(F.slice(before, F.greatest(F.lit(1), n - REACH), F.least(F.lit(REACH), n - 1)), F.slice(after, F.lit(2), F.lit(REACH)))
+    return F.array_distinct(_words(F.array_join(close, " ")))
 
 
 def _starts(parts: Column, found: Column) -> Column:
@@ -72,9 +80,9 @@ def _split(text: Column, pattern: Column | str, some: Column) -> tuple[Column, C
 
 
 def _hits(kind: str) -> Column:
-    """The valid matches of one kind, from its parts, matches and their starts."""
-    parts, starts = F.col(f"{kind}_parts"), F.col(f"{kind}_starts")
-    hit = lambda v, i: F.struct(F.lit(kind).alias("kind"), starts[i].alias("start"), (starts[i] + F.length(v)).alias("end"), v.alias("entity"), _company(parts[i], parts[i + 1]).alias("near"))
+    """The valid matches of one kind, from what is near them, the matches and their starts."""
+    near, starts = F.col(f"{kind}_near"), F.col(f"{kind}_starts")
+    hit = lambda v, i: F.struct(F.lit(kind).alias("kind"), starts[i].alias("start"), (starts[i] + F.length(v)).alias("end"), v.alias("entity"), _company(near, i).alias("near"))
     return F.filter(F.transform(F.col(f"{kind}_found"), hit), lambda x: _valid(kind, x["entity"]))
 
 
@@ -84,7 +92,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for kind, pattern in KINDS.items():
         parts, found = _split(F.col("text"), pattern, GUARDS[kind](F.col("text")))
         rows = rows.withColumns({f"{kind}_parts": parts, f"{kind}_found": found})
-        rows = rows.withColumn(f"{kind}_starts", _starts(F.col(f"{kind}_parts"), F.col(f"{kind}_found")))
+        rows = rows.withColumns({f"{kind}_starts": _starts(F.col(f"{kind}_parts"), F.col(f"{kind}_found")), f"{kind}_near": _nearby(F.col(f"{kind}_parts"))})
     lists = [F.coalesce(_hits(kind).cast(_HITS), F.array().cast(_HITS)) for kind in KINDS]
     return rows.select("doc_id", "text_key", F.concat(*lists).alias("hits"))
 
@@ -97,17 +105,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     A term is disclosing if that is the given share of all there is, -log p(entity), in
     ``support`` texts or more. Copies of a text count once.
     """
-    ids = docs.select("doc_id", text_key().alias("text_key"))
-    copies = ids.groupBy("text_key").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).where("n > 1")
-    total = ids.select("text_key").distinct().count()
+    counts = cut(found.groupBy("text_key").agg(F.count("*").alias("copies")))
+    total = counts.count()
     own = found.where(F.size("hits") > 0).dropDuplicates(["text_key"]).select("text_key", F.explode("hits").alias("h"))
-    company = own.select("text_key", F.lower("h.entity").alias("entity"), "h.near")
-    with_entity = company.groupBy("entity").agg(F.count_distinct("text_key").alias("n_c")).where(F.col("n_c") >= support)
-    close = company.join(with_entity, "entity").select("text_key", "entity", "n_c", F.explode("near").alias("term")).distinct()
-    pairs = cut(close.groupBy("entity", "term", "n_c").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support))
-    rest = small(ids.join(copies.withColumnRenamed("text_key", "c_key"), F.col("text_key") == F.col("c_key")).where(~same(F.col("doc_id"), F.col("one"))).select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key")).distinct())
-    texts = docs.select("doc_id", "text", text_key().alias("text_key")).join(rest, same(F.col("doc_id"), F.col("r_id")) & (F.col("text_key") == F.col("r_key")), "left_anti")
-    with_term = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(small(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    company = cut(own.select("text_key", F.lower("h.entity").alias("entity"), "h.near"))
+    with_entity = company.groupBy("entity").agg(F.count_distinct("text_key").alias("n_c"), F.count("*").alias("rows")).where(F.col("n_c") >= support)
+    close = looked_up(company, with_entity, "entity", "rows").select("text_key", "entity", "n_c", F.explode("near").alias("term")).distinct()
+    pairs = close.groupBy("entity", "term", "n_c").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support)
+    # every copy of a text counts its share, so that the text counts once; words are summed where they are read
+    copied = counts.where("copies > 1").select("text_key", (1 / F.col("copies")).alias("share"), "copies")
+    texts = docs.select("text", text_key().alias("text_key"))
+    shared = looked_up(texts, copied, "text_key", "copies", "left").select(F.coalesce("share", F.lit(1.0)).alias("share"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    with_term = shared.groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
     log = lambda c: F.log(c.cast("double"))
     given = log(F.col("n_tc")) + log(F.lit(total)) - log(F.greatest("n_t", "n_tc")) - log(F.col("n_c"))
     return pairs.join(with_term, "term").where((F.col("n_c") < total) & (given >= disclosure * (log(F.lit(total)) - log(F.col("n_c"))))).select("term", "entity")
@@ -132,8 +141,9 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
     entities = F.array_distinct(F.transform("hits", lambda h: F.lower(h["entity"])))
     holders = found.where(F.size("hits") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), "hits", entities.alias("entities"))
     texts = docs.where(guarded).select("doc_id", "text", text_key().alias("text_key")).join(holders, same(F.col("doc_id"), F.col("f_id")) & (F.col("text_key") == F.col("f_key")))
-    said = texts.select("f_id", "f_key", "text", "hits", "entities", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term").where(F.array_contains("entities", F.col("entity")))
-    told = said.groupBy("f_id", "f_key").agg(F.first("text").alias("text"), F.first("hits").alias("hits"), F.collect_set("term").alias("terms"))
+    said = texts.select("f_id", "f_key", "entities", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term").where(F.array_contains("entities", F.col("entity")))
+    told = said.groupBy("f_id", "f_key").agg(F.collect_set("term").alias("terms")).withColumnsRenamed({"f_id": "t_id", "f_key": "t_key"})
+    told = texts.drop("doc_id", "text_key", "entities").dropDuplicates(["f_id", "f_key"]).join(small(told, F.size("terms")), same(F.col("f_id"), F.col("t_id")) & (F.col("f_key") == F.col("t_key")))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array("terms"), "|"), F.lit(r")(?!\p{L})"))
     told = told.withColumn("pattern", pattern)
     parts, matches = _split(F.col("text"), F.col("pattern"), F.lit(True))
@@ -155,11 +165,19 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """The documents with every span generalised to its kind, as ``[EMAIL]``; other columns unchanged."""
-    found = find_personal_data(docs, support, disclosure).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
-    joined = docs.join(found, same(F.col("doc_id"), F.col("s_id")) & (text_key() == F.col("s_key")), "left")
+    """The documents with every span generalised to its kind, as ``[EMAIL]``; other columns unchanged, whatever their names.
+
+    Of spans that overlap the first is replaced whole, and the others' rest isn't. Null texts
+    stay null; texts without spans, empty ones among them, stay as they are. Repeated rows
+    change alike. An empty table gives none. Long texts are rewritten whole, in one pass.
+    """
+    found = find_personal_data(docs, support, disclosure).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
+    found = found.select("doc_id", "text_key", F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
+    d, f = docs.alias("d"), found.alias("f")
+    joined = d.join(f, same(F.col("d.doc_id"), F.col("f.doc_id")) & (text_key("d.text") == F.col("f.text_key")), "left")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    piece = lambda a, s: F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
+    text, spans = F.col("d.text"), F.col("f.spans")
+    piece = lambda a, s: F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
     step = lambda a, s: F.struct(F.concat(a["out"], piece(a, s), F.when(s["start"] >= a["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-    done = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)).drop("s_id", "s_key", "spans")
+    done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return joined.select(*[F.when(spans.isNull(), text).otherwise(done).alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
