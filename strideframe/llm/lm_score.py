@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship, stored
-from .ragged import CHUNK_BYTES, LOWER, buffers, words
+from .ragged import CHUNK_BYTES, LOWER, U, buffers, words
 
 #: Longest context in bytes.
 ORDER = 5
 #: Bytes that no UTF-8 text holds: before a text, and after it.
 BEFORE, AFTER = 0xFE, 0xFF
-#: Text bytes of a group of documents; a group is counted and scored in one task.
-GROUP_BYTES = 12_000_000
+#: Text bytes of a group of documents; a group is counted and scored in one task. Larger
+#: groups share more of their grams, so that fewer rows are looked up.
+GROUP_BYTES = 32_000_000
 
 
 def _grams(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
@@ -41,15 +42,6 @@ def _framed(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    raw, off = buffers(texts)
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_BYTES, "right")) - 1)
-        yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
-
-
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
@@ -59,35 +51,144 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return keys, np.bincount(at, np.concatenate((a[1], b[1])), len(keys)).astype(np.int64)
 
 
-def _count(order: int):
-    """Of a group: counts of distinct words and grams in training texts, 0 if only others have them."""
+def _word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Words' keys are negative, grams' are not."""
+    return (hashes | U(1 << 63)).view(np.int64)
+
+
+def _pressed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpressed(x: bytes, n: int, dtype: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys by the steps between them."""
+    return _pressed(np.diff(keys.view(U), prepend=U(0)))
+
+
+def _stepped(x: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpressed(x, n, U), dtype=U).view(np.int64)
+
+
+_BLOCK = "grp long, doc_id array<long>, train array<boolean>, length array<long>, text binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch, the documents of each group as one compressed row, for the way to its task."""
+    for batch in batches:
+        group = batch.column("grp").to_numpy()
+        order = np.argsort(group, kind="stable")
+        batch, group = batch.take(pa.array(order)), group[order]
+        raw, off = buffers(batch.column("text"))
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+        ends = np.r_[first, len(group)].astype(np.int32)
+        texts = [_pressed(raw[off[i] : off[j]]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (batch.column("doc_id"), batch.column("train"), pa.array(np.diff(off)))]
+        yield pa.RecordBatch.from_arrays([pa.array(group[first]), *lists, pa.array(texts, pa.binary())], names=["grp", "doc_id", "train", "length", "text"])
+
 
-    def run(table: pa.Table) -> pa.Table:
-        texts, train = table.column("text").combine_chunks(), table.column("train").combine_chunks().to_numpy(zero_copy_only=False)
-        counted = {"w": [], "g": []}
-        sums = {k: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for k in counted}
-        for i, j, raw, off in _parts(texts):
+def _texts(blocks: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, training flags, bytes and offsets of the documents of blocks, some at a time."""
+    for k in range(len(blocks)):
+        ids, train, length = (blocks.column(c)[k].values for c in ("doc_id", "train", "length"))
+        off = np.r_[0, np.cumsum(length.to_numpy(zero_copy_only=False))].astype(np.int64)
+        raw = _unpressed(blocks.column("text")[k].as_py(), int(off[-1]), np.uint8)
+        i, n = 0, len(ids)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_BYTES, "right")) - 1)
+            yield ids[i:j], train[i:j].to_numpy(zero_copy_only=False).astype(bool), raw[off[i] : off[j]], off[i : j + 1] - off[i]
+            i = j
+
+
+_COUNTED = "grp long, bucket long, size long, keys binary, n binary"
+
+
+def _count(order: int, buckets: int):
+    """Of a group: counts of distinct words and grams in training texts, 0 if only others have them, by bucket."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for _, train, raw, off in _texts(blocks):
             w = words(raw, off)
-            known = np.repeat(train[i:j], np.diff(w.row))
-            keys, at = np.unique(w.hash.view(np.int64), return_inverse=True)
-            sums["w"] = _merged(sums["w"], (keys, np.bincount(at, known, len(keys)).astype(np.int64)))
-            for own, times in ((train[i:j], 1), (~train[i:j], 0)):
+            known = np.repeat(train, np.diff(w.row))
+            keys, at = np.unique(_word_keys(w.hash), return_inverse=True)
+            sums = _merged(sums, (keys, np.bincount(at, known, len(keys)).astype(np.int64)))
+            for own, times in ((train, 1), (~train, 0)):
                 if own.any():
                     size = np.diff(off)[own]
                     keys, n = _distinct(_grams(raw[np.repeat(own, np.diff(off))], np.concatenate(([0], np.cumsum(size))), order))
-                    sums["g"] = _merged(sums["g"], (keys, n * times))
+                    sums = _merged(sums, (keys, n * times))
+        keys, n = sums
+        bucket = keys % buckets
+        at = np.lexsort((keys.view(U), bucket))
+        keys, n, bucket = keys[at], n[at], bucket[at]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+        ends = [*zip(first, [*first[1:], len(bucket)], strict=True)]
+        grp = blocks.column("grp")[0].as_py() if len(blocks) else 0
         return pa.table(
             {
-                "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(sums["w"][0]), len(sums["g"][0])])),
-                "key": pa.array(np.concatenate((sums["w"][0], sums["g"][0]))),
-                "n": pa.array(np.concatenate((sums["w"][1], sums["g"][1]))),
-                "grp": pa.array(np.full(len(sums["w"][0]) + len(sums["g"][0]), table.column("grp")[0].as_py(), np.int64)),
+                "grp": pa.array([grp] * len(ends), pa.int64()),
+                "bucket": pa.array(bucket[first]),
+                "size": pa.array([j - i for i, j in ends], pa.int64()),
+                "keys": pa.array([_steps(keys[i:j]) for i, j in ends], pa.binary()),
+                "n": pa.array([_pressed(n[i:j]) for i, j in ends], pa.binary()),
             }
         )
 
     return run
 
 
+def _summed(counted: pa.Table) -> pa.Table:
+    """Of a bucket: each key's count over all groups."""
+    sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for size, keys, n in zip(*(counted.column(c).to_pylist() for c in ("size", "keys", "n")), strict=True):
+        parts.append((_stepped(keys, size), _unpressed(n, size, np.int64)))
+        if sum(len(x) for x, _ in parts) > 4_000_000:
+            sums, parts = _merged(sums, tuple(map(np.concatenate, zip(*parts, strict=True)))), []
+    if parts:
+        sums = _merged(sums, tuple(map(np.concatenate, zip(*parts, strict=True))))
+    return pa.table({"key": pa.array(sums[0]), "n": pa.array(sums[1])})
+
+
+_FOUND = "grp long, word boolean, size long, keys binary, v binary"
+
+
+def _find(counted: pa.Table, values: pa.Table) -> pa.Table:
+    """Of a bucket: each group's keys with their values, words that no training text has aside.
+
+    Counts of words keep all digits; bits of grams travel in single precision.
+    """
+    key = values.column("key").to_numpy() if len(values) else np.zeros(0, np.int64)
+    at = np.argsort(key)
+    key, value = key[at], (values.column("v").to_numpy()[at] if len(values) else np.zeros(0))
+    out: dict[str, list] = {c: [] for c in ("grp", "word", "size", "keys", "v")}
+    for grp, size, coded in zip(*(counted.column(c).to_pylist() for c in ("grp", "size", "keys")), strict=True):
+        own = _stepped(coded, size)
+        spot = np.minimum(np.searchsorted(key, own), max(0, len(key) - 1))
+        hit = key[spot] == own if len(key) else np.zeros(len(own), bool)
+        for word in (False, True):
+            some = hit & ((own < 0) == word)
+            if some.any():
+                cost = value[spot[some]]
+                for c, v in zip(out, (grp, word, int(some.sum()), _steps(own[some]), _pressed(cost if word else cost.astype(np.float32))), strict=True):
+                    out[c].append(v)
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+
+
+def _gathered(found: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of a group, from all buckets."""
+    parts = [(_stepped(k, n), _unpressed(v, n, np.float64 if word else np.float32)) for w, n, k, v in zip(*(found.column(c).to_pylist() for c in ("word", "size", "keys", "v")), strict=True) if w == word]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0)
+    keys, values = map(np.concatenate, zip(*parts, strict=True))
+    at = np.argsort(keys)
+    return keys[at], values[at]
+
+
 def _masked(order: int) -> Column:
     """The gram of a lower order within a key: its symbol and so many bytes before it."""
     return F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
@@ -151,65 +252,77 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 1, F.lit(True))
 
 
+def _prime(n: int) -> int:
+    """The least prime from ``n`` on, so that remainders deal keys out evenly."""
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, share: float = 0.0) -> DataFrame:
     """log10 probability of every whole text under partial matching over bytes, and of its words.
 
-    Documents are dealt by a hash of id and text into groups of about GROUP_BYTES, one
-    shuffle. Each group sends a row for each distinct word and byte gram, which are summed
-    over the corpus; the words' counts and the grams' bits return to the groups that have
-    them, so that a very common one is as many rows as there are groups. Words are told apart by 64-bit hashes.
+    Documents are dealt by a hash of id and text into groups of about GROUP_BYTES, compressed
+    on the way. Each group counts its distinct words and byte grams; their sorted keys travel
+    in as many buckets, where counts are summed over the corpus. The words' counts and the
+    grams' bits return by bucket to the groups that have them, so that a very common one is as
+    many numbers as there are groups. Words are told apart by 63-bit hashes.
 
     Null text counts as empty: it has the end token alone. A table without training documents
-    gives the uniform byte model and N = 0, where base_score falls back to -0 per token.
-    Repeated rows each get a row. Columns other than doc_id and text are not looked at.
+    gives the uniform byte model and N = 0, where base_score falls back to -0 per token; an
+    empty one gives none. Repeated rows each get a row, and count as often. Very long texts
+    are read whole; one longer than a group makes a longer group. Columns other than doc_id
+    and text are not looked at.
     """
     ship(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), in_training(F.col("doc_id")).alias("train"))
     size, trained = rows.agg(F.sum(F.octet_length("text")), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     groups = max(1, -(-(size or 0) // GROUP_BYTES))
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
-    counted = stored(dealt.groupBy("grp").applyInArrow(_count(order), "kind int, key long, n long, grp long"))
-    bits_of = gram_bits(stored(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))), order, share)
-    vocabulary = cut(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"))
-    kinds, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    buckets = _prime(groups)
+    blocks = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).mapInArrow(_blocks, _BLOCK)
+    counted = stored(blocks.repartitionById(groups, F.col("grp").cast("int")).groupBy("grp").applyInArrow(_count(order, buckets), _COUNTED))
+    sums = stored(counted.drop("grp").groupBy("bucket").applyInArrow(_summed, "key long, n long"))
+    bits_of = gram_bits(sums.where("key >= 0"), order, share)
+    vocabulary = sums.where("key < 0 AND n > 0")
+    kinds, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     V, N = kinds + (trained > 0), tokens + trained
-    values = vocabulary.select(F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("v")).union(bits_of.select(F.lit(1), "key", "bits"))
-    known = counted.select("grp", "kind", "key").join(stored(values), ["kind", "key"]).select("grp", "kind", "key", "v")
+    values = vocabulary.select("key", F.col("n").cast("double").alias("v")).union(bits_of.select("key", "bits")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    found = counted.drop("n").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_find, _FOUND)
 
-    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        kind, every, value = (counts.column(x).combine_chunks().to_numpy() if len(counts) else np.zeros(0, np.int64) for x in ("kind", "key", "v"))
-        (key, c), (gram, cost) = ((every[at], value[at]) for at in (np.flatnonzero(kind == k)[np.argsort(every[kind == k])] for k in (0, 1)))
+    def score(texts: pa.Table, looked: pa.Table) -> pa.Table:
+        (key, c), (gram, cost) = (_gathered(looked, word) for word in (True, False))
         low = np.log10(N + 0.5 * (V + 1)) if N else 0.0
         end = np.log10(trained + 0.5) - low if N else 0.0
-        all_texts = texts.column("text").combine_chunks()
-        n_tokens, n_known, base, bits = [], [], [], []
-        for _, _, raw, off in _parts(all_texts):
+        ids, held, n_tokens, n_known, base, bits = ([] for _ in range(6))
+        for doc_ids, train, raw, off in _texts(texts):
             w = words(raw, off)
-            own = w.hash.view(np.int64)
+            own = _word_keys(w.hash)
             spot = np.minimum(np.searchsorted(key, own), max(0, len(key) - 1))
-            found = (key[spot] == own) if len(key) else np.zeros(len(own), bool)
-            count = np.where(found, c[spot], 0) if len(key) else np.zeros(len(own), np.int64)
+            hit = (key[spot] == own) if len(key) else np.zeros(len(own), bool)
+            count = np.where(hit, c[spot], 0) if len(key) else np.zeros(len(own))
             sums = np.concatenate(([0.0], np.cumsum(np.log10(count + 0.5) - low))) if N else np.zeros(len(own) + 1)
-            hits = np.concatenate(([0], np.cumsum(found)))
+            hits = np.concatenate(([0], np.cumsum(hit)))
+            ids.append(doc_ids)
+            held.append(~train)
             n_tokens.append(np.diff(w.row) + 1)
             n_known.append(hits[w.row[1:]] - hits[w.row[:-1]] + (trained > 0))
             base.append(sums[w.row[1:]] - sums[w.row[:-1]] + end)
-            spent = np.concatenate(([0.0], np.cumsum(cost[np.searchsorted(gram, _grams(raw, off, order))])))
+            spent = np.concatenate(([0.0], np.cumsum(cost[np.searchsorted(gram, _grams(raw, off, order))], dtype=np.float64)))
             at = off + np.arange(len(off))  # a symbol for each byte, and one for each end
             bits.append(spent[at[1:]] - spent[at[:-1]])
-        flat = lambda x: np.concatenate(x) if x else np.zeros(0)
-        n = len(texts)
+        flat = lambda x, dtype: np.concatenate(x).astype(dtype) if x else np.zeros(0, dtype)
+        doc_id = pa.concat_arrays(ids) if ids else pa.array([], pa.int64())
         return pa.table(
             {
-                "doc_id": texts.column("doc_id"),
-                "held_out": pa.array(~texts.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)),
-                "n_tokens": pa.array(flat(n_tokens).astype(np.int64)),
-                "n_known": pa.array(flat(n_known).astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, N, np.int64)),
-                "base_score": pa.array(flat(base).astype(np.float64)),
-                "score": pa.array(-flat(bits) * np.log10(2.0)),
+                "doc_id": doc_id,
+                "held_out": pa.array(flat(held, bool)),
+                "n_tokens": pa.array(flat(n_tokens, np.int64)),
+                "n_known": pa.array(flat(n_known, np.int64)),
+                "train_tokens": pa.array(np.full(len(doc_id), N, np.int64)),
+                "base_score": pa.array(flat(base, np.float64)),
+                "score": pa.array(-flat(bits, np.float64) * np.log10(2.0)),
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(score, schema)
+    return blocks.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(score, schema)
