@@ -73,7 +73,7 @@ def _stepped(x: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpressed(x, n, U), dtype=U).view(np.int64)
 
 
-_BLOCK = "grp long, doc_id array<long>, train array<boolean>, length array<long>, text binary"
+_BLOCK = "grp int, doc_id array<long>, train array<boolean>, length array<long>, text binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _texts(blocks: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray,
             i = j
 
 
-_COUNTED = "grp long, bucket long, size long, keys binary, n binary"
+_COUNTED = "grp int, bucket int, size long, keys binary, n binary"
 
 
 def _count(order: int, buckets: int):
@@ -130,8 +130,8 @@ def _count(order: int, buckets: int):
         grp = blocks.column("grp")[0].as_py() if len(blocks) else 0
         return pa.table(
             {
-                "grp": pa.array([grp] * len(ends), pa.int64()),
-                "bucket": pa.array(bucket[first]),
+                "grp": pa.array([grp] * len(ends), pa.int32()),
+                "bucket": pa.array(bucket[first].astype(np.int32)),
                 "size": pa.array([j - i for i, j in ends], pa.int64()),
                 "keys": pa.array([_steps(keys[i:j]) for i, j in ends], pa.binary()),
                 "n": pa.array([_pressed(n[i:j]) for i, j in ends], pa.binary()),
@@ -154,7 +154,7 @@ def _summed(counted: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(sums[0]), "n": pa.array(sums[1])})
 
 
-_FOUND = "grp long, word boolean, size long, keys binary, v binary"
+_FOUND = "grp int, word boolean, size long, keys binary, v binary"
 
 
 def _find(counted: pa.Table, values: pa.Table) -> pa.Table:
@@ -176,7 +176,7 @@ def _find(counted: pa.Table, values: pa.Table) -> pa.Table:
                 cost = value[spot[some]]
                 for c, v in zip(out, (grp, word, int(some.sum()), _steps(own[some]), _pressed(cost if word else cost.astype(np.float32))), strict=True):
                     out[c].append(v)
-    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
 
 def _gathered(found: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -279,15 +279,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, share: float = 0.0) ->
     size, trained = rows.agg(F.sum(F.octet_length("text")), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     groups = max(1, -(-(size or 0) // GROUP_BYTES))
     buckets = _prime(groups)
-    blocks = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).mapInArrow(_blocks, _BLOCK)
-    counted = stored(blocks.repartitionById(groups, F.col("grp").cast("int")).groupBy("grp").applyInArrow(_count(order, buckets), _COUNTED))
-    sums = stored(counted.drop("grp").groupBy("bucket").applyInArrow(_summed, "key long, n long"))
+    blocks = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).mapInArrow(_blocks, _BLOCK)
+    counted = stored(blocks.repartitionById(groups, "grp").groupBy("grp").applyInArrow(_count(order, buckets), _COUNTED))
+    sums = stored(counted.drop("grp").repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_summed, "key long, n long"))
     bits_of = gram_bits(sums.where("key >= 0"), order, share)
     vocabulary = sums.where("key < 0 AND n > 0")
     kinds, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     V, N = kinds + (trained > 0), tokens + trained
-    values = vocabulary.select("key", F.col("n").cast("double").alias("v")).union(bits_of.select("key", "bits")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    found = counted.drop("n").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_find, _FOUND)
+    values = vocabulary.select("key", F.col("n").cast("double").alias("v")).union(bits_of.select("key", "bits")).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    of_bucket = lambda df: df.repartitionById(buckets, "bucket").groupBy("bucket")
+    found = of_bucket(counted.drop("n")).cogroup(of_bucket(values)).applyInArrow(_find, _FOUND)
 
     def score(texts: pa.Table, looked: pa.Table) -> pa.Table:
         (key, c), (gram, cost) = (_gathered(looked, word) for word in (True, False))
@@ -325,4 +326,5 @@ def score_documents(docs: DataFrame, order: int = ORDER, share: float = 0.0) ->
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(score, schema)
+    own = lambda df: df.repartitionById(groups, "grp").groupBy("grp")
+    return own(blocks).cogroup(own(found)).applyInArrow(score, schema)
