@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from .common import cut, ship
 from .ragged import U, chunks, mix
 
-#: Training documents of a language, about; their n-grams bound the model's size.
+#: Documents of a language that are learnt from, about; their n-grams bound the model's size.
 SAMPLE = 2000
+#: Languages that are learnt, those of most documents first: a bound against a dirty column.
+LANGUAGES = 500
+#: Share of these documents that calibrate rejection and aren't trained on.
+CALIBRATE = 0.2
 #: Letters whose evidence the score counts at most, so that long texts aren't all certain.
 EVIDENCE = 30
-#: Share of a language's own training documents that its rejection threshold lets through.
+#: Share of a language's calibration documents that its rejection threshold lets through.
 ACCEPT = 0.999
 UNKNOWN = "und"
 SPACE = 32
@@ -184,23 +188,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
 
 
+def learnt_from(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, lang, calibrates) of the labelled documents to learn from, materialised.
+
+    Of each language about ``sample`` documents that aren't held out and have a letter, whole,
+    drawn by a hash of id and text, one at least; rows equal in both count once. A share of
+    them calibrates, never a language's only one.
+    """
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    draw = lambda salt: F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    labelled = labelled.select("doc_id", "text", "lang", draw("sample").alias("draw"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    shares = sizes.select("lang", "least", F.greatest(F.col("least"), F.lit(float(sample)) / F.col("n")).alias("share"))
+    chosen = labelled.join(F.broadcast(shares), "lang").where("draw <= share").dropDuplicates(["doc_id", "text", "lang"])
+    return cut(chosen.select("text", "lang", ((F.col("draw") > F.col("least")) & (draw("calibrate") < CALIBRATE)).alias("calibrates")))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of every language among the labelled documents that aren't held out.
 
-    Of each language about ``sample`` documents are read, whole, chosen by a hash of the id;
-    their n-grams are counted on the executors. None if there is no labelled text.
+    N-grams of the documents drawn by ``learnt_from`` are counted on the executors; rejection
+    thresholds come from those of them that aren't trained on. None if there is no labelled text.
     """
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    chosen = learnt_from(docs, sample)
+    grams = chosen.where("NOT calibrates").mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    if not len(grams):
         return None
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = cut(labelled.where(draw < F.coalesce(share[F.col("lang")], F.lit(1.0))))
-    grams = chosen.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    langs = np.array(grams.column("lang").to_pylist())
+    name = grams.column("lang").combine_chunks().dictionary_encode()
+    of, langs = name.indices.to_numpy(), name.dictionary.to_pylist()
     key, n = (grams.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
-    model = Model({lang: (key[langs == lang].view(np.uint64), n[langs == lang]) for lang in sorted(set(langs.tolist()))})
+    model = Model({lang: (key[of == k].view(np.uint64), n[of == k]) for k, lang in enumerate(langs)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +228,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 names = batch.column("lang")[i:j].to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(h[np.arange(j - i), [at[x] for x in names]])], names=["lang", "h"])
 
-    limits = chosen.mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", ACCEPT, 10_000).alias("h")).collect()
+    limits = chosen.where("calibrates").mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", ACCEPT, 10_000).alias("h")).collect()
     model.limits = {r["lang"]: r["h"] for r in limits}
     return model
 
@@ -222,9 +239,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     lang_pred is the language of least cross-entropy a symbol, ties by name; ``und`` where
     the text is null or has no letter, with score 0. score is that language's share of the
     likelihoods of at most EVIDENCE symbols. ``rejected``: the cross-entropy is above what
-    ACCEPT of the language's own training documents have, so that the text is likely none of
-    them. Without labelled text all are ``und``. A null lang isn't learnt from. Repeated rows
-    get equal results, one each. Columns other than doc_id, text and lang are not looked at.
+    ACCEPT of the language's calibration documents have, so that the text is likely none of
+    them; a language without any rejects none. Without labelled text all are ``und``. A null
+    lang isn't learnt from, nor are languages beyond the LANGUAGES commonest. Repeated rows
+    get equal results, one each, and are learnt from once. Very long texts are read whole.
+    Columns other than doc_id, text and lang are not looked at. An empty table gives none.
     """
     ship(docs)
     model = train(docs, sample)
