@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,9 @@ LENGTH, END = 2048, 1
 DIMENSIONS, BITS = 4, 8
 #: Text bytes of a range of the curve; each range starts a sequence of its own.
 RANGE_BYTES = 24_000_000
-#: Documents whose keys place the borders of ranges; it decides sizes only, not results' truth.
-BORDER_SAMPLE = 20_000
+#: Borders that a sample of keys places, and documents of the sample for each; between two
+#: borders the key space is cut evenly. They decide how large ranges are, and nothing else.
+BORDERS, BORDER_SAMPLE = 20_000, 1_000
 
 #: The pieces that byte-level vocabularies of this kind merge within (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -84,14 +87,23 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path, self._library = path, None
+        held = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.special = [t["content"] for t in held["added_tokens"]]
         byte = {c: b for b, c in enumerate(byte_letters())}
-        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in self.special}
         self.core = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def library(self):  # noqa: ANN201
+        """Read only where a text needs it: two vocabularies are much for a Python worker."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def __call__(self, text: str) -> bytes:
         """ids of the whole text, two bytes each."""
         if any(s in text for s in self.special) or not _COMMON.fullmatch(text):
@@ -129,7 +141,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     is full. So a range's last sequence alone is padded. Ids are made once, before the only
     shuffle, and travel as two bytes each.
 
-    ``tokenizer``: path of a byte-level BPE file of fewer than 65,536 ids, the same on all
+    Repeated rows, ties of the curve, part by a hash of id and text. Very long texts are encoded
+    and cut whole; one longer than a range makes a longer range. ``tokenizer``: path of a byte-level BPE file of fewer than 65,536 ids, the same on all
     executors. Null text is empty: its document is the end id alone. Repeated rows are packed
     each. Columns other than doc_id and text are not looked at. An empty table gives none.
     Returns doc_id, start, length, ids (two bytes each), doc_tokens, sequence_id, offset.
@@ -143,16 +156,22 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
         for _, key in _rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
 
+    wide = min(ranges, BORDERS)
+    pieces_of = -(-ranges // wide)
+    ranges = wide * pieces_of
     borders: list[int] = []
-    if ranges > 1:
-        sample = rows.sample(min(1.0, BORDER_SAMPLE / n), seed=7).mapInArrow(keys, "key long")
-        borders = sorted(set(sample.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or []))
+    if wide > 1:
+        sample = rows.sample(min(1.0, max(20_000, BORDER_SAMPLE * wide) / n), seed=7).mapInArrow(keys, "key long")
+        borders = sorted(set(sample.select(F.percentile_approx("key", [i / wide for i in range(1, wide)], 100_000)).first()[0] or []))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at = _encoder(tokenizer), np.array(borders, np.int64)
+        low, high = np.r_[0, at], np.r_[at, (1 << DIMENSIONS * BITS + 30)]
         for part, key in _rows(batches):
+            wide = np.searchsorted(at, key, "right")
+            place = np.minimum(((key - low[wide]) / np.maximum(high[wide] - low[wide], 1) * pieces_of).astype(np.int64), pieces_of - 1)
             ids = [encode(t) + end.to_bytes(2, "little") for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.searchsorted(at, key, "right").astype(np.int64)), pa.array(key), pa.array(ids, pa.binary())], names=["doc_id", "range", "key", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array((wide * pieces_of + place).astype(np.int32)), pa.array(key), pa.array(ids, pa.binary())], names=["doc_id", "range", "key", "ids"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sequence, offset = None, 0, 0
@@ -171,8 +190,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
                         sequence, offset = sequence + 1, 0
             yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
 
-    made = rows.mapInArrow(encoded, "doc_id long, range long, key long, ids binary")
-    placed = made.repartition(max(ranges, 1), "range").sortWithinPartitions("range", "key", "doc_id")
+    made = rows.mapInArrow(encoded, "doc_id long, range int, key long, ids binary")
+    placed = made.repartitionById(ranges, "range").sortWithinPartitions("range", "key", "doc_id")
     return placed.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
