@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, cut, same, ship, small, text_key
-from .ragged import U, chunks, mix, shingles, words
+from .common import DOCUMENT_COLUMNS, cut, looked_up, same, ship, small, text_key
+from .ragged import CHUNK_BYTES, U, buffers, chunks, mix, shingles, words
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -75,9 +75,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of pairs, cut so that the texts of each are some megabytes (one pair at least)."""
+    for batch in batches:
+        size = sum(np.diff(buffers(batch.column(c))[1]) for c in ("text_a", "text_b"))
+        upto = np.concatenate(([0], np.cumsum(size)))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + 2 * CHUNK_BYTES, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those whose full sets reach the similarity."""
-    for batch in batches:
+    for batch in _sliced(batches):
         sets: dict[int, np.ndarray] = {}
 
         def own(ids: list[int], texts: pa.Array, sets: dict[int, np.ndarray] = sets) -> None:
@@ -198,16 +210,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components is dealt into blocks, and all its pairs of different components meet, block
     by block, on full sets. So every pair that shares a bucket is tested or joined already.
 
-    Null and wordless texts have n_shingles 0 and are their own component. Repeated rows get
-    equal results. component_id is the smallest doc_id of the component (null ids come last).
+    Null and wordless texts have n_shingles 0 and are their own component. Very long texts are
+    compared whole, on all their shingles. Repeated rows get equal results (ties). component_id is the smallest doc_id of the component (null ids come last).
     Columns other than doc_id and text are not looked at. An empty table gives none.
     """
     ship(docs)
     keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
     base = cut(keyed.mapInArrow(_sketches, _SKETCH))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
-    classes = cut(base.where("class_id is not null").groupBy("class_id").agg(one.alias("one")).select("class_id", "one.doc_id", "one.text_key"))
-    nodes = cut(base.join(classes.withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"}), "class_id").where(same(F.col("doc_id"), F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).groupBy("class_id").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    classes = cut(base.where("class_id is not null").groupBy("class_id").agg(one.alias("one"), F.count("*").alias("n")).select("class_id", "one.doc_id", "one.text_key", "n"))
+    # the join is on the row, not on the class alone, so that a text's many copies don't meet
+    first = classes.select(F.col("class_id").alias("c_class"), F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"))
+    nodes = cut(base.join(first, (F.col("class_id") == F.col("c_class")) & same(F.col("doc_id"), F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).groupBy("class_id").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     rows = nodes.select("class_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = cut(rows.join(crowded, ["band", "key"]))
@@ -255,10 +269,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         moved = cut(_components(between)).withColumnsRenamed({"node": "old", "label": "new"})
         known = labels.select("node", "label").union(moved.select(F.col("old").alias("node"), F.col("old").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
         labels = cut(known.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")))
-    labelled = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "doc_id", F.coalesce("label", "class_id").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = labelled.join(least, "label").select(F.col("class_id").alias("of"), "component_id")
-    out = base.join(of_class, F.col("class_id") == F.col("of"), "left")
+    labelled = cut(classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "doc_id", "n", F.coalesce("label", "class_id").alias("label")))
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"))
+    of_class = looked_up(labelled, least, "label", "classes").select("class_id", "component_id", "n")
+    out = looked_up(base.select("doc_id", "text_key", "n_shingles", "class_id"), of_class, "class_id", "n", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), same(F.col("doc_id"), component).alias("kept"))
 
@@ -271,6 +285,11 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, columns unchanged."""
+    """The documents whose doc_id is their component's smallest, in the columns of documents, unchanged.
+
+    Null and wordless texts stay. Rows equal in doc_id and text stay or go together, and so
+    do different texts of one doc_id. Very long texts are compared whole. Other columns,
+    whatever their names, are dropped. An empty table gives none.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     return docs.select(*DOCUMENT_COLUMNS).join(small(gone), same(F.col("doc_id"), F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
