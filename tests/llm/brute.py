@@ -161,3 +161,45 @@ def trie_bits(train, text, order):
             out |= set(c)
             k -= 1
     return total
+
+
+def letters(text):
+    """Lower-case letters, everything else as single spaces, two of them ahead."""
+    kept = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    return "  " + re.sub(" +", " ", kept).lstrip(" ")
+
+
+def kneser_ney(texts):
+    """Per language a function from text to nats a symbol; interpolated over three symbols."""
+    grams = {lang: Counter(s[i - 2 : i + 1] for s in map(letters, own) for i in range(2, len(s))) for lang, own in texts.items()}
+    alphabet = {g[-1] for c in grams.values() for g in c}
+
+    def model(three):
+        two, one = Counter(g[1:] for g in three), None
+        one = Counter(g[1:] for g in two)
+        tables = []
+        for counts in (three, two, one):
+            n = Counter(counts.values())
+            d = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+            total, kinds = Counter(), Counter()
+            for g, c in counts.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            tables.append((counts, d, total, kinds))
+
+        def p(gram, level=0):
+            counts, d, total, kinds = tables[level]
+            lower = (1 / (len(alphabet) + 1)) if level == 2 else None
+            context = gram[:-1]
+            if not total[context]:
+                return p(gram[1:], level + 1)
+            lower = p(gram[1:], level + 1) if lower is None else lower
+            return max(counts[gram] - d, 0) / total[context] + d * kinds[context] / total[context] * lower
+
+        def entropy(text):
+            s = letters(text)
+            return -sum(math.log(p(s[i - 2 : i + 1])) for i in range(2, len(s))) / (len(s) - 2)
+
+        return entropy
+
+    return {lang: model(c) for lang, c in grams.items()}

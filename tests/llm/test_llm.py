@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on the smallest documents and on awkward ones."""
 
 import itertools
+import math
 import os
 import random
 import zlib
@@ -78,6 +79,52 @@ def test_quality_follows_its_group(spark):
     assert kept == set(range(300))
 
 
+def far_out(rows, min_group=quality.MIN_GROUP):
+    """doc_id to verdict with exact quartiles of each group, by plain Python."""
+    def measured(t):
+        n, chars, symbols, dup, repeated = brute.quality(t)
+        lines = sum(bool(brute.words(x)) for x in (t or "").split("\n"))
+        return (math.log(chars / n) if n else 0.0, math.log((symbols + 1) / (chars + 100)), math.log((dup + 1) / (lines + 10)), math.log((repeated + 5) / (n + 100))), n < 50 or 100 * repeated > 50 * n
+
+    all_of, out = {}, {}
+    for i, t, lang, source in rows:
+        m, failed = measured(t)
+        out[i] = (m, failed, (lang, source), lang)
+        if not failed:
+            for key in ((lang, source), lang, ()):
+                all_of.setdefault((type(key), key), []).append(m)
+    kept = {}
+    for i, (m, failed, group, lang) in out.items():
+        pool = next((all_of[type(k), k] for k in (group, lang, ()) if len(all_of.get((type(k), k), [])) >= (0 if k == () else min_group)), None)
+        if not failed:
+            q1, q3 = (np.quantile(np.array(pool), q, axis=0, method="inverted_cdf") for q in (0.25, 0.75))
+            reach = np.array([4.0, 3.0, 3.0, 3.0]) * np.maximum(q3 - q1, [0.03, 0.3, 0.3, 0.3])
+            failed = bool((np.array(m) > q3 + reach + 1e-9).any() or m[0] < (q1 - reach)[0] - 1e-9)
+        kept[i] = not failed
+    return kept
+
+
+def test_quality_verdicts_from_exact_quartiles(docs):
+    """Groups smaller than the sketch have exact quantiles, so that verdicts equal the plain ones."""
+    want = far_out([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()], 20)
+    got = {i: r["kept"] for i, r in by_id(quality.quality_verdicts(docs, min_group=20)).items()}
+    assert got == want
+
+
+def test_quality_thresholds_differ_by_group(spark):
+    """What is common in one source is far out in another; fixed cut-offs would treat both alike."""
+    rnd = random.Random(2)
+    plain = lambda i: " ".join(f"w{rnd.randrange(900)}" for _ in range(80 + i % 40))
+    code = lambda i: " ".join(f"w{rnd.randrange(900)} {'#' * rnd.randrange(9)}" for _ in range(80 + i % 40))
+    rows = [(i, plain(i), "en", "prose", 0) for i in range(300)] + [(1000 + i, code(i), "en", "code", 0) for i in range(300)] + [(2000, code(1), "en", "prose", 0), (2001, code(1), "en", "code", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    scored = common.cut(quality.measures(quality.features(df)))
+    limit = {r["t_source"]: r["max_symbols"] for r in quality.thresholds(scored).collect()}
+    assert limit["code"] > limit["prose"] + 1
+    kept = {r["doc_id"] for r in quality.keep_good(df).collect()}
+    assert 2000 not in kept and 2001 in kept and len(kept) >= 590
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_near_duplicates(request, which, texts, odd_texts):
     got = by_id(near_dup.near_duplicates(request.getfixturevalue(which)))
@@ -291,6 +338,39 @@ def test_language_id(docs, odd):
     assert [r[i]["lang_pred"] for i in (0, 1, 2, 8)] == ["und"] * 4 and r[0]["score"] == 0 and r[3]["lang_pred"] == "en"
 
 
+def test_language_id_against_plain_kneser_ney(docs):
+    """Entropies, choice and score equal the formulas', over the documents that are trained on."""
+    own = {}
+    for r in language_id.learnt_from(docs).where("NOT calibrates").collect():
+        own.setdefault(r["lang"], []).append(r["text"])
+    models = brute.kneser_ney(own)
+    got = by_id(language_id.identify(docs))
+    for r in docs.where("text IS NOT NULL").orderBy(F.length("text")).limit(60).collect():
+        n = len(brute.letters(r["text"])) - 2
+        if not any(c.isalpha() for c in r["text"]):
+            continue
+        h = {lang: m(r["text"]) for lang, m in models.items()}
+        best = min(h, key=lambda x: (h[x], x))
+        mine = got[r["doc_id"]]
+        assert mine["lang_pred"] == best and mine["cross_entropy"] == pytest.approx(h[best], rel=1e-4)
+        assert mine["score"] == pytest.approx(1 / sum(math.exp((h[best] - x) * min(n, language_id.EVIDENCE)) for x in h.values()), rel=1e-2)
+
+
+def test_language_id_of_repeated_and_dirty_rows(spark, monkeypatch):
+    """Rows that share an id or have none, languages with one document, and too many languages."""
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    one = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, "the cat sat on the mat", "en")] * 3000 + [(None, f"le chat et le chien {i}", "fr") for i in range(300)] + [(5000 + i, f"der hund und {i}", "de") for i in range(40)] + [(9000 + i, f"word {i}", f"x{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (2000, 5):
+        got = language_id.identify(df, sample)
+        assert got.count() == len(rows) and {r["lang_pred"] for r in got.select("lang_pred").distinct().collect()} <= {"en", "fr", "de"}
+        assert got.where(f"doc_id = {one} AND lang_pred <> 'en'").count() == 0
+    chosen = language_id.learnt_from(df, 50)
+    assert chosen.where("lang = 'en'").count() == 1 and 20 < chosen.where("lang = 'fr'").count() < 100
+    assert chosen.where("lang = 'en' AND calibrates").count() == 0
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     keys = {}
