@@ -401,10 +401,67 @@ def test_licences(spark, docs, odd):
     assert licence_scan.scan_licences(odd).count() == odd.count()
 
 
+def test_licences_of_many_kinds(spark):
+    said = {
+        1: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        2: "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.",
+        3: "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        4: "// SPDX-License-Identifier: EPL-2.0\nint x;",
+        5: "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        6: "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        7: "This is free and unencumbered software released into the public domain.\n\nMIT License is not meant.",
+    }
+    got = {i: r["licences"] for i, r in by_id(licence_scan.scan_licences(spark.createDataFrame(list(said.items()), "doc_id long, text string"))).items()}
+    assert got == {1: "GPL-2.0-or-later", 2: "LGPL-2.1-or-later", 3: "MPL-2.0", 4: "EPL-2.0", 5: "CC-BY-NC-SA-4.0", 6: "AGPL-3.0-only", 7: "Unlicense"}
+
+
+def test_line_dedup_of_null_ids(spark):
+    """A null id comes first, so that its lines stay and later ones go; equal rows change alike."""
+    run = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, f"{run}\nfive", None, None, None), (None, f"{run}\nnone", None, None, None), (5, f"{run}\nfive", None, None, None), (6, run, None, None, 7)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA.rsplit(", class_id", 1)[0])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_deleted"]) for r in got) == [(0, f"{run}\nnone", 0), (5, "five", 1), (5, "five", 1), (6, "", 1)]
+
+
+def test_drops_and_replacements_on_clashing_tables(spark, odd, empty):
+    """Columns with the names that operators use inside, null rows, and tables without rows."""
+    bench = spark.createDataFrame([(1, "one two"), (None, None)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(odd, bench)
+    assert kept.columns == common.DOCUMENT_COLUMNS and {5, 6} & {r["doc_id"] for r in kept.collect()} == set()
+    assert kept.count() == odd.count() - 2
+    assert decontaminate.drop_contaminated(empty, bench).count() == decontaminate.find_passages(empty, bench).count() == 0
+    clash = odd.withColumns({"spans": F.lit(1), "s_id": F.lit(2), "s_key": F.lit("x"), "text_key": F.lit(0), "f": F.lit(3)})
+    done = personal_data.sanitise(clash)
+    assert done.columns == clash.columns and done.count() == clash.count() and personal_data.sanitise(clash.where("false")).count() == 0
+    r = by_id(done)
+    # the phone's match runs on over all digits, and the card's begins too early: no retries
+    assert r[18]["text"] == "[EMAIL] +1 (555) 010-2345 [IP] 4111 1111 1111 1111" and r[0]["text"] is None and (r[18]["spans"], r[18]["s_key"]) == (1, "x")
+
+
+def test_passages_when_the_benchmark_is_shuffled(monkeypatch, spark, docs, texts):
+    """Beyond the bound of broadcasts, words travel to the windows; results are the same."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    bench = common.table(spark, DATA, "benchmark")
+    got = by_id(decontaminate.digest(decontaminate.find_passages(docs, bench)))
+    want = brute.passages(texts, {r["item_id"]: r["text"] for r in bench.collect()})
+    assert {i: tuple(got[i])[1:] for i in want} == want
+
+
+def test_hot_keys_are_looked_up_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i, i % 7 if i % 2 else 3) for i in range(200)] + [(200, None), (201, 99)], "x int, k int")
+    values = rows.groupBy("k").agg(F.count("*").alias("n")).where("k < 7").withColumn("v", F.col("k") * 10)
+    want = {(r["x"], r["k"], None if r["k"] is None or r["k"] > 6 else r["k"] * 10) for r in rows.collect()}
+    assert {tuple(r) for r in common.looked_up(rows, values, "k", "n", "left").select("x", "k", "v").collect()} == want
+    assert {tuple(r) for r in common.looked_up(rows, values, "k", "n").select("x", "k", "v").collect()} == {w for w in want if w[2] is not None}
+
+
 def operators():
     return {
         "language": language_id.identify, "licence": licence_scan.scan_licences, "lines": line_dedup.dedup_lines, "pack": lambda d: packing.pack(d, BYTES), "quality": quality.quality_verdicts,
-        "good": quality.keep_good, "personal": personal_data.find_personal_data, "near": near_dup.near_duplicates, "first": near_dup.keep_first, "lm": lm_score.score_documents, "tokens": lambda d: token_counts.count_tokens(d, WORDS),
+        "good": quality.keep_good, "personal": personal_data.find_personal_data, "near": near_dup.near_duplicates, "first": near_dup.keep_first, "passages": lambda d: decontaminate.find_passages(d, d.sparkSession.createDataFrame([(1, "one two")], "item_id long, text string")), "lm": lm_score.score_documents, "tokens": lambda d: token_counts.count_tokens(d, WORDS),
     }
 
 
