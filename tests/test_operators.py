@@ -197,3 +197,60 @@ def test_contacts_count_frames_without_landmarks(spark):
     np.testing.assert_allclose([r["v"] for r in left[3:7]], 1.0)
     got = {r["foot"]: r for r in summary.collect()}
     assert [(got[f]["n_frames"], round(got[f]["total_s"], 9)) for f in ("left", "right")] == [(11, 1.0)] * 2
+
+
+def test_jobs_deal_detections_and_landmarks_once(spark, tmp_path):
+    """With co-partitioned joins, the whole job exchanges each large table once, and nothing else but clips and ranges."""
+    from strideframe.plans import jobs, queries
+    from strideframe.sources import list_files, write_by_clip
+
+    data, held = "/root/testdata/sf0.001", {}
+    for name in ("mixed_clips", "mixed_detections", "landmarks"):
+        df = queries.derived(spark, data, name)
+        write_by_clip(df, f"{tmp_path}/{name}", 2)
+        held[name] = spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}")
+        assert held[name].count() == df.count()
+    files = list_files(spark, str(tmp_path)).where("path LIKE '%.parquet'")
+    assert files.count() >= 3 and files.where("length <= 0").count() == 0
+    session = spark.newSession()
+    jobs.co_partitioned(session)
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    clips, detections, points = (session.read.parquet(f"{tmp_path}/{n}") for n in held)
+    ranges = clips.selectExpr("clip_id", "0 AS start_frame", "total_frames - 1 AS end_frame", "total_frames AS n_frames").where("n_frames > 0")
+    frames, _ = jobs.ground_contacts(detections, points, ranges, "width", "height", "fps", clips)
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    large = [x for x in plan.split("\n") if "REPARTITION_BY_COL" in x]
+    assert len(large) == 2 and plan.count("Exchange hashpartitioning") <= 7
+
+
+def test_sizes_and_rates_of_each_clip(spark):
+    """One clip is wider and faster than the other; both in one table."""
+    from strideframe.plans import jobs
+
+    dets = spark.createDataFrame([(c, *det(i, "original", 0, 0, 0, 400, 400)[1:]) for c in (1, 2) for i in range(4)], DETS)
+    clips = spark.createDataFrame([(1, 10.0, 100, 100), (2, 20.0, 400, 200), (3, 0.0, 9, 9)], "clip_id long, fps double, width int, height int")
+    got = boxes.detect_with_fallback(dets.join(clips, "clip_id"), "width", "height").where("frame = 0")
+    assert {r["clip_id"]: tuple(r["box"]) for r in got.collect()} == {1: (0, 0, 100, 100), 2: (0, 0, 400, 200)}
+    points = [(c, i, lm, 0.5, 0.1 * i, 0.9) for c in (1, 2) for i in range(4) for lm in (landmarks.L_FOOT, landmarks.R_FOOT)]
+    points = spark.createDataFrame(points, "clip_id long, frame int, lm_id int, x double, y double, visibility double")
+    ranges = spark.createDataFrame([(1, 0, 3, 4), (2, 0, 3, 9)], "clip_id long, start_frame int, end_frame int, n_frames int")
+    frames, summary = jobs.ground_contacts(dets, points, ranges, "width", "height", "fps", clips)
+    last = {r["clip_id"]: (round(r["t_s"], 6), round(r["v"], 3)) for r in frames.where("foot = 'left' AND frame = 2").collect()}
+    assert last == {1: (0.2, 0.6), 2: (0.1, 1.2)}  # means of five, ends repeated: 0.12, then 0.18
+    assert {(r["clip_id"], r["n_frames"]) for r in summary.collect()} == {(1, 4), (2, 9)}
+    with pytest.raises(ValueError, match="width"):
+        jobs.ground_contacts(dets, points, ranges, "width", 100, 10.0)
+
+
+def test_states_without_frames_marks_or_last_step(spark):
+    clips = spark.createDataFrame([(1, 30.0, 9), (2, 30.0, 0)], "clip_id long, fps double, total_frames int")
+    series = spark.createDataFrame(hip_rows([0.5, 0.5, 0.5, 0.6]), "clip_id long, frame int, hip_y double, body_h double")
+    got = {r["clip_id"]: r for r in hip.hip_droop(series, clips=clips).collect()}
+    assert (got[2]["n_valid"], got[2]["worst_frames"], got[2]["start_idx"], got[2]["end_idx"]) == (0, [], 0, 0)
+    marks = [(1, 0, "s", 2), (1, 1, "e", 3), (1, 2, "abort", 3), (2, 0, "s", 1), (2, 1, "abort", 2), (2, 2, "e", 3)]
+    steps = labels.step_marks_reduce(spark.createDataFrame(marks, "clip_id long, seq int, action string, frame int"))
+    assert [r["clip_id"] for r in steps.collect()] == [1]
+    points = hip.analysis_window(series.withColumns({"x": F.lit(0.5), "y": F.col("hip_y")}), steps)
+    worst = spark.createDataFrame([(1, 2)], "clip_id long, frame int")
+    assert [(r["frame"], r["worst"]) for r in hip.hip_trail(points, worst, 100, 100).collect()] == [(2, True)]
+    assert hip.hip_trail(hip.analysis_window(series.withColumns({"x": F.lit(0.5), "y": F.col("hip_y")})), worst, 100, 100).count() == 0
