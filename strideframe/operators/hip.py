@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,19 +43,26 @@ def in_window(series: DataFrame) -> DataFrame:
     return series.where("frame >= start_idx AND frame < end_idx")
 
 
-def ranked(valid: DataFrame) -> DataFrame:
-    """Adds rank (from 0), n_valid, and k: how many first frames make the baseline."""
-    n = F.count("*").over(_clip())
+def ranked(frames: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Adds rank (from 0), n_valid, and k: how many first frames make the baseline.
+
+    All frames count, or those that are ``valid``; others keep their rows.
+    """
+    one = F.lit(1) if valid is None else valid.cast("int")
+    n = F.sum(one).over(_clip())
     k = F.least(n, F.greatest(F.lit(3), (F.lit(0.2) * n).cast("int")))
-    return valid.withColumns({"rank": F.row_number().over(_frames()) - 1, "n_valid": n, "k": k})
+    upto = _frames().rowsBetween(W.unboundedPreceding, 0)
+    return frames.withColumns({"rank": (F.sum(one).over(upto) - 1).cast("int"), "n_valid": n, "k": k})
 
 
-def hip_baseline(valid: DataFrame) -> DataFrame:
+def hip_baseline(frames: DataFrame, valid: Column | None = None) -> DataFrame:
     """Adds base_hip and base_height: means over the first k frames within both Tukey fences.
 
-    Frames that miss either fence don't count; if all do, all k count.
+    Frames that miss either fence don't count; if all do, all k count. Of ``frames`` those
+    that are ``valid`` count, all by default.
     """
-    rows = ranked(valid).withColumn("early", F.col("rank") < F.col("k"))
+    some = F.lit(True) if valid is None else valid
+    rows = ranked(frames, valid).withColumn("early", some & (F.col("rank") < F.col("k")))
     for c in ("hip_y", "body_h"):
         rows = iqr_outlier_flag(rows.withColumn("_c", F.when(F.col("early"), F.col(c))), "_c", ["clip_id"]).withColumnRenamed("_c_in", f"_{c}_in").drop("_c")
     good = F.col("early") & F.col("_hip_y_in") & F.col("_body_h_in")
@@ -84,24 +91,26 @@ def hip_droop(series: DataFrame, bounds: DataFrame | None = None, clips: DataFra
     the first k frames. Fewer than 3 valid frames leave both null. A clip without frames has
     n_valid, start_idx and end_idx 0.
     """
-    windowed = analysis_window(series, bounds)
-    drooped = droop_series(hip_baseline(valid_pose_frames(in_window(windowed))))
-    late = F.col("rank") >= F.floor(F.col("n_valid") / 2)
+    valid = F.coalesce((F.col("frame") >= F.col("start_idx")) & (F.col("frame") < F.col("end_idx")) & (F.col("body_h") > 1e-4) & F.col("hip_y").isNotNull(), F.lit(False))
+    windowed = analysis_window(series, bounds).withColumn("valid", valid)
+    # frames that don't count keep their rows, so that one aggregation gives bounds and metrics
+    drooped = droop_series(hip_baseline(windowed, F.col("valid")))
+    late = F.col("valid") & (F.col("rank") >= F.floor(F.col("n_valid") / 2))
     order = F.row_number().over(W.partitionBy("clip_id", "late").orderBy(F.desc("droop"), F.desc("frame")))
     n_late = F.col("n_valid") - F.floor(F.col("n_valid") / 2)
     k = F.least(n_late, F.greatest(F.lit(1), F.rint(F.lit(0.05) * n_late)))
     marked = drooped.withColumn("late", late).withColumn("worst", F.col("late") & (order <= k) & (F.col("n_valid") >= 3))
-    metrics = marked.groupBy("clip_id").agg(
+    out = marked.groupBy("clip_id").agg(
         F.avg(F.when(F.col("worst"), F.col("droop"))).alias("hip_droop_pct"),
         (F.avg(F.when(F.col("late"), F.col("droop"))) - F.avg(F.when(F.col("early"), F.col("droop")))).alias("hip_droop_trend_pct"),
-        F.count("*").cast("int").alias("n_valid"),
+        F.count_if("valid").cast("int").alias("n_valid"),
         F.sort_array(F.collect_list(F.when(F.col("worst"), F.col("frame")))).alias("worst_frames"),
+        F.max("start_idx").alias("start_idx"),
+        F.max("end_idx").alias("end_idx"),
     )
-    sides = windowed.groupBy("clip_id").agg(F.max("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"))
     if clips is not None:
-        sides = clips.select("clip_id").distinct().join(sides, "clip_id", "left").fillna(0, ["start_idx", "end_idx"])
-    out = sides.join(metrics, "clip_id", "left")
-    return out.select("clip_id", "hip_droop_pct", "hip_droop_trend_pct", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("worst_frames", F.array().cast("array<int>")).alias("worst_frames"), "start_idx", "end_idx")
+        out = clips.select("clip_id").distinct().join(out, "clip_id", "left").fillna(0, ["n_valid", "start_idx", "end_idx"])
+    return out.select("clip_id", "hip_droop_pct", "hip_droop_trend_pct", "n_valid", F.coalesce("worst_frames", F.array().cast("array<int>")).alias("worst_frames"), "start_idx", "end_idx")
 
 
 def hip_trail(points: DataFrame, worst: DataFrame, width: int | str, height: int | str) -> DataFrame:
