@@ -80,6 +80,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """Of each row of ``find_passages``: counts, a checksum of its sorted item ids, and whether it is hit.
+
+    A text without hits, null and empty ones among them, has the checksum of the empty list.
+    Repeated rows give equal ones; long texts have one row like all; an empty table gives none.
+    """
     ids = F.array_join("item_ids", ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -199,7 +199,10 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """The checksum of each piece's ids, as unsigned little-endian 32-bit numbers, for the ids."""
+    """The checksum of each piece's ids, as unsigned little-endian 32-bit numbers, for the ids.
+
+    One row for each piece of ``pack``; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -129,8 +129,9 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
     two kinds may overlap; a term that overlaps a base span is left out. Terms count only in
     documents that hold the entity they give away; others stay as they are.
 
-    Null text is empty. Rows equal in doc_id and text get equal results, one each. Columns
-    other than doc_id and text are not looked at. An empty table gives none.
+    Null text is empty. Very long texts are scanned whole. Rows equal in doc_id and text get
+    equal results, one each; copies of a text count once in the statistics. Columns other
+    than doc_id and text are not looked at. An empty table gives none.
     Returns doc_id, text_key, spans: array of (kind, start, end).
     """
     found = cut(scan(docs))
@@ -158,6 +159,11 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """Of each row of ``find_personal_data``: counts by kind, a checksum of base spans, and all spans as text.
+
+    A text without spans, null and empty ones among them, has the checksum of the empty list.
+    Spans of one place (ties) go by kind. Repeated rows give equal ones; an empty table none.
+    """
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != TERM)
