@@ -33,12 +33,12 @@ def features(docs: DataFrame, *more: str) -> DataFrame:
     columns of documents.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    has_word = lambda line: F.length(F.regexp_replace(line, SPACE, "")) > 0
+    has_word = lambda line: F.trim(line, F.lit(" \t\n\v\f\r")) != ""
     carried = [c for c in more if c != "text"]
     words = docs.select("doc_id", "lang", "source", *carried, text_key().alias("text_key"), text.alias("text"), F.array_remove(F.split(text, SPACE), "").alias("words"))
     words = words.withColumn("lines", F.filter(F.split("text", "\n"), has_word))
-    words = words.withColumn("hashes", _repeat_words(F.col("words"))).withColumn("sorted", F.sort_array("hashes"))
-    twice = words.withColumn("twice", F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("sorted"))), lambda i: F.coalesce(F.try_element_at("sorted", i) == F.try_element_at("sorted", i - 1), F.lit(False))))
+    words = words.withColumn("hashes", _repeat_words(F.col("words")))
+    twice = words.withColumn("twice", F.size(F.array_distinct("hashes")) < F.size("hashes"))
     at = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     runs = twice.withColumn("pairs", F.when(F.col("twice"), F.sort_array(at)))
     h = lambda i: F.try_element_at("pairs", i)["h"]
