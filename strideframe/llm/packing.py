@@ -26,6 +26,9 @@ RANGE_BYTES = 24_000_000
 #: borders the key space is cut evenly. They decide how large ranges are, and nothing else.
 BORDERS, BORDER_SAMPLE = 20_000, 1_000
 
+#: Documents whose pieces a Python worker holds at once.
+SLICE = 1_000
+
 #: The pieces that byte-level vocabularies of this kind merge within (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -145,7 +148,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     and cut whole; one longer than a range makes a longer range. ``tokenizer``: path of a byte-level BPE file of fewer than 65,536 ids, the same on all
     executors. Null text is empty: its document is the end id alone. Repeated rows are packed
     each. Columns other than doc_id and text are not looked at. An empty table gives none.
-    Returns doc_id, start, length, ids (two bytes each), doc_tokens, sequence_id, offset.
+    Returns doc_id, start, length, ids (two bytes each), ids_crc32 (of the ids as unsigned
+    little-endian 32-bit numbers), doc_tokens, sequence_id, offset.
     """
     ship(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("text_key"))
@@ -175,15 +179,17 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sequence, offset = None, 0, 0
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
+            out: dict[str, list] = {c: [] for c in _PIECES.names}
             for doc, part, ids in zip(batch.column("doc_id").to_pylist(), batch.column("range").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 if part != now:
                     now, sequence, offset = part, part << 36, 0
                 start, total = 0, len(ids) // 2
                 while start < total:
                     take = min(length - offset, total - start)
-                    for c, v in zip(out, (doc, start, take, ids[2 * start : 2 * (start + take)], total, sequence, offset), strict=True):
+                    own = ids[2 * start : 2 * (start + take)]
+                    crc = zlib.crc32(np.frombuffer(own, "<u2").astype("<u4").tobytes())
+                    for c, v in zip(out, (doc, start, take, own, crc, total, sequence, offset), strict=True):
                         out[c].append(v)
                     start, offset = start + take, offset + take
                     if offset == length:
@@ -192,22 +198,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
 
     made = rows.mapInArrow(encoded, "doc_id long, range int, key long, ids binary")
     placed = made.repartitionById(ranges, "range").sortWithinPartitions("range", "key", "doc_id")
-    return placed.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """The checksum of each piece's ids, as unsigned little-endian 32-bit numbers, for the ids.
-
-    One row for each piece of ``pack``; an empty table gives none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-            at = batch.schema.get_field_index("ids")
-            yield batch.set_column(at, "ids_crc32", pa.array(sums, pa.int64()))
-
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    """The rows of ``pack`` with the checksum of their ids alone; an empty table gives none."""
+    return pieces.drop("ids")
