@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, licence_scan, line_dedup, lm_score, manifest, near_dup, packing, personal_data, pieces, quality, token_counts
+from . import decontaminate, language_id, licence_scan, line_dedup, lm_score, manifest, near_dup, packing, personal_data, pieces, quality, spelling, token_counts
 from .common import table
 
 
@@ -58,5 +58,9 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(manifest.manifest(table(spark, sf_dir, "documents"), carry={"tampered": manifest.changed()}))
 
 
-_ALL = (op1_language_id, op2_licence_scan, op3_line_dedup, op4_packing, op5_quality_rules, op6_decontaminate, op7_personal_data, op8_near_dup, op9_lm_score, op10_token_counts, op11_sentencepiece, op12_manifest)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_language_id, op2_licence_scan, op3_line_dedup, op4_packing, op5_quality_rules, op6_decontaminate, op7_personal_data, op8_near_dup, op9_lm_score, op10_token_counts, op11_sentencepiece, op12_manifest, op13_spelling_variants)
 QUERIES = {f.__name__: f for f in _ALL}
