@@ -149,7 +149,7 @@ class Counter:
                 found = self._by_library(self.normalizer.normalize_str(p))
             elif q.isalpha():
                 found = (q,)
-            elif q[:-1].isalpha():
+            elif q[:-1].isalpha() and not q[-1].isspace():
                 found = (q[:-1], q[-1])
             else:
                 found = self.merges.split.findall(q if p.isascii() else self.normalizer.normalize_str(p))
@@ -208,8 +208,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     """Bytes and tokens of every whole text, as the library of the vocabulary gives them.
 
     ``tokenizer``: path of a byte-level BPE file with word ends, the same on all executors.
-    One narrow pass; nothing is shuffled. A batch's distinct pieces are merged together.
-    Null text counts as empty. Repeated rows each get a row. Columns other than doc_id and
+    One narrow pass; nothing is shuffled. A batch's distinct pieces are merged together. Null
+    and empty texts have none; texts of any length are whole. Repeated rows each get a row. Columns other than doc_id and
     text are not looked at. An empty table gives none.
     """
 
