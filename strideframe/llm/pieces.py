@@ -8,17 +8,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import ship
 from .ragged import buffers
+from .ragged import chunks as chunked
 
-#: Text bytes of a block, in which each distinct chunk stands once; a single longer text makes a longer block.
-BLOCK_BYTES = 32_000_000
+#: Text bytes that are cut at a time, a whole text at least.
+BLOCK_BYTES = 1 << 22
+#: Chunks that a Python worker remembers between batches, about 200 bytes each, and segments at a time.
+REMEMBERED, SEGMENTED = 200_000, 10_000
 #: Ids that are decoded at a time, a whole text at least.
-DECODED_IDS = 1 << 22
+DECODED_IDS = 1 << 20
 
 MARK = "▁"
 
@@ -98,85 +100,58 @@ def _model(path: str) -> Model:
     return Model(path)
 
 
-_BLOCK = "block long, doc_id array<long>, length array<long>, place binary, chunks array<binary>"
+class ChunkTable:
+    """Ids of distinct chunks, each segmented once for a worker as long as it is remembered."""
 
+    def __init__(self, model: Model) -> None:
+        self.model, self.ids = model, {}
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about BLOCK_BYTES of text, across batches."""
-    kept, size = [], 0
-    for batch in batches:
-        n = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
-        i = 0
-        while i < len(n):
-            j = i + max(1, int(np.searchsorted(np.cumsum(n[i:]), BLOCK_BYTES - size, "right")))
-            kept.append(batch.slice(i, j - i))
-            size += int(n[i:j].sum())
-            if size >= BLOCK_BYTES or j < len(n):
-                yield pa.Table.from_batches(kept).combine_chunks()
-                kept, size = [], 0
-            i = j
-    if kept:
-        yield pa.Table.from_batches(kept).combine_chunks()
+    def of(self, chunks: list[bytes]) -> pa.ListArray:
+        """A list of ids for each of some distinct chunks."""
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        new = [c for c in chunks if c not in self.ids]
+        for i in range(0, len(new), SEGMENTED):
+            part = new[i : i + SEGMENTED]
+            self.ids.update((c, np.array(ids, np.int32).tobytes()) for c, ids in zip(part, self.model.segment(part), strict=True))
+        found = [self.ids[c] for c in chunks]
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
-
-def _blocks(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task = _model(path), TaskContext.get().partitionId()
-        for k, rows in enumerate(_filled(batches)):
-            chunks, off = model.cut(rows.column("text").combine_chunks().fill_null(""))
-            place = pa.compress(chunks.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), codec="zstd", asbytes=True)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 33) + k]), one(rows.column("doc_id").combine_chunks()), one(pa.array(np.diff(off))), pa.array([place], pa.binary()), one(chunks.dictionary.cast(pa.binary()))], names=["block", "doc_id", "length", "place", "chunks"])
-
-    return run
-
-
-def _segmented(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _model(path).segment(batch.column("chunk").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "ids"])
-
-    return run
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of texts: those of their distinct chunks, taken in the order in which these stand."""
+        chunks, off = self.model.cut(texts)
+        each = self.of(chunks.dictionary.to_pylist()).take(chunks.indices)
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(each).to_numpy())))[off]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each.flatten())
 
 
-def _placed(block: pa.Table, found: pa.Table) -> pa.Table:
-    """Ids of a block's texts: those of its distinct chunks, taken in the order in which they stand."""
-    length = block.column("length")[0].values.to_numpy()
-    place = np.frombuffer(pa.decompress(block.column("place")[0].as_py(), int(length.sum()) * 4, codec="zstd"), np.int32)
-    found = found.combine_chunks()
-    order = np.argsort(found.column("place").to_numpy())
-    ids = found.column("ids").combine_chunks().take(pa.array(order)) if len(found) else pa.array([], pa.list_(pa.int32()))
-    each = ids.take(pa.array(place))
-    ends = np.append(0, np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False))).astype(np.int64)
-    text_ends = ends[np.append(0, np.cumsum(length))]
-    return pa.table({"doc_id": block.column("doc_id")[0].values, "ids": pa.ListArray.from_arrays(pa.array(text_ends.astype(np.int32)), each.flatten())})
-
-
-def chunk_table(blocks: DataFrame, model: str) -> DataFrame:
-    """``chunk`` and ``ids``: each distinct chunk of all blocks, segmented once."""
-    chunks = blocks.select(F.explode("chunks").alias("chunk")).distinct()
-    return chunks.mapInArrow(_segmented(model), "chunk binary, ids array<int>")
+@lru_cache(maxsize=2)
+def _table(path: str) -> ChunkTable:
+    """One for each Python worker, which serves many tasks."""
+    return ChunkTable(_model(path))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids of every whole text, without begin or end, as the model's library gives them.
 
     ``model``: path of a BPE model without normalisation whose pieces hold markers at their
-    beginning only, the same on all executors; others are refused. Texts become blocks of
-    places in a list of the block's distinct chunks (marked words, and characters that join
-    nothing). A chunk stands in a block once however often its texts have it, so the join with
-    the table of segmented chunks has no hot key. Null text counts as empty and has no ids.
-    Repeated rows each get a row; texts of any length are whole. Columns other than doc_id (a
-    long) and text are not looked at. An empty table gives none.
+    beginning only, the same on all executors; others are refused. Texts become places in a
+    list of distinct chunks (marked words, and characters that join nothing); each worker has a
+    table of chunks with their ids, and takes them by place. One narrow pass, nothing is
+    shuffled. Null text counts as empty and has no ids. Repeated rows each get a row; texts of
+    any length are whole. Columns other than doc_id (a long) and text are not looked at. An
+    empty table gives none.
     """
     ship(docs)
-    blocks = stored(docs.select("doc_id", "text").mapInArrow(_blocks(model), _BLOCK))
-    table = stored(chunk_table(blocks, model))
-    stands = blocks.select("block", F.posexplode("chunks").alias("place", "chunk"))
-    found = stands.join(table, "chunk").select(F.col("block").alias("of"), "place", "ids")
-    texts = blocks.select("block", "doc_id", "length", "place")
-    return texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_placed, "doc_id long, ids array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").fill_null("")
+            for i, j, _, _ in chunked(texts, BLOCK_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _table(model).encode(texts.slice(i, j - i))], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
