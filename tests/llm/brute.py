@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -203,3 +204,85 @@ def kneser_ney(texts):
         return entropy
 
     return {lang: model(c) for lang, c in grams.items()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle(levels, fanout=2):
+    """Root of a list of digests, and of each the (before, after) texts of its siblings from below."""
+    at, paths, row = list(range(len(levels))), [[] for _ in levels], list(levels)
+    while len(row) > 1:
+        for i, p in enumerate(at):
+            own = p - p % fanout
+            paths[i].append(("".join(row[own:p]), "".join(row[p + 1 : own + fanout])))
+            at[i] = p // fanout
+        row = [sha("".join(row[i : i + fanout])) for i in range(0, len(row), fanout)]
+    return row[0], paths
+
+
+def manifest(rows, fanout=2):
+    """Digests of rows (doc_id, text, lang, source, n_chars), one tuple each, sorted."""
+    def framed(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(r, more):
+        i, text, lang, source, n = r
+        return sha("".join(map(framed, (i, source, lang, None if n is None else n + more, text))))
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    trees, langs = {}, sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for k in langs:
+        groups[k].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, 0)))
+        trees[k] = merkle([leaf(r, 0) for r in groups[k]], fanout)
+    root, tops = merkle([trees[k][0] for k in langs], fanout)
+    out = []
+    for k, top in zip(langs, tops, strict=True):
+        for r, path in zip(groups[k], trees[k][1], strict=True):
+            own = leaf(r, int(r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0))
+            for before, after in path + top:
+                own = sha(before + own + after)
+            out.append((r[0], leaf(r, 0), trees[k][0], root, sha("".join(a + b for a, b in path + top)), own, own == root))
+    return sorted(out, key=str)
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a != b and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else len(b) - len(a) == 1 and a[i:] == b[i + 1 :])
+
+
+def vocabulary(rows, length=6, least=5):
+    found = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = 1 if i is None else zlib.crc32(f"{i}:{run}".encode())
+            found[run if h % 199 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return {w: n for w, n in found.items() if len(w) >= length and n >= least}
+
+
+def variants(vocab, times=5):
+    """word, form, root, n, n_near, form_n by comparing all words of like lengths."""
+    near = defaultdict(list)
+    sized = defaultdict(list)
+    for w in vocab:
+        sized[len(w)].append(w)
+    for size, ws in sized.items():
+        for a in ws:
+            for b in itertools.chain(ws, sized.get(size + 1, [])):
+                if one_edit(a, b):
+                    near[a].append(b)
+                    if len(b) > size:
+                        near[b].append(a)
+    best = {w: min(near[w], key=lambda x: (-vocab[x], x)) for w in vocab if near[w]}
+    form = {w: b for w, b in best.items() if vocab[b] >= times * vocab[w]}
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return {(w, form.get(w), root(w), n, len(near[w]), vocab.get(form.get(w))) for w, n in vocab.items()}
