@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,16 @@ def named(*values: Column | str | float) -> list[str]:
     return sorted({v for v in values if isinstance(v, str)})
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds ``value`` as a column that what follows reads and never works out again.
+
+    Filters on a plain expression are moved below it and so repeat it, with all that it is made
+    of; a generated column (here of an array of one element) stays where it is.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def nan_to_null(x: Column) -> Column:
     """Missing values are null everywhere; NaN would compare as the greatest number."""
     return F.when(F.isnan(x), None).otherwise(x)
@@ -47,14 +57,18 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
 
 
+#: Endings of overlay names.
+_PROCESSED, _OVERLAY = "_pv_processed.mp4", "_foot_contact_overlay.mp4"
+
+
 def processed_name(path: Column) -> Column:
     """File name of an approach's overlay."""
-    return F.concat(stem(path), F.lit("_pv_processed.mp4"))
+    return F.concat(stem(path), F.lit(_PROCESSED))
 
 
 def contact_overlay_path(path: Column) -> Column:
     """Path of a ground contact overlay: beside the clip, its last suffix replaced."""
-    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit("_foot_contact_overlay.mp4"))
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit(_OVERLAY))
 
 
 #: Fixed value: the characters that stay in file names.

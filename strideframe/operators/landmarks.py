@@ -13,13 +13,18 @@ JOINTS = {"l_hip": L_HIP, "r_hip": R_HIP, "l_knee": L_KNEE, "r_knee": R_KNEE, "l
 LEG_EDGES = [("l_hip", "r_hip"), ("l_hip", "l_knee"), ("l_knee", "l_ankle"), ("r_hip", "r_knee"), ("r_knee", "r_ankle")]
 
 
-def roi_to_frame(landmarks: DataFrame, boxes: DataFrame, width: int | str, height: int | str) -> DataFrame:
+def roi_to_frame(landmarks: DataFrame, boxes: DataFrame, width: int | str, height: int | str, every: bool = False) -> DataFrame:
     """x and y from shares of the box to shares of the frame; only landmarks that have a box.
 
     ``width`` and ``height`` are numbers, or columns of ``boxes`` with each clip's own, which stay.
+    With ``every``, each row of ``boxes`` is there, with its other columns: frames without a box
+    or a landmark have one row of null lm_id, x and y.
     """
     b = F.col("box")
-    joined = landmarks.join(boxes.where("box IS NOT NULL").select("clip_id", "frame", "box", *named(width, height)), ["clip_id", "frame"])
+    if every:
+        joined = boxes.join(landmarks, ["clip_id", "frame"], "left")
+    else:
+        joined = landmarks.join(boxes.where("box IS NOT NULL").select("clip_id", "frame", "box", *named(width, height)), ["clip_id", "frame"])
     x = (b["x1"] + F.col("x") * (b["x2"] - b["x1"])) / given(width).cast("double")
     y = (b["y1"] + F.col("y") * (b["y2"] - b["y1"])) / given(height).cast("double")
     return joined.withColumns({"x": x, "y": y}).drop("box")
@@ -41,27 +46,29 @@ def _of(lm: int, value: str) -> Column:
     return F.max(F.when(F.col("lm_id") == lm, F.col(value)))
 
 
-def hip_series(landmarks: DataFrame, frames: DataFrame) -> DataFrame:
+def hip_series(landmarks: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """hip_y and body_h of every frame of ``frames``; null where there is no pose.
 
+    Without ``frames``, the frames are those that have a row, be it one without a landmark.
     Only the five landmarks needed are aggregated, with map-side combine.
     """
-    needed = landmarks.where(F.col("lm_id").isin(NOSE, L_HIP, R_HIP, L_ANKLE, R_ANKLE))
+    needed = landmarks.where(F.col("lm_id").isNull() | F.col("lm_id").isin(NOSE, L_HIP, R_HIP, L_ANKLE, R_ANKLE))
     hip = F.lit(0.5) * (_of(L_HIP, "y") + _of(R_HIP, "y"))
     ankles = F.when(_of(L_ANKLE, "y").isNotNull() & _of(R_ANKLE, "y").isNotNull(), F.greatest(_of(L_ANKLE, "y"), _of(R_ANKLE, "y")))
     series = needed.groupBy("clip_id", "frame").agg(hip.alias("hip_y"), (ankles - _of(NOSE, "y")).alias("body_h"))
-    return frames.select("clip_id", "frame").join(series, ["clip_id", "frame"], "left")
+    return series if frames is None else frames.select("clip_id", "frame").join(series, ["clip_id", "frame"], "left")
 
 
-def foot_series(landmarks: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+def foot_series(landmarks: DataFrame, frames: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(clip_id, foot, frame, x, y) of both feet from gated landmarks.
 
     Every frame of ``frames`` has both feet, null where there is no pose; without it, the
-    frames are those that have a foot's landmark. Other columns of ``frames`` stay.
+    frames are those that have a foot's landmark or a row without one (null lm_id). Other
+    columns of ``frames`` stay, or those of the landmarks named in ``keep``, one value a frame.
     """
-    needed = landmarks.where(F.col("lm_id").isin(L_FOOT, R_FOOT))
-    wide = needed.groupBy("clip_id", "frame").agg(*[_of(lm, c).alias(f"{foot}_{c}") for foot, lm in (("left", L_FOOT), ("right", R_FOOT)) for c in "xy"])
-    more: list[str] = []
+    needed = landmarks.where(F.col("lm_id").isNull() | F.col("lm_id").isin(L_FOOT, R_FOOT))
+    more = list(keep)
+    wide = needed.groupBy("clip_id", "frame").agg(*[_of(lm, c).alias(f"{foot}_{c}") for foot, lm in (("left", L_FOOT), ("right", R_FOOT)) for c in "xy"], *[F.max(c).alias(c) for c in more])
     if frames is not None:
         more = [c for c in frames.columns if c not in wide.columns and c != "box"]
         wide = frames.select("clip_id", "frame", *more).join(wide, ["clip_id", "frame"], "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -323,6 +322,7 @@ def boxes_of_mixed_sizes(s: SparkSession, d: str) -> DataFrame:
 
 def _ground(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     clips = _mixed(s, d, "clips")
+    jobs.co_partitioned(s)
     return jobs.ground_contacts(_mixed(s, d, "detections"), _lms(s, d), contacts.normalize_range(_mixed(s, d, "ranges"), clips), "width", "height", "fps", clips)
 
 
@@ -335,6 +335,7 @@ def ground_contacts_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def approach(s: SparkSession, d: str) -> DataFrame:
+    jobs.co_partitioned(s)
     out = jobs.approach(_mixed(s, d, "detections"), _lms(s, d), derived(s, d, "step_marks"), _mixed(s, d, "clips"), "width", "height")
     return out.select("clip_id", "start_frame", "end_frame", *_r("t_start", "t_end"), "n_steps", *_r("stride_rate", "cadence", "hip_droop_pct", "hip_droop_trend_pct"), "n_valid")
 
@@ -355,9 +356,9 @@ def output_names(s: SparkSession, d: str) -> DataFrame:
 
 
 def write_by_clip(s: SparkSession, d: str) -> DataFrame:
-    """Signals written in files by clip, and read back with their schema."""
+    """Signals written in files by clip into the shared folder, and read back with their schema."""
     frames = _gait(s, d)
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/signals-{uuid.uuid4().hex}"
+    path = f"{sources.shared_dir(s)}/signals-{uuid.uuid4().hex}"
     sources.write_by_clip(frames, path, 4)
     return s.read.schema(frames.schema).parquet(path).select(*FOOT, *_r("x", "y"))
 

@@ -254,3 +254,65 @@ def test_states_without_frames_marks_or_last_step(spark):
     worst = spark.createDataFrame([(1, 2)], "clip_id long, frame int")
     assert [(r["frame"], r["worst"]) for r in hip.hip_trail(points, worst, 100, 100).collect()] == [(2, True)]
     assert hip.hip_trail(hip.analysis_window(series.withColumns({"x": F.lit(0.5), "y": F.col("hip_y")})), worst, 100, 100).count() == 0
+
+
+def test_boxes_take_one_exchange_and_no_sort(spark):
+    rows = [det(f, kind, i, x, 0, x + 10 + i % 2, 10) for f in range(5) for kind in ("original", "boosted") for i, x in enumerate((0, 3, -40))]
+    dets = spark.createDataFrame(rows, DETS)
+    for found in (boxes.largest_person_box(dets, 100, 100), boxes.detect_with_fallback(dets, 100, 100)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and plan.count("Exchange") == 1
+    dealt = boxes.detect_with_fallback(dets.repartition("clip_id"), 100, 100, dealt=True)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r["box"]) for r in dealt.collect()} == {(3, 0, 14, 10)}
+
+
+def test_only_frames_in_range_are_exchanged(spark):
+    from strideframe.plans import jobs
+
+    rows = spark.createDataFrame([(c, f) for c in range(6) for f in range(50)], "clip_id long, frame int")
+    ranges = spark.createDataFrame([(1, 10, 12), (2, None, 3), (3, 48, None), (9, 0, 9)], "clip_id long, a int, b int")
+    want = [(1, 10), (1, 11), (1, 12), (2, 0), (2, 1), (2, 2), (2, 3), (3, 48), (3, 49)]
+    for most in (0, jobs.RANGES_SENT):
+        known = jobs.sent(ranges) if most else ranges
+        got = jobs.pruned(rows, known, "a", "b")
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got.repartition("clip_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")  # the join lies below
+    left = jobs.pruned(rows, ranges, None, "b", "left")
+    assert left.count() == 13 + 4 + 4 * 50  # clips 1 and 2 up to their last frame, the others whole
+
+
+def test_jobs_compile_and_are_right_over_bucketed_tables(spark, tmp_path):
+    """The whole approach within the limits of generated code; bucketed detections and landmarks aren't exchanged."""
+    from strideframe.plans import jobs, queries
+    from strideframe.sources import write_bucketed
+
+    data = "/root/testdata/sf0.001"
+    names = {n: queries.derived(spark, data, n) for n in ("mixed_detections", "landmarks", "step_marks", "mixed_clips")}
+    changed = {"spark.sql.codegen.fallback": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    want = sorted(map(tuple, jobs.approach(*names.values(), "width", "height").collect()))
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        tables = [write_bucketed(names[n], f"bucketed_{n}", f"{tmp_path}/{n}", 4) for n in ("mixed_detections", "landmarks")]
+        out = jobs.approach(*tables, names["step_marks"], names["mixed_clips"], "width", "height", dealt=True)
+        assert sorted(map(tuple, out.collect())) == want
+        plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-*()0123456789|")) for x in plan]
+        for i, line in enumerate(plan):
+            if "Bucketed: true" in line:
+                above, top = [], depth[i]
+                for j in range(i - 1, -1, -1):
+                    if depth[j] < top:
+                        above, top = [plan[j], *above], depth[j]
+                # one exchange may stand above them all: the frames' metrics of a clip, already summed
+                first = next((k for k, x in enumerate(reversed(above)) if "Exchange" in x), len(above))
+                assert any("Window" in x for x in list(reversed(above))[:first])
+        assert sum("Bucketed: true" in x for x in plan) >= 2
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for n in ("mixed_detections", "landmarks"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{n}")
