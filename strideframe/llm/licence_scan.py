@@ -14,6 +14,8 @@ SENTENCES = {
     "mit-2": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-3": "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     "mit-4": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "mit-title": "MIT License",
+    "mit-title-2": "The MIT License (MIT)",
     "mit-ref": "Released under the MIT License.",
     "mit-ref-2": "Licensed under the MIT License.",
     "mit-ref-3": "This project is licensed under the MIT License.",
@@ -45,6 +47,7 @@ SENTENCES = {
     "gpl2-0": "This program is free software;",
     "gpl2-1": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
     "gpl2-2": "either version 2 of the License, or (at your option) any later version.",
+    "gpl2-v2": "version 2 of the License.",
     "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     "lgpl-0": "This library is free software;",
     "lgpl21-1": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
@@ -57,6 +60,9 @@ SENTENCES = {
     "bsd-4": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-5": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
     "bsd-6": "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services;",
+    "bsd3-ref": "Licensed under the BSD 3-Clause License.",
+    "bsd3-ref-2": "This project is licensed under the BSD 3-Clause License.",
+    "bsd2-ref": "Licensed under the BSD 2-Clause License.",
     "isc-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "0bsd-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "isc-2": "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
@@ -95,6 +101,7 @@ RULES = [
     ("GPL-3.0-only", ["gpl-1-only"]),
     ("GPL-2.0-or-later", ["gpl2-0", "gpl2-1", "gpl2-2", "gpl-2", "gpl-3", "gpl-4"]),
     ("GPL-2.0-or-later", ["gpl2-1", "gpl2-2"]),
+    ("GPL-2.0-only", ["gpl2-1", "gpl2-v2"]),
     ("GPL-2.0-only", ["gpl2-only"]),
     ("LGPL-2.1-or-later", ["lgpl21-1", "lgpl21-2"]),
     ("LGPL-3.0-or-later", ["lgpl3-1"]),
@@ -122,6 +129,11 @@ RULES = [
     ("Unlicense", ["unlicense-1"]),
     ("Zlib", ["zlib-1", "zlib-2", "zlib-3"]),
     ("MIT", ["mit-1", "mit-2"]),
+    ("MIT", ["mit-title"]),
+    ("MIT", ["mit-title-2"]),
+    ("BSD-3-Clause", ["bsd3-ref"]),
+    ("BSD-3-Clause", ["bsd3-ref-2"]),
+    ("BSD-2-Clause", ["bsd2-ref"]),
     ("MIT", ["mit-ref"]),
     ("MIT", ["mit-ref-2"]),
     ("MIT", ["mit-ref-3"]),
@@ -135,6 +147,9 @@ RULES = [
     ("CC0-1.0", ["cc0-title"]),
 ]
 
+#: Older identifiers, and what they are called now.
+_OLDER = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+
 #: The clauses of Creative Commons licences, and how long names spell them.
 _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
@@ -150,12 +165,20 @@ def _by_rule() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
     for name in dict.fromkeys([n for n, _ in RULES] + [n for n, _ in rules]):
         sentences[f"spdx-{name.lower()}"] = f"SPDX-License-Identifier: {name}"
         rules.append((name, [f"spdx-{name.lower()}"]))
+    for older, name in _OLDER.items():
+        sentences[f"spdx-{older.lower()}"] = f"SPDX-License-Identifier: {older}"
+        rules.append((name, [f"spdx-{older.lower()}"]))
     return sentences, rules
 
 
 SENTENCES |= _by_rule()[0]
 RULES += _by_rule()[1]
 
+#: Names stand in this slot of a sentence, full stops included; it is filled alike for all of them.
+_SLOT = "(?i)(neither the names? of)[ \\t\\n\\r][^;]{1,200}?[ \\t\\n\\r](nor[ \\t\\n\\r]+the[ \\t\\n\\r]+names)"
+_FILLED = "neither the name of the copyright holder nor the names"
+#: The plus sign of an identifier line, in words.
+_PLUS = "(?i)(spdx-license-identifier:[ ]*[a-z0-9.-]+)[+]"
 _END = "([.!?;])[ \\t\\n\\r]+"
 _BLANK = "\\n[ \\t\\r]*\\n"
 _MARK = "\x01"
@@ -174,6 +197,7 @@ def sentences_of(docs: DataFrame) -> DataFrame:
     without punctuation.
     """
     text = F.coalesce("text", F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(text, _SLOT, _FILLED), _PLUS, "$1-or-later")
     parts = F.split(F.regexp_replace(F.regexp_replace(text, _END, "$1" + _MARK), _BLANK, _MARK), _MARK)
     each = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(parts).alias("at", "sentence"))
     lines = F.when(F.col("sentence").contains("\n"), F.concat(F.array("sentence"), F.split("sentence", "\n"))).otherwise(F.array("sentence"))
@@ -223,7 +247,7 @@ def oracle(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[st
     return f"""
 WITH known AS (SELECT sid, {norm("raw")} AS said FROM (VALUES {known}) v(sid, raw)),
 d AS (SELECT DISTINCT doc_id, text FROM documents),
-parts AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1)) AS p FROM d),
+parts AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), {quote(_SLOT)}, {quote(_FILLED)}, 'g'), {quote(_PLUS)}, '\\1-or-later', 'g'), '([.!?;])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1)) AS p FROM d),
 sents AS (SELECT doc_id, text, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM parts),
 cands AS (SELECT doc_id, text, pos, CASE WHEN contains(sentence, chr(10)) THEN list_concat([sentence], string_split(sentence, chr(10))) ELSE [sentence] END AS c FROM sents),
 lines AS (SELECT doc_id, text, pos, unnest(c) AS raw, generate_subscripts(c, 1) AS line FROM cands),

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.llm import common, manifest, pieces, queries, spelling, sql, token_counts
+from strideframe.llm import common, licence_scan, manifest, pieces, queries, spelling, sql, token_counts
 
 from . import brute
 from .test_llm import DATA, WORDS, docs, empty, odd, odd_texts  # noqa: F401
@@ -159,3 +159,16 @@ def test_extra_columns_dont_clash(spark):
     assert words_of(spelling.spelling_variants(df)) == words_of(spelling.spelling_variants(more))
     assert proofs(df) == proofs(more)
     assert pieces.encode(more, MODEL).count() == 9
+
+
+def test_licences_with_names_titles_and_older_identifiers(spark):
+    s = licence_scan.SENTENCES
+    bsd = [s["bsd-1"], s["bsd-2"], s["bsd-3"], None, s["bsd-5"], s["bsd-6"]]
+    named = lambda n: "\n\n".join(x or f"3. Neither the name of {n} nor the names of its\ncontributors may be used to endorse or promote products derived from this software without specific prior written permission." for x in bsd)
+    said = {0: named("Example Inc."), 1: named("the University of Somewhere, its Dept. of Things"), 2: named("the copyright holder"), 3: "\n\n".join(x for x in bsd if x), 4: "MIT License", 5: "// SPDX-License-Identifier: GPL-2.0+", 6: "SPDX-License-Identifier: GPL-2.0", 7: f"{s['gpl2-0']} {s['gpl2-1']} version 2 of the License.", 8: "Licensed under the BSD 3-Clause License."}
+    df = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licence_scan.scan_licences(df).collect()}
+    assert {i: got[i] for i in (0, 1, 2, 3, 4, 6, 7, 8)} == {0: "BSD-3-Clause", 1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "BSD-2-Clause", 4: "MIT", 6: "GPL-2.0-only", 7: "GPL-2.0-only", 8: "BSD-3-Clause"}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {r[0]: r[3] for r in con.execute(sql.ORACLES["op2_licence_scan"]).fetchall()} == got
