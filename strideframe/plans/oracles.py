@@ -295,3 +295,5 @@ round(CASE WHEN count(*) FILTER (step) >= 2 THEN (max(t_s) FILTER (step) - min(t
     "output_names": _with("SELECT clip_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') || '_pv_processed.mp4' AS processed, regexp_replace(path, '\\.[^./]+$', '') || '_foot_contact_overlay.mp4' AS overlay FROM clips", base=("clips",)),
     "write_by_clip": _with(f"SELECT {_FOOT}, {_r('x', 'y')} FROM gait", base=("gait",)),
 }
+# cutting clips into chunks changes nothing
+ORACLES["carry_forward_box_in_chunks"] = ORACLES["carry_forward_box"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions, sources
-from ..operators import bend, boxes, contacts, hip, labels, landmarks, sampling, signals
+from ..operators import bend, boxes, chunks, contacts, hip, labels, landmarks, sampling, signals
 from ..sources import clip_catalog as keep_videos
 from ..sources import normalize_clips as with_defaults
 from ..sources.fixtures import FPS, HEIGHT, WIDTH, derived
@@ -363,11 +363,16 @@ def write_by_clip(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(frames.schema).parquet(path).select(*FOOT, *_r("x", "y"))
 
 
+def carry_forward_box_in_chunks(s: SparkSession, d: str) -> DataFrame:
+    return _box(chunks.carry_forward_box(chunks.chunked(_found(s, d), 100)).drop("_chunk"))
+
+
 _ALL = [
     clip_catalog, normalize_clips, frame_sample_plan, sample_output_path, normalize_range, largest_person_box, detect_with_fallback, expand_roi, carry_forward_box, roi_to_frame, gate_visibility,
     norm_to_px, hip_series, foot_series, skeleton_qc, drawable_segments, leg_segments, visible_joints, interpolate_gaps, moving_average, velocity, contact_thresholds, contact_flag, drop_short_runs,
     rising_edges, contact_state, contact_summary, foot_trail, analysis_window, valid_pose_frames, iqr_outlier_flag, hip_baseline, droop_series, worst_frames, hip_droop, hip_trail, step_marks_reduce,
     range_marks_reduce, stride_metrics, step_highlight, phase_flags, mark_frames, approach_summary, project_tip, pole_bend,
     frame_aligned, boxes_of_mixed_sizes, ground_contacts, ground_contacts_summary, approach, any_foot_guard, display_to_original, output_names, write_by_clip,
+    carry_forward_box_in_chunks,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
