@@ -502,5 +502,5 @@ def test_pipeline_stages(spark, monkeypatch):
 
 def test_registered():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert os.path.exists(BYTES)
