@@ -5,7 +5,7 @@ What a row needs from other chunks, a last known value, a count, some neighbouri
 summed up in one row a chunk; windows over these rows, a ``size``-th as many, carry it from
 chunk to chunk; a join on (keys, chunk) brings it back. So each operator reads its input twice:
 in a chain of them, store what lies between (a checkpoint or a table). Results equal those of ``signals``,
-``boxes`` and ``contacts`` for any size. Missing values are null.
+``boxes``, ``contacts`` and ``hip`` for any size. Missing values are null.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import given
+from . import hip
 from .contacts import time_axis
-from .signals import contact_flag
+from .signals import contact_flag, within_fence
 
 KEYS = ("clip_id", "foot")
+CLIP = ("clip_id",)
 #: Frames of a chunk: a row of some numbers each, so a few MB a task.
 FRAMES = 50_000
 
@@ -166,38 +168,74 @@ def carry_forward_box(frames: DataFrame) -> DataFrame:
     return carried(frames.withColumnRenamed("box", "_box"), {"box": F.col("_box")}, True, ("clip_id",)).drop("_box")
 
 
-def percentile(df: DataFrame, name: str, value: Column, p: float, keys: tuple[str, ...] = KEYS, bins: int = 2048, rounds: int = 2) -> DataFrame:
-    """(keys, ``name``): the exact percentile of each group, as ``F.percentile`` has it, without holding a group's values.
+def told(df: DataFrame, values: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Adds what ``values`` has for each clip, by clip and chunk, so that a clip's rows never meet in one task.
 
-    A histogram finds the bin of each of the two ranks that it lies between, a finer one of
-    that bin's values the next, ``rounds`` times; only what is left then, values of one bin, is
-    counted one by one. ``df`` is read once a round, so keep it if it is costly. Nulls don't
-    count; a group of nulls has no row.
+    Rows of clips without values get nulls. Without ``_chunk`` rows are joined by clip alone.
     """
-    rows = df.select(*keys, value.alias("_v")).where("_v IS NOT NULL")
-    at = F.lit(p) * (F.col("_n") - 1)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), r.cast("long").alias("rank")) for i, r in enumerate((F.floor(at), F.ceil(at)))])).alias("_r")
-    brackets = sizes.select(*keys, "_a", "_b", F.lit(0).cast("long").alias("_before"), ranks, at.alias("_at"))
+    if "_chunk" not in df.columns:
+        return df.join(values, list(keys), "left")
+    each = df.select(*keys, "_chunk").distinct().join(values, list(keys))
+    return _with(df, each, keys)
+
+
+def _narrowed(rows: DataFrame, brackets: DataFrame, keys: tuple[str, ...], bins: int, rounds: int) -> DataFrame:
+    """``brackets`` (keys, ``_r`` with a rank, from least ``_a`` to greatest ``_b`` value, ``_before`` values below) closed in on the value of each rank, in ``_a``."""
     for k in range(rounds + 1):
-        inside = rows.join(brackets, list(keys)).where("_v >= _a AND _v <= _b")
+        asked = brackets.groupBy(*keys).agg(F.collect_list(F.struct("_a", "_b", "_before", "_r")).alias("_asked"))
+        inside = told(rows, asked, keys).select(*keys, "_v", F.inline("_asked")).where("_v >= _a AND _v <= _b")
         share = (F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a"))
         each = F.col("_v") if k == rounds else F.when(F.col("_b") > F.col("_a"), F.least(F.lit(bins - 1).cast("long"), F.floor(share * bins))).otherwise(F.lit(0).cast("long"))
-        counts = inside.groupBy(*keys, "_r", "_at", "_before", each.alias("_bin")).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        counts = inside.groupBy(*keys, "_r", "_before", each.alias("_bin")).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
         upto = F.sum("_n").over(W.partitionBy(*keys, "_r").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
         summed = counts.withColumn("_upto", F.col("_before") + upto)
         found = summed.where((F.col("_upto") - F.col("_n") <= F.col("_r.rank")) & (F.col("_r.rank") < F.col("_upto")))
-        brackets = found.select(*keys, "_a", "_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_r", "_at")
+        brackets = found.select(*keys, "_a", "_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_r")
+    return brackets
+
+
+def _valued(df: DataFrame, value: Column, keys: tuple[str, ...]) -> DataFrame:
+    return df.select(*keys, *[c for c in df.columns if c == "_chunk"], value.alias("_v")).where("_v IS NOT NULL")
+
+
+def _sides(*ranks: Column) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("side"), r.cast("long").alias("rank")) for i, r in enumerate(ranks)])).alias("_r")
+
+
+def percentile(df: DataFrame, name: str, value: Column, p: float, keys: tuple[str, ...] = KEYS, bins: int = 2048, rounds: int = 2) -> DataFrame:
+    """(keys, ``name``): the exact percentile of each group, as ``F.percentile`` has it, without holding a group's values.
+
+    A histogram finds the bin of each of the two ranks that it lies between, a finer one of
+    that bin's values the next, ``rounds`` times; only what is left then, values of one bin, is
+    counted one by one. ``df`` is read some times a round, so keep it if it is costly. Nulls
+    don't count; a group of nulls has no row.
+    """
+    rows = _valued(df, value, keys)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    sizes = sizes.withColumn("_at", F.lit(p) * (F.col("_n") - 1))
+    brackets = sizes.select(*keys, "_a", "_b", F.lit(0).cast("long").alias("_before"), _sides(F.floor("_at"), F.ceil("_at")))
     side = lambda i: F.max(F.when(F.col("_r.side") == i, F.col("_a")))
-    both = brackets.groupBy(*keys, "_at").agg(side(0).alias("_lo"), side(1).alias("_hi"))
+    both = _narrowed(rows, brackets, keys, bins, rounds).groupBy(*keys).agg(side(0).alias("_lo"), side(1).alias("_hi"))
+    both = both.join(sizes.select(*keys, "_at"), list(keys))
     line = (F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi")
     return both.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).when(F.ceil("_at") == F.floor("_at"), F.col("_lo")).otherwise(line).alias(name))
 
 
+def ranked_value(df: DataFrame, name: str, value: Column, rank: Column, keys: tuple[str, ...] = KEYS, bins: int = 2048, rounds: int = 2) -> DataFrame:
+    """(keys, ``name``): the value of a rank of each group (from 0, least first), found as ``percentile`` does.
+
+    ``rank`` is made of ``_n``, how many values the group has; a rank beyond them has no row.
+    """
+    rows = _valued(df, value, keys)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    brackets = sizes.select(*keys, "_a", "_b", F.lit(0).cast("long").alias("_before"), _sides(rank))
+    return _narrowed(rows, brackets, keys, bins, rounds).select(*keys, F.col("_a").alias(name))
+
+
 def contact_thresholds(df: DataFrame, col: str = "y", height: float = 0.8, speed: float = 0.3, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """As ``signals.contact_thresholds``: exact percentiles of position and of absolute speed. ``df`` is read several times."""
     found = percentile(df, "y_thr", F.col(col), height, keys).join(percentile(df, "v_thr", F.abs("v"), speed, keys), list(keys), "full")
-    return df.join(found, list(keys), "left")
+    return told(df, found, keys)
 
 
 def find_contacts(feet: DataFrame, fps: float | str, keep: Callable[[DataFrame], DataFrame], window: int = 5, min_len: int = 3, size: int = FRAMES) -> DataFrame:
@@ -213,3 +251,65 @@ def find_contacts(feet: DataFrame, fps: float | str, keep: Callable[[DataFrame],
     moving = keep(velocity(keep(moving_average(filled, ["x", "y"], window)), "y", dt))
     flagged = keep(contact_flag(contact_thresholds(moving)).drop("y_thr", "v_thr"))
     return time_axis(rising_edges(keep(drop_short_runs(flagged, "contact", min_len)), "contact"), fps).drop("_chunk")
+
+
+def hip_baseline(counted: DataFrame) -> DataFrame:
+    """(clip_id, base_hip, base_height): as ``hip.hip_baseline``, of the frames that are ``early``. ``counted`` is read several times."""
+    early = lambda c: F.when(F.col("early"), F.col(c))
+    fences = counted.groupBy("clip_id").agg(F.count(early("hip_y")).alias("_n"))
+    for c in ("hip_y", "body_h"):
+        for side, p in (("low", 0.25), ("high", 0.75)):
+            fences = fences.join(percentile(counted, f"_{c}_{side}", early(c), p, CLIP), "clip_id", "left")
+    rows = told(counted.where("early"), fences, CLIP)
+    inside = [within_fence(F.col(c), F.col(f"_{c}_low"), F.col(f"_{c}_high"), F.col("_n")) for c in ("hip_y", "body_h")]
+    mean = lambda c: F.coalesce(F.avg(F.when(inside[0] & inside[1], F.col(c))), F.avg(c))
+    return rows.groupBy("clip_id").agg(mean("hip_y").alias("base_hip"), mean("body_h").alias("base_height"))
+
+
+def worst_frames(drooped: DataFrame, share: float = 0.05) -> DataFrame:
+    """Adds worst: among the ``share`` of a clip's late frames that droop most, ties by later frame; nothing is sorted.
+
+    The droop of the last place is found as a percentile is; frames above it are worst, and of
+    those at it the latest, as many as places are left. ``drooped`` is read several times.
+    """
+    droop = F.when(F.col("late") & (F.col("n_valid") >= 3), F.col("droop"))
+    places = hip.worst_size(F.col("_n"), share)
+    least = ranked_value(drooped, "_least", droop, F.col("_n") - places, CLIP)
+    rows = numbered(told(drooped, least, CLIP), "_at", droop == F.col("_least"), CLIP)
+    number = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    left = rows.groupBy("clip_id").agg(F.count(droop).alias("_n"), number(droop > F.col("_least")).alias("_above"), number(droop == F.col("_least")).alias("_ties"))
+    left = left.select("clip_id", (F.col("_ties") - (places - F.col("_above"))).alias("_early_ties"))
+    worst = (droop > F.col("_least")) | ((droop == F.col("_least")) & (F.col("_at") > F.col("_early_ties")))
+    return told(rows, left, CLIP).withColumn("worst", F.coalesce(worst, F.lit(False))).drop("_least", "_at", "_early_ties")
+
+
+def hip_droop(series: DataFrame, keep: Callable[[DataFrame], DataFrame], bounds: DataFrame | None = None, clips: DataFrame | None = None, size: int = FRAMES) -> tuple[DataFrame, DataFrame]:
+    """(frames, summary): as ``hip.hip_droop``, for clips of any length, with the worst frames as a flag instead of a list.
+
+    ``frames`` adds valid, early, late, droop and worst to ``series``. ``keep`` as in
+    ``find_contacts``. An empty table gives a row for each of ``clips``.
+    """
+    rows = keep(chunked(series, size))
+    spans = rows.groupBy("clip_id").agg(F.count("*").cast("int").alias("_frames"))
+    if bounds is not None:
+        spans = spans.join(bounds.select("clip_id", "first_step", "last_step"), "clip_id", "left")
+    else:
+        spans = spans.withColumns({c: F.lit(None).cast("int") for c in ("first_step", "last_step")})
+    spans = spans.withColumns(hip.window_of(F.col("_frames"))).select("clip_id", "start_idx", "end_idx")
+    valid = told(rows, spans, CLIP).withColumn("valid", hip.counts_in_window())
+    rows = keep(numbered(valid, "_upto", F.col("valid"), CLIP))
+    sizes = rows.groupBy("clip_id").agg(F.count_if("valid").cast("int").alias("n_valid"))
+    n, rank = F.col("n_valid"), F.col("_upto") - 1
+    rows = told(rows, sizes, CLIP).withColumns({"early": F.col("valid") & (rank < hip.baseline_size(n)), "late": F.col("valid") & (rank >= F.floor(n / 2))})
+    rows = keep(rows.drop("_upto"))
+    # what is compared later must not be worked out anew: sums of other orders differ
+    drooped = keep(hip.droop_series(told(rows, hip_baseline(rows), CLIP)))
+    marked = keep(worst_frames(drooped))
+    mean = lambda flag: F.avg(F.when(F.col(flag), F.col("droop")))
+    out = marked.groupBy("clip_id").agg(
+        mean("worst").alias("hip_droop_pct"), (mean("late") - mean("early")).alias("hip_droop_trend_pct"), F.max("n_valid").alias("n_valid"), F.max("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx")
+    )
+    if clips is not None:
+        out = clips.select("clip_id").distinct().join(out, "clip_id", "left").fillna(0, ["n_valid", "start_idx", "end_idx"])
+    frames = marked.select(*series.columns, "valid", "early", "late", "droop", "worst")
+    return frames, out.select("clip_id", "hip_droop_pct", "hip_droop_trend_pct", "n_valid", "start_idx", "end_idx")

@@ -29,10 +29,29 @@ def analysis_window(series: DataFrame, bounds: DataFrame | None = None) -> DataF
         series = series.join(bounds.select("clip_id", "first_step", "last_step"), "clip_id", "left")
     else:
         series = series.withColumns({"first_step": F.lit(None).cast("int"), "last_step": F.lit(None).cast("int")})
-    n = F.count("*").over(_clip()).cast("int")
+    return series.withColumns(window_of(F.count("*").over(_clip()).cast("int"))).drop("first_step", "last_step")
+
+
+def window_of(n: Column) -> dict[str, Column]:
+    """start_idx, end_idx and ended of a clip of ``n`` frames, from first_step and last_step."""
     start = F.greatest(F.lit(0), F.least(F.coalesce("first_step", F.lit(0)), n - 1))
     end = F.least(F.coalesce(F.col("last_step") + 1, n), n)
-    return series.withColumns({"start_idx": start, "end_idx": end, "ended": F.col("last_step").isNotNull()}).drop("first_step", "last_step")
+    return {"start_idx": start, "end_idx": end, "ended": F.col("last_step").isNotNull()}
+
+
+def counts_in_window() -> Column:
+    """Whether a frame is in the analysis window and has a usable pose."""
+    return F.coalesce((F.col("frame") >= F.col("start_idx")) & (F.col("frame") < F.col("end_idx")) & (F.col("body_h") > 1e-4) & F.col("hip_y").isNotNull(), F.lit(False))
+
+
+def baseline_size(n: Column) -> Column:
+    """How many first frames of ``n`` valid ones make the baseline."""
+    return F.least(n, F.greatest(F.lit(3), (F.lit(0.2) * n).cast("int")))
+
+
+def worst_size(n_late: Column, share: float = 0.05) -> Column:
+    """How many of the ``n_late`` frames of the later half count as worst."""
+    return F.least(n_late, F.greatest(F.lit(1), F.rint(F.lit(share) * n_late)))
 
 
 def valid_pose_frames(series: DataFrame) -> DataFrame:
@@ -50,9 +69,8 @@ def ranked(frames: DataFrame, valid: Column | None = None) -> DataFrame:
     """
     one = F.lit(1) if valid is None else valid.cast("int")
     n = F.sum(one).over(_clip())
-    k = F.least(n, F.greatest(F.lit(3), (F.lit(0.2) * n).cast("int")))
     upto = _frames().rowsBetween(W.unboundedPreceding, 0)
-    return frames.withColumns({"rank": (F.sum(one).over(upto) - 1).cast("int"), "n_valid": n, "k": k})
+    return frames.withColumns({"rank": (F.sum(one).over(upto) - 1).cast("int"), "n_valid": n, "k": baseline_size(n)})
 
 
 def hip_baseline(frames: DataFrame, valid: Column | None = None) -> DataFrame:
@@ -79,9 +97,8 @@ def droop_series(based: DataFrame) -> DataFrame:
 def worst_frames(drooped: DataFrame, share: float = 0.05) -> DataFrame:
     """Of the later half, the ``share`` of frames that droop most (one at least); ties by later frame."""
     late = drooped.where("n_valid >= 3 AND rank >= floor(n_valid / 2)").withColumn("n_late", F.count("*").over(_clip()))
-    k = F.least(F.col("n_late"), F.greatest(F.lit(1), F.rint(F.lit(share) * F.col("n_late"))))
     order = F.row_number().over(_clip().orderBy(F.desc("droop"), F.desc("frame")))
-    return late.withColumn("place", order).where(F.col("place") <= k)
+    return late.withColumn("place", order).where(F.col("place") <= worst_size(F.col("n_late"), share))
 
 
 def hip_droop(series: DataFrame, bounds: DataFrame | None = None, clips: DataFrame | None = None) -> DataFrame:
@@ -91,15 +108,13 @@ def hip_droop(series: DataFrame, bounds: DataFrame | None = None, clips: DataFra
     the first k frames. Fewer than 3 valid frames leave both null. A clip without frames has
     n_valid, start_idx and end_idx 0.
     """
-    valid = F.coalesce((F.col("frame") >= F.col("start_idx")) & (F.col("frame") < F.col("end_idx")) & (F.col("body_h") > 1e-4) & F.col("hip_y").isNotNull(), F.lit(False))
-    windowed = analysis_window(series, bounds).withColumn("valid", valid)
+    windowed = analysis_window(series, bounds).withColumn("valid", counts_in_window())
     # frames that don't count keep their rows, so that one aggregation gives bounds and metrics
     drooped = droop_series(hip_baseline(windowed, F.col("valid")))
     late = F.col("valid") & (F.col("rank") >= F.floor(F.col("n_valid") / 2))
     order = F.row_number().over(W.partitionBy("clip_id", "late").orderBy(F.desc("droop"), F.desc("frame")))
     n_late = F.col("n_valid") - F.floor(F.col("n_valid") / 2)
-    k = F.least(n_late, F.greatest(F.lit(1), F.rint(F.lit(0.05) * n_late)))
-    marked = drooped.withColumn("late", late).withColumn("worst", F.col("late") & (order <= k) & (F.col("n_valid") >= 3))
+    marked = drooped.withColumn("late", late).withColumn("worst", F.col("late") & (order <= worst_size(n_late)) & (F.col("n_valid") >= 3))
     out = marked.groupBy("clip_id").agg(
         F.avg(F.when(F.col("worst"), F.col("droop"))).alias("hip_droop_pct"),
         (F.avg(F.when(F.col("late"), F.col("droop"))) - F.avg(F.when(F.col("early"), F.col("droop")))).alias("hip_droop_trend_pct"),

@@ -98,6 +98,13 @@ def rising_edges(df: DataFrame, flag: str, keys: tuple[str, ...] = KEYS) -> Data
     return df.withColumn("step", F.coalesce(F.col(flag) & ~F.lag(flag).over(up), F.lit(False)))
 
 
+def within_fence(value: Column, low: Column, high: Column, n: Column, fence: float = 1.5, least: int = 5) -> Column:
+    """Whether a value lies within the Tukey fence of ``n`` values with these quartiles."""
+    spread = high - low
+    within = value.between(low - F.lit(fence) * spread, high + F.lit(fence) * spread)
+    return F.when((n < least) | (spread < 1e-6), value.isNotNull()).otherwise(F.coalesce(within, F.lit(False)))
+
+
 def iqr_outlier_flag(df: DataFrame, col: str, keys: list[str], fence: float = 1.5, least: int = 5) -> DataFrame:
     """Adds ``{col}_in``: within the Tukey fence of its group, bounds included.
 
@@ -106,6 +113,4 @@ def iqr_outlier_flag(df: DataFrame, col: str, keys: list[str], fence: float = 1.
     whole = W.partitionBy(*keys)
     q = F.percentile(col, [0.25, 0.75]).over(whole)
     df = df.withColumns({"_q": q, "_n": F.count(col).over(whole)})
-    spread = F.col("_q")[1] - F.col("_q")[0]
-    within = F.col(col).between(F.col("_q")[0] - F.lit(fence) * spread, F.col("_q")[1] + F.lit(fence) * spread)
-    return df.withColumn(f"{col}_in", F.when((F.col("_n") < least) | (spread < 1e-6), F.col(col).isNotNull()).otherwise(F.coalesce(within, F.lit(False)))).drop("_q", "_n")
+    return df.withColumn(f"{col}_in", within_fence(F.col(col), F.col("_q")[0], F.col("_q")[1], F.col("_n"), fence, least)).drop("_q", "_n")

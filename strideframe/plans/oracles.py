@@ -297,3 +297,4 @@ round(CASE WHEN count(*) FILTER (step) >= 2 THEN (max(t_s) FILTER (step) - min(t
 }
 # cutting clips into chunks changes nothing
 ORACLES["carry_forward_box_in_chunks"] = ORACLES["carry_forward_box"]
+ORACLES["hip_droop_in_chunks"] = ORACLES["hip_droop"]

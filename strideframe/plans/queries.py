@@ -367,12 +367,26 @@ def carry_forward_box_in_chunks(s: SparkSession, d: str) -> DataFrame:
     return _box(chunks.carry_forward_box(chunks.chunked(_found(s, d), 100)).drop("_chunk"))
 
 
+def hip_droop_in_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Droop with clips cut into chunks; what lies between is written into the shared folder."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{sources.shared_dir(s)}/frames-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return s.read.schema(df.schema).parquet(path)
+
+    series = derived(s, d, "hip_short")
+    frames, out = chunks.hip_droop(series, keep, _bounds(series), size=20)
+    listed = frames.where("worst").groupBy("clip_id").agg(F.array_join(F.sort_array(F.collect_list("frame")), ",").alias("worst_frames"))
+    return out.join(listed, "clip_id", "left").select("clip_id", *_r("hip_droop_pct", "hip_droop_trend_pct"), "n_valid", F.coalesce("worst_frames", F.lit("")).alias("worst_frames"), "start_idx", "end_idx")
+
+
 _ALL = [
     clip_catalog, normalize_clips, frame_sample_plan, sample_output_path, normalize_range, largest_person_box, detect_with_fallback, expand_roi, carry_forward_box, roi_to_frame, gate_visibility,
     norm_to_px, hip_series, foot_series, skeleton_qc, drawable_segments, leg_segments, visible_joints, interpolate_gaps, moving_average, velocity, contact_thresholds, contact_flag, drop_short_runs,
     rising_edges, contact_state, contact_summary, foot_trail, analysis_window, valid_pose_frames, iqr_outlier_flag, hip_baseline, droop_series, worst_frames, hip_droop, hip_trail, step_marks_reduce,
     range_marks_reduce, stride_metrics, step_highlight, phase_flags, mark_frames, approach_summary, project_tip, pole_bend,
     frame_aligned, boxes_of_mixed_sizes, ground_contacts, ground_contacts_summary, approach, any_foot_guard, display_to_original, output_names, write_by_clip,
-    carry_forward_box_in_chunks,
+    carry_forward_box_in_chunks, hip_droop_in_chunks,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

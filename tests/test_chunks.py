@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.operators import boxes, chunks, contacts, signals
+from strideframe.operators import boxes, chunks, contacts, hip, signals
 
 SCHEMA = "clip_id long, foot string, frame int, x double, y double, on boolean"
 
@@ -72,10 +72,16 @@ def test_percentiles_without_a_groups_values(frames, bins, rounds):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_contacts_of_long_clips(spark, frames, tmp_path):
+@pytest.fixture(scope="module")
+def keep(spark, tmp_path_factory):
+    """Stores what lies between steps; its plan ends there, as plans that read their input often would grow fast."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path))
-    got = chunks.find_contacts(frames.drop("on"), 30.0, lambda df: df.checkpoint(), min_len=1, size=9).cache()
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("kept")))
+    return lambda df: df.checkpoint()
+
+
+def test_contacts_of_long_clips(frames, keep):
+    got = chunks.find_contacts(frames.drop("on"), 30.0, keep, min_len=1, size=9).cache()
     want = contacts.find_contacts(frames.drop("on"), 30.0, min_len=1)
     same = ["clip_id", "foot", "frame", "x", "y", "v", "contact", "step", "t_s", "x_raw", "y_raw"]
     key = lambda r: (r["clip_id"], r["foot"], r["frame"])
@@ -94,3 +100,50 @@ def test_one_clip_becomes_many_tasks(spark):
         if "Window [" in line and "_chunk" not in line.split("windowspecdefinition(")[1]:
             raise AssertionError(line)
     assert out.count() == 4000
+
+
+@pytest.fixture(scope="module")
+def run_ups(spark):
+    """Clips with frames that have no pose, few valid ones, equal droops, outliers, and none at all."""
+    rnd = random.Random(8)
+    rows = []
+    for clip, n in ((1, 90), (2, 2), (3, 41), (4, 12), (5, 70), (6, 1)):
+        for f in range(n):
+            hip_y = None if rnd.random() < 0.2 or clip == 4 and f > 3 else (rnd.randrange(3) / 4 if clip == 5 else rnd.random() * (9 if rnd.random() < 0.05 else 1))
+            rows.append((clip, f, hip_y, rnd.choice([0.0, None]) if rnd.random() < 0.1 else (0.5 if clip == 5 else 0.4 + rnd.random() / 5)))
+    return spark.createDataFrame(rows, "clip_id long, frame int, hip_y double, body_h double").repartition(3).cache()
+
+
+@pytest.mark.parametrize("size,bounded", [(1, False), (7, True), (1000, True)])
+def test_droop_of_long_clips(spark, run_ups, keep, size, bounded):
+    bounds = spark.createDataFrame([(1, 4, 80), (3, None, 30), (5, 2, None), (9, 1, 2)], "clip_id long, first_step int, last_step int") if bounded else None
+    clips = spark.createDataFrame([(c,) for c in (1, 2, 3, 4, 5, 6, 7)], "clip_id long") if bounded else None
+    frames, out = chunks.hip_droop(run_ups, keep, bounds, clips, size)
+    frames = keep(frames)
+    want = {r["clip_id"]: r for r in hip.hip_droop(run_ups, bounds, clips).collect()}
+    worst = {}
+    for r in frames.where("worst").collect():
+        worst.setdefault(r["clip_id"], []).append(r["frame"])
+    got = {r["clip_id"]: r for r in out.collect()}
+    assert got.keys() == want.keys() and frames.count() == run_ups.count()
+    for clip, r in want.items():
+        assert sorted(worst.get(clip, [])) == r["worst_frames"]
+        for c in ("n_valid", "start_idx", "end_idx"):
+            assert got[clip][c] == r[c]
+        for c in ("hip_droop_pct", "hip_droop_trend_pct"):
+            assert got[clip][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-9))
+    assert any(r["hip_droop_pct"] is None for r in want.values()) and len(worst[5]) >= 1
+
+
+def test_droop_of_no_frames(run_ups, keep):
+    frames, out = chunks.hip_droop(run_ups.limit(0), keep, size=5)
+    assert frames.count() == 0 and out.count() == 0
+
+
+@pytest.mark.parametrize("bins,rounds", [(2, 1), (2048, 2)])
+def test_values_of_a_rank(frames, bins, rounds):
+    got = {tuple(r)[:2]: r["v"] for r in chunks.ranked_value(chunks.chunked(frames, 5), "v", F.col("y"), F.col("_n") - 2, bins=bins, rounds=rounds).collect()}
+    values = {}
+    for r in frames.where("y IS NOT NULL").collect():
+        values.setdefault((r["clip_id"], r["foot"]), []).append(r["y"])
+    assert got == {k: sorted(v)[-2] for k, v in values.items() if len(v) > 1}
