@@ -8,15 +8,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, looked_up, ship
 from .ragged import U, chunks, mix
 
 #: Documents of a language that are learnt from, about; their n-grams bound the model's size.
 SAMPLE = 2000
-#: Languages that are learnt, those of most documents first: a bound against a dirty column.
+#: Languages whose models are held at once, about; where there are more, documents meet them in rounds.
 LANGUAGES = 500
 #: Share of these documents that calibrate rejection and aren't trained on.
 CALIBRATE = 0.2
@@ -26,6 +27,8 @@ EVIDENCE = 30
 ACCEPT = 0.999
 UNKNOWN = "und"
 SPACE = 32
+#: Of a trigram its last symbol, and its last two.
+LOW, MID = (1 << 21) - 1, (1 << 42) - 1
 
 
 @lru_cache(maxsize=1)
@@ -69,7 +72,7 @@ def trigrams(seq: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Table:
-    """Values of keys for every language, found by binary search on sorted hashes."""
+    """Logarithms of one language's n-grams, found by binary search on sorted hashes."""
 
     hash: np.ndarray
     value: np.ndarray
@@ -78,17 +81,12 @@ class Table:
     def of(cls, key: np.ndarray, value: np.ndarray) -> Table:
         h = mix(key)
         at = np.argsort(h)
-        return cls(h[at], value[at].astype(np.float32))
+        return cls(h[at], np.log(value[at]).astype(np.float32))
 
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(key)
+    def find(self, h: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+        """Values of hashes, or those of ``other`` where there are none."""
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return at, self.hash[at] == h
-
-
-def _sums(keys: np.ndarray, of: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of values of each of ``keys`` (sorted), given each value's key in ``of``."""
-    return np.bincount(np.searchsorted(keys, of), values, len(keys))
+        return np.where(self.hash[at] == h, self.value[at], other)
 
 
 def _discount(n: np.ndarray) -> float:
@@ -96,81 +94,67 @@ def _discount(n: np.ndarray) -> float:
     return float(one / (one + 2 * two)) if one and two else 0.5
 
 
-def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], other)
+class Language:
+    """Interpolated Kneser-Ney over three characters: log probabilities of what one language has.
+
+    What it lacks is computed from the shorter n-gram and the context's back-off weight, so
+    tables hold its own n-grams alone. ``symbols`` is how many symbols all languages have.
+    """
 
+    def __init__(self, k3: np.ndarray, n3: np.ndarray, symbols: int) -> None:
+        at = np.argsort(k3)
+        k3, n3 = k3[at], n3[at].astype(float)
+        k2, left = np.unique(k3 & U(MID), return_counts=True)  # contexts to the left of each pair
+        k1, before = np.unique(k2 & U(LOW), return_counts=True)
+        d3, d2, d1 = _discount(n3), _discount(left), _discount(before)
+        size = before.sum()
+        p_new = d1 * len(k1) / size / (symbols + 1)
+        q1 = (before - d1) / size + p_new
+        c2, of2 = np.unique(k2 >> U(21), return_inverse=True)
+        total2 = np.bincount(of2, left)
+        w2 = d2 * np.bincount(of2) / total2
+        q2 = (left - d2) / total2[of2] + w2[of2] * q1[np.searchsorted(k1, k2 & U(LOW))]
+        c3, of3 = np.unique(k3 >> U(21), return_inverse=True)
+        total3 = np.bincount(of3, n3)
+        w3 = d3 * np.bincount(of3) / total3
+        q3 = (n3 - d3) / total3[of3] + w3[of3] * q2[np.searchsorted(k2, k3 & U(MID))]
+        self.p3, self.p2, self.p1, self.b3, self.b2 = (Table.of(k, q) for k, q in ((k3, q3), (k2, q2), (k1, q1), (c3, w3), (c2, w2)))
+        self.unseen = float(np.log(p_new))
+
+    def logs(self, hashes: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Log probabilities of trigrams, given the hashes of ``parts``."""
+        three, two, one, context3, context2 = hashes
+        shorter = self.b2.find(context2, 0.0) + self.p1.find(one, self.unseen)
+        return self.p3.find(three, self.b3.find(context3, 0.0) + self.p2.find(two, shorter))
+
+
+def parts(key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of trigrams, of their last two symbols and last one, and of both contexts."""
+    return tuple(mix(x) for x in (key, key & U(MID), key & U(LOW), key >> U(21), (key & U(MID)) >> U(21)))
 
-class Model:
-    """Interpolated Kneser-Ney over three characters, for all languages at once.
 
-    For every n-gram that any language has, a table holds its log probability in each; what
-    none has is computed from the shorter one and the context's back-off weight.
-    """
+class Model:
+    """Several languages, with the limits of their calibration documents."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int) -> None:
         self.langs = sorted(counts)
+        self.own = [Language(*counts[x], symbols) for x in self.langs]
         self.limits: dict[str, float] = {}
-        low, mid = U((1 << 21) - 1), U((1 << 42) - 1)
-        all3 = np.unique(np.concatenate([k for k, _ in counts.values()]))
-        all2, ctx3 = np.unique(all3 & mid), np.unique(all3 >> U(21))
-        all1, ctx2 = np.unique(all3 & low), np.unique((all3 & mid) >> U(21))
-        p3, p2, p1, b3, b2 = ([] for _ in range(5))
-        self.unseen = []
-        for lang in self.langs:
-            k3, n3 = counts[lang]
-            at = np.argsort(k3)
-            k3, n3 = k3[at], n3[at].astype(float)
-            k2, left = np.unique(k3 & mid, return_counts=True)  # contexts to the left of each pair
-            k1, before = np.unique(k2 & low, return_counts=True)
-            d3, d2, d1 = _discount(n3), _discount(left), _discount(before)
-            size = before.sum()
-            p_new = d1 * len(k1) / size / (len(all1) + 1)
-            q1 = np.maximum(_at(k1, before.astype(float), all1, 0.0) - d1, 0) / size + p_new
-            c2 = np.unique(k2 >> U(21))
-            total2, kinds2 = _sums(c2, k2 >> U(21), left), _sums(c2, k2 >> U(21), np.ones(len(k2)))
-            w2 = _at(c2, d2 * kinds2 / total2, ctx2, 1.0)
-            of2 = np.searchsorted(ctx2, all2 >> U(21))
-            q2 = np.maximum(_at(k2, left.astype(float), all2, 0.0) - d2, 0) / _at(c2, total2, all2 >> U(21), 1.0) + w2[of2] * q1[np.searchsorted(all1, all2 & low)]
-            c3 = np.unique(k3 >> U(21))
-            total3, kinds3 = _sums(c3, k3 >> U(21), n3), _sums(c3, k3 >> U(21), np.ones(len(k3)))
-            w3 = _at(c3, d3 * kinds3 / total3, ctx3, 1.0)
-            of3 = np.searchsorted(ctx3, all3 >> U(21))
-            q3 = np.maximum(_at(k3, n3, all3, 0.0) - d3, 0) / _at(c3, total3, all3 >> U(21), 1.0) + w3[of3] * q2[np.searchsorted(all2, all3 & mid)]
-            for to, q in ((p3, q3), (p2, q2), (p1, q1), (b3, w3), (b2, w2)):
-                to.append(np.log(q))
-            self.unseen.append(np.log(p_new))
-        stack = lambda key, x: Table.of(key, np.stack(x, axis=1))
-        self.p3, self.p2, self.p1, self.b3, self.b2 = stack(all3, p3), stack(all2, p2), stack(all1, p1), stack(ctx3, b3), stack(ctx2, b2)
-        self.unseen = np.array(self.unseen, np.float32)
-
-    def _backed(self, key: np.ndarray) -> np.ndarray:
-        """Log probabilities of trigrams that no language has."""
-        low, mid = U((1 << 21) - 1), U((1 << 42) - 1)
-
-        def found(table: Table, k: np.ndarray, other: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
-            at, hit = table.find(k)
-            return np.where(hit[:, None], table.value[at], other), hit
-
-        one, _ = found(self.p1, key & low, self.unseen)
-        w2, _ = found(self.b2, (key & mid) >> U(21), 0.0)
-        w3, _ = found(self.b3, key >> U(21), 0.0)
-        two, hit = found(self.p2, key & mid, 0.0)
-        return w3 + np.where(hit[:, None], two, w2 + one)
 
     def entropy(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nats a symbol of each text in each language, and the text's letters and spaces."""
-        seq, row = symbols(raw, off)
-        key, row = trigrams(seq, row)
-        at, hit = self.p3.find(key)
-        log = self.p3.value[at]
-        if not hit.all():
-            log[~hit] = self._backed(key[~hit])
+        """Nats a symbol of each text in each language, and the text's letters and spaces.
+
+        Each distinct trigram of the texts is looked up once in each language.
+        """
+        key, row = trigrams(*symbols(raw, off))
         n = np.diff(row)
         out = np.zeros((len(n), len(self.langs)))
         some = n > 0
         if some.any():
-            out[some] = -np.add.reduceat(log, row[:-1][some], axis=0, dtype=np.float64) / n[some, None]
+            distinct, at = np.unique(key, return_inverse=True)
+            hashes, starts = parts(distinct), row[:-1][some]
+            for i, language in enumerate(self.own):
+                out[some, i] = -np.add.reduceat(language.logs(hashes)[at], starts, dtype=np.float64) / n[some]
         return out, n
 
 
@@ -182,7 +166,7 @@ def held_out(doc_id: Column) -> Column:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang in batch.column("lang").unique().to_pylist():
-            own = batch.column("text").filter(pa.array([x == lang for x in batch.column("lang").to_pylist()]))
+            own = batch.column("text").filter(pc.equal(batch.column("lang"), lang))
             for _, _, raw, off in chunks(own):
                 key, n = np.unique(trigrams(*symbols(raw, off))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
@@ -198,27 +182,40 @@ def learnt_from(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     draw = lambda salt: F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
     labelled = labelled.select("doc_id", "text", "lang", draw("sample").alias("draw"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    shares = sizes.select("lang", "least", F.greatest(F.col("least"), F.lit(float(sample)) / F.col("n")).alias("share"))
-    chosen = labelled.join(F.broadcast(shares), "lang").where("draw <= share").dropDuplicates(["doc_id", "text", "lang"])
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least"))
+    shares = sizes.select("lang", "n", "least", F.greatest(F.col("least"), F.lit(float(sample)) / F.col("n")).alias("share"))
+    chosen = looked_up(labelled, shares, "lang", "n").where("draw <= share").dropDuplicates(["doc_id", "text", "lang"])
     return cut(chosen.select("text", "lang", ((F.col("draw") > F.col("least")) & (draw("calibrate") < CALIBRATE)).alias("calibrates")))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of every language among the labelled documents that aren't held out.
+def train(docs: DataFrame, sample: int = SAMPLE) -> Iterator[Model]:
+    """Models of every language among the labelled documents that aren't held out, about LANGUAGES in each.
 
     N-grams of the documents drawn by ``learnt_from`` are counted on the executors; rejection
     thresholds come from those of them that aren't trained on. None if there is no labelled text.
     """
     chosen = learnt_from(docs, sample)
-    grams = chosen.where("NOT calibrates").mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    if not len(grams):
-        return None
-    name = grams.column("lang").combine_chunks().dictionary_encode()
-    of, langs = name.indices.to_numpy(), name.dictionary.to_pylist()
-    key, n = (grams.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
-    model = Model({lang: (key[of == k].view(np.uint64), n[of == k]) for k, lang in enumerate(langs)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    grams = cut(chosen.where("NOT calibrates").mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    n_langs, symbols = grams.agg(F.count_distinct("lang"), F.count_distinct(F.col("key").bitwiseAND(F.lit(LOW)))).first()
+    rounds = -(-n_langs // LANGUAGES)
+    for k in range(rounds):
+        here = F.pmod(F.xxhash64("lang"), F.lit(rounds)) == k
+        table = grams.where(here).toArrow()
+        if not len(table):
+            continue
+        name = table.column("lang").combine_chunks().dictionary_encode()
+        of, langs = name.indices.to_numpy(), name.dictionary.to_pylist()
+        order = np.argsort(of, kind="stable")
+        ends = np.cumsum(np.bincount(of))[:-1]
+        key, n = (np.split(table.column(c).combine_chunks().to_numpy()[order], ends) for c in ("key", "n"))
+        model = Model({lang: (key[i].view(np.uint64), n[i]) for i, lang in enumerate(langs)}, symbols)
+        model.limits = _limits(chosen.where(F.col("calibrates") & here), model)
+        yield model
+
+
+def _limits(documents: DataFrame, model: Model) -> dict[str, float]:
+    """Of each language the cross-entropy that ACCEPT of its calibration documents stay below."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {lang: k for k, lang in enumerate(shared.value.langs)}
@@ -228,9 +225,40 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 names = batch.column("lang")[i:j].to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(h[np.arange(j - i), [at[x] for x in names]])], names=["lang", "h"])
 
-    limits = chosen.where("calibrates").mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", ACCEPT, 10_000).alias("h")).collect()
-    model.limits = {r["lang"]: r["h"] for r in limits}
-    return model
+    found = documents.mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", ACCEPT, 10_000).alias("h")).collect()
+    return {r["lang"]: r["h"] for r in found}
+
+
+#: What a document knows after some languages: the best so far, its cross-entropy and limit, and
+#: the sum of all likelihoods, the best one's being 1.
+_STATE = "lang string, least double, limit double, total double"
+
+
+def _compared(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (doc_id, text, held_out and state) after the languages of ``model``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        names, limits = np.array(m.langs, object), np.array([m.limits.get(x, np.inf) for x in m.langs])
+        for batch in batches:
+            for i, j, raw, off in chunks(batch.column("text")):
+                h, n = m.entropy(raw, off)
+                best, letters = h.argmin(axis=1), np.minimum(n, EVIDENCE)
+                here = h[np.arange(j - i), best]
+                had = batch.slice(i, j - i)
+                before = had.column("least").fill_null(np.inf).to_numpy(zero_copy_only=False)
+                name = np.array(had.column("lang").to_pylist(), object)
+                new = (here < before) | (here == before) & np.array([a is None or b < a for a, b in zip(name, names[best], strict=True)], bool)
+                least = np.minimum(here, before)
+                old = np.where(np.isinf(before), 0.0, had.column("total").to_numpy(zero_copy_only=False) * np.exp((least - np.where(np.isinf(before), least, before)) * letters))
+                total = old + np.exp((least[:, None] - h) * letters[:, None]).sum(axis=1)
+                limit = np.where(new, limits[best], had.column("limit").fill_null(np.inf).to_numpy(zero_copy_only=False))
+                none = n == 0
+                state = [pa.array(np.where(new, names[best], name), pa.string(), mask=none), pa.array(least, mask=none), pa.array(limit, mask=none), pa.array(total)]
+                yield pa.RecordBatch.from_arrays([had.column(c) for c in ("doc_id", "text", "held_out")] + state, names=["doc_id", "text", "held_out", "lang", "least", "limit", "total"])
+
+    return rows.mapInArrow(run, f"doc_id long, text string, held_out boolean, {_STATE}")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -241,30 +269,18 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     likelihoods of at most EVIDENCE symbols. ``rejected``: the cross-entropy is above what
     ACCEPT of the language's calibration documents have, so that the text is likely none of
     them; a language without any rejects none. Without labelled text all are ``und``. A null
-    lang isn't learnt from, nor are languages beyond the LANGUAGES commonest. Repeated rows
-    get equal results, one each, and are learnt from once. Very long texts are read whole.
-    Columns other than doc_id, text and lang are not looked at. An empty table gives none.
+    lang isn't learnt from. Every language is: with more than LANGUAGES of them, documents go
+    through one round for as many, and are stored in between with the best so far. Repeated
+    rows get equal results, one each, and are learnt from once. Very long texts are read
+    whole. doc_id is a long. Columns other than doc_id, text and lang are not looked at. An
+    empty table gives none.
     """
     ship(docs)
-    model = train(docs, sample)
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    if model is None:
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names, limit = np.array(m.langs, object), np.array([m.limits.get(x, np.inf) for x in m.langs])
-        for batch in batches:
-            for i, j, raw, off in chunks(batch.column("text")):
-                h, n = m.entropy(raw, off)
-                best = h.argmin(axis=1)
-                least = h[np.arange(j - i), best]
-                score = 1 / np.exp((least[:, None] - h) * np.minimum(n, EVIDENCE)[:, None]).sum(axis=1)
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j], batch.column("held_out")[i:j], pa.array(np.where(none, UNKNOWN, names[best]), pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(least, mask=none), pa.array(none | (least > limit[best]))],
-                    names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"],
-                )
-
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    state = [F.lit(None).cast(t).alias(c) for c, t in (part.split() for part in _STATE.split(", "))]
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), *state)
+    for k, model in enumerate(train(docs, sample)):
+        rows = _compared(cut(rows) if k else rows, model)
+    known = F.col("least").isNotNull()
+    return rows.select(
+        "doc_id", "held_out", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, 1 / F.col("total")).otherwise(F.lit(0.0)).alias("score"), F.col("least").alias("cross_entropy"), (~known | (F.col("least") > F.col("limit"))).alias("rejected")
+    )
