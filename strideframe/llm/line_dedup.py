@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, cut, looked_up, same, small, text_key
+from .common import DOCUMENT_COLUMNS, cut, looked_up, same, text_key
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A run of lines with so many words is found wherever it repeats (the guarantee) ...
@@ -83,8 +83,8 @@ def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int
     """
     lines = cut(lines_of(docs))
     prints = cut(fingerprints(lines, run_words, gram_words))
-    again = small(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
-    spots = prints.join(again, "fp", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("k").alias("spots"))
+    again = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    spots = looked_up(prints, again, "fp", "n").groupBy("doc_id", "text_key").agg(F.collect_set("k").alias("spots"))
     spots = cut(spots.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "spots"))
     is_doc = same(F.col("doc_id"), F.col("m_id")) & (F.col("text_key") == F.col("m_key"))
     near = lines.join(spots.select("m_id", "m_key"), is_doc, "left_semi")
