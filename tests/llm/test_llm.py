@@ -511,3 +511,15 @@ def test_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert os.path.exists(BYTES)
+
+
+def test_common_lines_are_looked_up_apart(spark, monkeypatch):
+    """With more repeated fingerprints than are broadcast, places of common ones are found all the same."""
+    passage = lambda k: "\n".join(" ".join(f"p{k}w{i}x{j}" for j in range(10)) for i in range(8))
+    rows = [(i, f"own {i}\n{passage(0)}\n{passage(1 + i % 6)}\nend {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "0L AS n_chars")
+    want = by_id(line_dedup.dedup_lines(df))
+    assert want[0]["n_deleted"] == 0 and all(want[i]["n_deleted"] == (8 if i < 6 else 16) for i in range(1, 40))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert by_id(line_dedup.dedup_lines(df)) == want
