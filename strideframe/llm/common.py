@@ -17,6 +17,8 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_ROWS = 200_000
 #: Rows of one key from which it is looked up apart from the others.
 HOT_ROWS = 10_000
+#: Partitions of one shuffle at most: beyond so many groups or ranges, a task has several, one after another.
+PARTITIONS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +69,27 @@ def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
     return F.broadcast(kept) if size <= BROADCAST_ROWS else kept
 
 
-def looked_up(rows: DataFrame, values: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+def in_shares(rows: DataFrame, values: DataFrame, key: list[str], n: str, salt: list[str]) -> DataFrame:
+    """``rows`` joined with ``values`` by shuffling both, the rows of a frequent ``key`` in many tasks.
+
+    Both sides hold in ``n`` how many rows have the key (or 1, where that is few). A key of
+    more than HOT_ROWS rows is dealt into shares of about so many by a hash of ``salt``, which
+    should tell rows apart; its values are repeated for each share. ``n`` is dropped. Null keys
+    meet nothing, and an empty side gives none.
+    """
+    shares = F.ceil(F.col(n) / HOT_ROWS).cast("int")
+    left = rows.withColumn("_share", F.pmod(F.xxhash64(*salt), shares).cast("int")).drop(n)
+    right = values.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop(n)
+    return left.join(right, [*key, "_share"]).drop("_share")
+
+
+def frequent(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, n) of the most frequent keys of ``counts``, which has a row for each: at most BROADCAST_ROWS, each of more than HOT_ROWS rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > max(HOT_ROWS, total // max(1, BROADCAST_ROWS))).select(key, n)
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str | list[str], n: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``values``, which has a row for each ``key`` and in ``n`` how many rows have it.
 
     Beyond BROADCAST_ROWS values the join shuffles, but not for keys of very many rows: these

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, DOCUMENT_COLUMNS, cut, same, small, stored, text_key
+from .common import BROADCAST_ROWS, DOCUMENT_COLUMNS, cut, frequent, in_shares, same, small, stored, text_key
 
 #: Characters that part words: ASCII other than digits and lower-case letters.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,7 +44,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     window's place; windows that don't fit between the text's ends go (positional and length
     bounds), and the rest are compared word by word. Texts are split into words once; these
     are stored. The benchmark is broadcast only if its windows, and the items that hold them,
-    are few enough; else words, each with those around it, are shuffled to the windows.
+    are few enough; else words, each with those around it, are shuffled to the windows, those
+    of a frequent word in shares.
 
     Null or wordless texts have n_words 0. Repeated rows get equal results, and windows that
     overlap or repeat (ties) count each word once. Very long texts are compared whole. Null
@@ -53,12 +54,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     """
     base = stored(docs.select("doc_id", text_key().alias("text_key"), words_of(F.col("text")).alias("words")))
     windows = cut(item_windows(benchmark, width))
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    used = base.select(F.explode("words").alias("word")).join(small(vocabulary), "word", "left_semi").groupBy("word").count()
+    vocabulary = cut(windows.select(F.explode("window").alias("word")).distinct())
+    said = base.select(F.explode("words").alias("word"))
+    if vocabulary.count() <= BROADCAST_ROWS:
+        used = said.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count()
+    else:
+        # counted before they are joined, so that a common word is one row of each task
+        used = said.groupBy("word").count().join(vocabulary, "word", "left_semi")
     places = windows.select("window", "items", F.posexplode("window").alias("at", "word"))
     ranked = places.join(used, "word").groupBy("window", "items").agg(F.count("*").alias("known"), F.min(F.struct("count", "at", "word")).alias("rare"))
     # a window with a word that no document has can't occur
-    prefixes = cut(ranked.where(F.col("known") == F.size("window")).select("window", "items", "rare.at", F.col("rare.word").alias("rare")))
+    prefixes = cut(ranked.where(F.col("known") == F.size("window")).select("window", "items", "rare.at", F.col("rare.word").alias("rare"), "rare.count"))
     few = (prefixes.agg(F.sum(1 + F.size("items"))).first()[0] or 0) <= BROADCAST_ROWS
     begin = F.col("pos") - F.col("at")
     probe = base.select("doc_id", "text_key", F.size("words").alias("n"), "words", F.lit(0).alias("from"), F.posexplode("words").alias("pos", "word"))
@@ -66,7 +72,14 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
         # of a long text, a row takes only the words that a window about this one can have
         first = F.greatest(F.lit(0), F.col("pos") - width + 1)
         probe = probe.select("doc_id", "text_key", "n", F.slice("words", first + 1, F.lit(2 * width - 1)).alias("words"), first.alias("from"), "pos", "word")
-    met = probe.join(F.broadcast(prefixes) if few else prefixes, probe["word"] == prefixes["rare"])
+        # windows of common words alone: the words go in shares, to as many copies of the windows
+        counts = prefixes.select(F.col("rare").alias("word"), "count").distinct()
+        hot = F.broadcast(cut(frequent(counts, "word", "count")).withColumnRenamed("count", "of_word"))
+        one = F.coalesce("of_word", F.lit(1))
+        places = prefixes.withColumnRenamed("rare", "word").drop("count").join(hot, "word", "left").withColumn("of_word", one)
+        met = in_shares(probe.join(hot, "word", "left").withColumn("of_word", one), places, ["word"], "of_word", ["doc_id", "text_key", "pos"])
+    else:
+        met = probe.join(F.broadcast(prefixes), probe["word"] == prefixes["rare"])
     met = met.where((begin >= 0) & (begin + F.size("window") <= F.col("n"))).where(F.slice("words", begin - F.col("from") + 1, F.size("window")) == F.col("window"))
     found = met.select("doc_id", "text_key", begin.alias("begin"), (begin + F.size("window")).alias("end"), "items")
     # copies of a row find the same places twice: once is enough
