@@ -111,15 +111,17 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     company = cut(own.select("text_key", F.lower("h.entity").alias("entity"), "h.near"))
     with_entity = company.groupBy("entity").agg(F.count_distinct("text_key").alias("n_c"), F.count("*").alias("rows")).where(F.col("n_c") >= support)
     close = looked_up(company, with_entity, "entity", "rows").select("text_key", "entity", "n_c", F.explode("near").alias("term")).distinct()
-    pairs = close.groupBy("entity", "term", "n_c").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support)
+    pairs = cut(close.groupBy("entity", "term", "n_c").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support))
+    asked = pairs.groupBy("term").agg(F.count("*").alias("rows"))
     # every copy of a text counts its share, so that the text counts once; words are summed where they are read
     copied = counts.where("copies > 1").select("text_key", (1 / F.col("copies")).alias("share"), "copies")
     texts = docs.select("text", text_key().alias("text_key"))
     shared = looked_up(texts, copied, "text_key", "copies", "left").select(F.coalesce("share", F.lit(1.0)).alias("share"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    with_term = shared.groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
+    # a row a term on both sides; a term near very many entities then goes to its pairs apart
+    with_term = shared.groupBy("term").agg(F.round(F.sum("share")).alias("n_t")).join(asked, "term")
     log = lambda c: F.log(c.cast("double"))
     given = log(F.col("n_tc")) + log(F.lit(total)) - log(F.greatest("n_t", "n_tc")) - log(F.col("n_c"))
-    return pairs.join(with_term, "term").where((F.col("n_c") < total) & (given >= disclosure * (log(F.lit(total)) - log(F.col("n_c"))))).select("term", "entity")
+    return looked_up(pairs, with_term, "term", "rows").where((F.col("n_c") < total) & (given >= disclosure * (log(F.lit(total)) - log(F.col("n_c"))))).select("term", "entity")
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
