@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, cut, looked_up, same, ship, small, text_key
+from .common import DOCUMENT_COLUMNS, cut, in_shares, looked_up, same, ship, small, text_key
 from .ragged import CHUNK_BYTES, U, buffers, chunks, mix, shingles, words
 
 BINS, BANDS = 128, 32
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star edges: in each bucket the members meet two centres, those that share most buckets
     with others; small buckets meet in full. Then each larger bucket that still holds several
     components is dealt into blocks, and all its pairs of different components meet, block
-    by block, on full sets. So every pair that shares a bucket is tested or joined already.
+    by block, on full sets; buckets of several bands with the same members do so once. So every pair that shares a bucket is tested or joined already.
 
     Null and wordless texts have n_shingles 0 and are their own component. Very long texts are
     compared whole, on all their shingles. Repeated rows get equal results (ties). component_id is the smallest doc_id of the component (null ids come last).
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = cut(base.join(first, (F.col("class_id") == F.col("c_class")) & same(F.col("doc_id"), F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).groupBy("class_id").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     rows = nodes.select("class_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = cut(rows.join(crowded, ["band", "key"]))
+    buckets = cut(looked_up(rows, crowded.withColumn("rows", F.col("m")), ["band", "key"], "rows"))
     popular = buckets.groupBy("class_id").agg(F.sum("m").alias("popular"))
     sketches = nodes.select("class_id", "sketch")
     hot = buckets.select("class_id").distinct()
@@ -244,21 +244,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = buckets.join(popular, "class_id").select("band", "key", "m", "class_id", "popular")
     member = lambda o: F.min(F.struct(o.alias("o"), F.col("class_id")))["class_id"]
     few = F.col("m") <= PAIRS_UP_TO
-    centres = own.groupBy("band", "key").agg(F.array(*map(member, orders)).alias("centres"), F.when(F.max("m") <= PAIRS_UP_TO, F.collect_set(F.when(few, F.col("class_id")))).alias("all"))
-    met = own.select("band", "key", "class_id").join(centres, ["band", "key"]).select("class_id", F.explode(F.coalesce("all", "centres")).alias("c"))
+    centres = own.groupBy("band", "key", "m").agg(F.array(*map(member, orders)).alias("centres"), F.collect_set(F.when(few, F.col("class_id"))).alias("all"))
+    # a large bucket's set is empty
+    centres = centres.withColumn("all", F.when(few, F.col("all")))
+    met = in_shares(own.select("band", "key", "m", "class_id"), centres, ["band", "key"], "m", ["class_id"]).select("class_id", F.explode(F.coalesce("all", "centres")).alias("c"))
     pairs = cut(met.where("c <> class_id").select(F.greatest("class_id", "c").alias("a"), F.least("class_id", "c").alias("b")).distinct())
     labels = cut(_components(confirmed(pairs)))
 
     # then every pair of different labels in a larger bucket, on full sets, block by block
-    large = buckets.where(F.col("m") > PAIRS_UP_TO).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("band", "key", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label"))
+    large = buckets.where(F.col("m") > PAIRS_UP_TO).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("band", "key", "m", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label"))
     large = cut(large)
-    each = large.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    # two sums of hashes tell whether buckets of several bands have the same members: one of them is enough
+    prints = [F.sum(F.xxhash64("class_id", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in range(2)]
+    each = large.groupBy("band", "key", "m", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), *prints)
     main = F.max(F.struct("n", "s", "label"))
-    sizes = each.groupBy("band", "key").agg(F.count("*").alias("labels"), main.alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("labels > 1")
+    sizes = each.groupBy("band", "key", "m").agg(F.count("*").alias("labels"), main.alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).where("labels > 1")
+    sizes = sizes.groupBy("m", "h0", "h1").agg(F.min(F.struct("band", "key", "main", "n", "s")).alias("one")).select("m", "one.*")
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
     # members of the commonest label needn't meet each other
-    sizes = sizes.select("band", "key", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("of_main"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("of_rest"))
-    dealt = large.join(sizes, ["band", "key"])
+    sizes = sizes.select("band", "key", "m", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("of_main"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("of_rest"))
+    dealt = in_shares(large, cut(sizes), ["band", "key"], "m", ["class_id"])
     is_main, salt = F.col("label") == F.col("main"), F.xxhash64("class_id")
     dealt = dealt.withColumn("block", F.when(is_main, F.pmod(salt, F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(salt, F.col("of_rest"))).cast("int"))
     partners = F.sequence(F.when(is_main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)
