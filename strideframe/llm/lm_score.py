@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import cut, ship, stored
 from .ragged import CHUNK_BYTES, LOWER, U, buffers, words
 
@@ -279,15 +280,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, share: float = 0.0) ->
     size, trained = rows.agg(F.sum(F.octet_length("text")), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     groups = max(1, -(-(size or 0) // GROUP_BYTES))
     buckets = _prime(groups)
+    dealt = lambda df, of, n: df.repartitionById(min(n, common.PARTITIONS), of)
     blocks = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).mapInArrow(_blocks, _BLOCK)
-    counted = stored(blocks.repartitionById(groups, "grp").groupBy("grp").applyInArrow(_count(order, buckets), _COUNTED))
-    sums = stored(counted.drop("grp").repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_summed, "key long, n long"))
+    counted = stored(dealt(blocks, "grp", groups).groupBy("grp").applyInArrow(_count(order, buckets), _COUNTED))
+    sums = stored(dealt(counted.drop("grp"), "bucket", buckets).groupBy("bucket").applyInArrow(_summed, "key long, n long"))
     bits_of = gram_bits(sums.where("key >= 0"), order, share)
     vocabulary = sums.where("key < 0 AND n > 0")
     kinds, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     V, N = kinds + (trained > 0), tokens + trained
     values = vocabulary.select("key", F.col("n").cast("double").alias("v")).union(bits_of.select("key", "bits")).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    of_bucket = lambda df: df.repartitionById(buckets, "bucket").groupBy("bucket")
+    of_bucket = lambda df: dealt(df, "bucket", buckets).groupBy("bucket")
     found = of_bucket(counted.drop("n")).cogroup(of_bucket(values)).applyInArrow(_find, _FOUND)
 
     def score(texts: pa.Table, looked: pa.Table) -> pa.Table:
@@ -326,5 +328,5 @@ def score_documents(docs: DataFrame, order: int = ORDER, share: float = 0.0) ->
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    own = lambda df: df.repartitionById(groups, "grp").groupBy("grp")
+    own = lambda df: dealt(df, "grp", groups).groupBy("grp")
     return own(blocks).cogroup(own(found)).applyInArrow(score, schema)

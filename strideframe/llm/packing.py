@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import ship, text_key
 from .ragged import U, byte_letters, chunks, mix, words
 
@@ -197,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
             yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
 
     made = rows.mapInArrow(encoded, "doc_id long, range int, key long, ids binary")
-    placed = made.repartitionById(ranges, "range").sortWithinPartitions("range", "key", "doc_id")
+    placed = made.repartitionById(min(ranges, common.PARTITIONS), "range").sortWithinPartitions("range", "key", "doc_id")
     return placed.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
