@@ -35,6 +35,20 @@ def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
+def quartile(low: Column, high: Column, share: Column) -> Column:
+    """What lies ``share`` (a multiple of a quarter) of the way between two neighbouring values, as SQL's quantile_cont has it.
+
+    That is low * (1 - share) + high * share with the first product unrounded, as a fused
+    multiply-add gives it; values that lie on a fence need its last bit. Only three quarters of
+    ``low`` can be inexact: halves and quarters are exact, and what their sum loses is added back.
+    """
+    part, rest = low * (1 - share), high * share
+    lost = F.when(share == 0.25, low * 0.25 - (part - low * 0.5)).otherwise(F.lit(0.0))
+    total = part + rest
+    back = total - part
+    return F.when(share == 0, low).otherwise(total + ((part - (total - back)) + (rest - back) + lost))
+
+
 def nan_to_null(x: Column) -> Column:
     """Missing values are null everywhere; NaN would compare as the greatest number."""
     return F.when(F.isnan(x), None).otherwise(x)

@@ -81,8 +81,8 @@ def hip_baseline(frames: DataFrame, valid: Column | None = None) -> DataFrame:
     """
     some = F.lit(True) if valid is None else valid
     rows = ranked(frames, valid).withColumn("early", some & (F.col("rank") < F.col("k")))
-    for c in ("hip_y", "body_h"):
-        rows = iqr_outlier_flag(rows.withColumn("_c", F.when(F.col("early"), F.col(c))), "_c", ["clip_id"]).withColumnRenamed("_c_in", f"_{c}_in").drop("_c")
+    rows = rows.withColumns({f"_{c}": F.when(F.col("early"), F.col(c)) for c in ("hip_y", "body_h")})
+    rows = iqr_outlier_flag(rows, ["_hip_y", "_body_h"], ["clip_id"]).drop("_hip_y", "_body_h")
     good = F.col("early") & F.col("_hip_y_in") & F.col("_body_h_in")
     mean = lambda c: F.coalesce(F.avg(F.when(good, F.col(c))).over(_clip()), F.avg(F.when(F.col("early"), F.col(c))).over(_clip()))
     return rows.withColumns({"base_hip": mean("hip_y"), "base_height": mean("body_h")}).drop("_hip_y_in", "_body_h_in")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import given
+from ..functions import given, quartile
 
 KEYS = ("clip_id", "foot")
 
@@ -98,6 +98,28 @@ def rising_edges(df: DataFrame, flag: str, keys: tuple[str, ...] = KEYS) -> Data
     return df.withColumn("step", F.coalesce(F.col(flag) & ~F.lag(flag).over(up), F.lit(False)))
 
 
+def quartiles(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """Adds of each column its count and quartiles in the group, ``{col}_n``, ``{col}_low`` and ``{col}_high``, as ``functions.quartile`` has them.
+
+    ``F.percentile`` lies between the same two neighbours, so counts of the values below and up
+    to it, and those next to it, give the neighbours exactly. No group is sorted.
+    """
+    whole = W.partitionBy(*keys)
+    shares = {"low": 0.25, "high": 0.75}
+    df = df.withColumns({k: v for c in cols for k, v in ((f"{c}_n", F.count(c).over(whole)), (f"{c}_q", F.percentile(c, list(shares.values())).over(whole)))})
+    beside, places, found = {}, {}, {}
+    for c in cols:
+        for i, (side, p) in enumerate(shares.items()):
+            x, q, at = F.col(c), F.col(f"{c}_q")[i], F.lit(p) * (F.col(f"{c}_n") - 1)
+            below, upto, last, following = (f"{c}_{side}_{s}" for s in ("below", "upto", "last", "next"))
+            beside |= {below: F.count(F.when(x < q, 1)).over(whole), upto: F.count(F.when(x <= q, 1)).over(whole), last: F.max(F.when(x < q, x)).over(whole), following: F.min(F.when(x > q, x)).over(whole)}
+            ranked = lambda r: F.when(r < F.col(below), F.col(last)).when(r < F.col(upto), q).otherwise(F.col(following))  # noqa: B023, E731
+            lower, upper, share = (f"{c}_{side}_{s}" for s in ("lower", "upper", "share"))
+            places |= {lower: ranked(F.floor(at)), upper: ranked(F.ceil(at)), share: at - F.floor(at)}
+            found[f"{c}_{side}"] = quartile(F.col(lower), F.col(upper), F.col(share))
+    return df.withColumns(beside).withColumns(places).withColumns(found).drop(*beside, *places, *[f"{c}_q" for c in cols])
+
+
 def within_fence(value: Column, low: Column, high: Column, n: Column, fence: float = 1.5, least: int = 5) -> Column:
     """Whether a value lies within the Tukey fence of ``n`` values with these quartiles."""
     spread = high - low
@@ -105,12 +127,12 @@ def within_fence(value: Column, low: Column, high: Column, n: Column, fence: flo
     return F.when((n < least) | (spread < 1e-6), value.isNotNull()).otherwise(F.coalesce(within, F.lit(False)))
 
 
-def iqr_outlier_flag(df: DataFrame, col: str, keys: list[str], fence: float = 1.5, least: int = 5) -> DataFrame:
-    """Adds ``{col}_in``: within the Tukey fence of its group, bounds included.
+def iqr_outlier_flag(df: DataFrame, col: str | list[str], keys: list[str], fence: float = 1.5, least: int = 5) -> DataFrame:
+    """Adds ``{col}_in``, of each column: within the Tukey fence of its group, bounds included.
 
     Groups of fewer than ``least`` values, or of hardly any spread, have no fence.
     """
-    whole = W.partitionBy(*keys)
-    q = F.percentile(col, [0.25, 0.75]).over(whole)
-    df = df.withColumns({"_q": q, "_n": F.count(col).over(whole)})
-    return df.withColumn(f"{col}_in", within_fence(F.col(col), F.col("_q")[0], F.col("_q")[1], F.col("_n"), fence, least)).drop("_q", "_n")
+    cols = [col] if isinstance(col, str) else col
+    df = quartiles(df, cols, keys)
+    inside = {f"{c}_in": within_fence(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high"), F.col(f"{c}_n"), fence, least) for c in cols}
+    return df.withColumns(inside).drop(*[f"{c}_{s}" for c in cols for s in ("n", "low", "high")])
