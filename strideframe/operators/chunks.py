@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import given
+from ..functions import given, quartile
 from . import hip
 from .contacts import time_axis
 from .signals import contact_flag, within_fence
@@ -202,9 +202,11 @@ def _sides(*ranks: Column) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(i).alias("side"), r.cast("long").alias("rank")) for i, r in enumerate(ranks)])).alias("_r")
 
 
-def percentile(df: DataFrame, name: str, value: Column, p: float, keys: tuple[str, ...] = KEYS, bins: int = 2048, rounds: int = 2) -> DataFrame:
+def percentile(df: DataFrame, name: str, value: Column, p: float, keys: tuple[str, ...] = KEYS, bins: int = 2048, rounds: int = 2, between: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """(keys, ``name``): the exact percentile of each group, as ``F.percentile`` has it, without holding a group's values.
 
+    ``between`` says what lies a share of the way between two neighbouring values, where that is to differ in its last bits.
+
     A histogram finds the bin of each of the two ranks that it lies between, a finer one of
     that bin's values the next, ``rounds`` times; only what is left then, values of one bin, is
     counted one by one. ``df`` is read some times a round, so keep it if it is costly. Nulls
@@ -218,6 +220,8 @@ def percentile(df: DataFrame, name: str, value: Column, p: float, keys: tuple[st
     both = _narrowed(rows, brackets, keys, bins, rounds).groupBy(*keys).agg(side(0).alias("_lo"), side(1).alias("_hi"))
     both = both.join(sizes.select(*keys, "_at"), list(keys))
     line = (F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi")
+    if between is not None:
+        line = between(F.col("_lo"), F.col("_hi"), F.col("_at") - F.floor("_at"))
     return both.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).when(F.ceil("_at") == F.floor("_at"), F.col("_lo")).otherwise(line).alias(name))
 
 
@@ -259,7 +263,7 @@ def hip_baseline(counted: DataFrame) -> DataFrame:
     fences = counted.groupBy("clip_id").agg(F.count(early("hip_y")).alias("_n"))
     for c in ("hip_y", "body_h"):
         for side, p in (("low", 0.25), ("high", 0.75)):
-            fences = fences.join(percentile(counted, f"_{c}_{side}", early(c), p, CLIP), "clip_id", "left")
+            fences = fences.join(percentile(counted, f"_{c}_{side}", early(c), p, CLIP, between=quartile), "clip_id", "left")
     rows = told(counted.where("early"), fences, CLIP)
     inside = [within_fence(F.col(c), F.col(f"_{c}_low"), F.col(f"_{c}_high"), F.col("_n")) for c in ("hip_y", "body_h")]
     mean = lambda c: F.coalesce(F.avg(F.when(inside[0] & inside[1], F.col(c))), F.avg(c))
