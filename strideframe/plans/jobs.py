@@ -47,8 +47,28 @@ def _by_clip(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).persist()
 
 
-def _dealt(rows: DataFrame, dealt: bool) -> DataFrame:
-    return rows if dealt else rows.repartition("clip_id")
+#: Rows of signals that a task gets, about: the windows over them sort some ten times, about 1.3 KB a row in all.
+SIGNALS = 200_000
+#: Rows below which a task isn't worth while.
+_FEW = 10_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Into how many tasks ``rows`` of signals are dealt, so that one's memory doesn't grow with the table.
+
+    Left to itself, Spark deals by bytes as they are compressed, which says little about signals.
+    """
+    tasks = lambda size: -(-rows // size)
+    return max(1, tasks(SIGNALS), min(spark.sparkContext.defaultParallelism, tasks(_FEW)))
+
+
+def by_clip(signals: DataFrame) -> DataFrame:
+    """``signals``, counted, dealt by clip into ``parts``; the windows over them need no further exchange."""
+    return signals.repartition(parts(signals.sparkSession, signals.count()), "clip_id")
+
+
+def _dealt(rows: DataFrame, dealt: bool, n: int | None = None) -> DataFrame:
+    return rows if dealt else rows.repartition("clip_id") if n is None else rows.repartition(n, "clip_id")
 
 
 def _of_clips(clips: DataFrame | None, *values: float | str) -> list[str]:
@@ -73,7 +93,9 @@ def ground_contacts(detections: DataFrame, points: DataFrame, ranges: DataFrame,
     if all_of:
         clips = _by_clip(clips, "clip_id", *all_of)
     every = ranges.select("clip_id", F.explode(F.sequence(F.col("start_frame").cast("int"), F.col("end_frame").cast("int"))).alias("frame"))
-    kept = _dealt(pruned(detections, ranges, "start_frame", "end_frame"), dealt)
+    # a row a foot for each frame of the ranges
+    n = None if dealt else parts(ranges.sparkSession, 2 * (ranges.agg(F.sum("n_frames")).first()[0] or 0))
+    kept = _dealt(pruned(detections, ranges, "start_frame", "end_frame"), dealt, n)
     if all_of:
         every = every.join(clips.select("clip_id", *all_of), "clip_id")
     if sizes:
@@ -81,7 +103,7 @@ def ground_contacts(detections: DataFrame, points: DataFrame, ranges: DataFrame,
     found = boxes.detect_with_fallback(kept, width, height, dealt=True).select("clip_id", "frame", "box")
     carried = boxes.carry_forward_box(every.join(found, ["clip_id", "frame"], "left"))
     needed = points.where(F.col("lm_id").isin(landmarks.L_FOOT, landmarks.R_FOOT))
-    needed = _dealt(pruned(needed, ranges, "start_frame", "end_frame"), dealt)
+    needed = _dealt(pruned(needed, ranges, "start_frame", "end_frame"), dealt, n)
     # one join: every frame is there, with its landmarks where it has any
     placed = landmarks.gate_visibility(landmarks.roi_to_frame(needed, carried, width, height, every=True))
     frames = contacts.find_contacts(landmarks.foot_series(placed, keep=tuple(named(fps))), fps)

@@ -140,7 +140,7 @@ def visible_joints(s: SparkSession, d: str) -> DataFrame:
 
 
 def _gait(s: SparkSession, d: str) -> DataFrame:
-    return derived(s, d, "gait")
+    return jobs.by_clip(derived(s, d, "gait"))
 
 
 def _filled(s: SparkSession, d: str) -> DataFrame:
